@@ -8,7 +8,12 @@ from pyspark.sql import Column, functions as F
 
 from corpusmill.functions.regex import replace_each
 
-REFERENCE = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);"
+# Names that count even without the closing semicolon.
+_BARE = "amp|lt|gt|quot|nbsp|copy|reg"
+
+REFERENCE = (
+    r"&(?:#[0-9]{1,7};|#[xX][0-9a-fA-F]{1,6};|[A-Za-z][A-Za-z0-9]*;|(?:" + _BARE + r")(?![A-Za-z0-9=]))"
+)
 
 
 def _character(code_point: Column) -> Column:
@@ -24,11 +29,11 @@ def _decode_one(ref: Column) -> Column:
     )
     name = F.substring_index(F.substring_index(ref, ";", 1), "&", -1)
     return (
-        F.when(ref == "&amp;", F.lit("&"))
-        .when(ref == "&lt;", F.lit("<"))
-        .when(ref == "&gt;", F.lit(">"))
-        .when(ref == "&quot;", F.lit('"'))
-        .when(ref == "&nbsp;", F.lit("\u00a0"))
+        F.when(name == "amp", F.lit("&"))
+        .when(name == "lt", F.lit("<"))
+        .when(name == "gt", F.lit(">"))
+        .when(name == "quot", F.lit('"'))
+        .when(name == "nbsp", F.lit("\u00a0"))
         .when(
             ref.rlike("^&#[xX]"),
             _character(F.conv(F.regexp_extract(ref, "([0-9a-fA-F]+);", 1), 16, 10).cast("int")),

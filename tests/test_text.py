@@ -82,6 +82,7 @@ def test_decode_entities(spark):
         ("&#39;&#x27;&#128512;", "''\U0001F600"), ("&copy; &middot;", "© ·"),
         ("&nosuch; & x", "&nosuch; & x"), ("&#0;&#xD800;", "\ufffd\ufffd"), ("&amp;#39;", "&#39;"),
         ("&eacute;&nbsp;!", "é" + NBSP + "!"), ("plain", "plain"), ("&amp;", "&"),
+        ("a &amp b &amp", "a & b &"), ("&ampx &am &copy2", "&ampx &am &copy2"),
     ], entities.decode_entities)
 
 
