@@ -16,6 +16,10 @@ REFERENCE = (
 )
 
 
+# The standard library's table of entity names, as one literal; no character in it is "," or ":".
+_NAMED = ",".join(f"{name}:{chr(cp)}" for name, cp in sorted((name2codepoint | {"apos": 39}).items()))
+
+
 def _character(code_point: Column) -> Column:
     valid = code_point.between(1, 0x10FFFF) & ~code_point.between(0xD800, 0xDFFF)
     hex8 = F.lpad(F.hex(code_point), 8, "0")
@@ -23,10 +27,7 @@ def _character(code_point: Column) -> Column:
 
 
 def _decode_one(ref: Column) -> Column:
-    named = F.create_map(
-        *[x for name, cp in sorted(name2codepoint.items()) for x in (F.lit(name), F.lit(chr(cp)))],
-        F.lit("apos"), F.lit("'"),
-    )
+    named = F.str_to_map(F.lit(_NAMED), F.lit(","), F.lit(":"))
     name = F.substring_index(F.substring_index(ref, ";", 1), "&", -1)
     return (
         F.when(name == "amp", F.lit("&"))

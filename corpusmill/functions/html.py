@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, functions as F
 
 from corpusmill.functions.entities import decode_entities
@@ -46,6 +48,11 @@ _ATTRIBUTE = (
 )
 
 
+def one_of(column: str, values) -> Column:
+    """``column IN (values)``, built as one expression instead of one per value."""
+    return F.expr(f"{column} IN ({', '.join(repr(v) for v in values)})") if values else F.lit(False)
+
+
 def token_tag(raw: Column) -> Column:
     """Lower-case tag name; NULL for text and comments."""
     name = F.lower(F.regexp_extract(raw, rf"^</?([A-Za-z][^{_SPACE}/>]*)", 1))
@@ -58,8 +65,8 @@ def token_kind(raw: Column, tag: Column) -> Column:
         F.when(tag.isNull() & (raw.startswith("<!") | raw.startswith("<?")), "comment")
         .when(tag.isNull(), "text")
         .when(raw.startswith("</"), "close")
-        .when(tag.isin(*RAW_TEXT), "raw")
-        .when(tag.isin(*VOID), "void")
+        .when(one_of("tag", RAW_TEXT), "raw")
+        .when(one_of("tag", VOID), "void")
         .otherwise("open")
     )
 
@@ -81,6 +88,15 @@ def attribute(raw: Column, name: str) -> Column:
     return F.when(raw.rlike(rf"^<[^{_SPACE}/>]+[{_SPACE}/]") & (pair != ""), _pair_value(pair))
 
 
+@lru_cache(maxsize=None)
+def attr(name: str) -> Column:
+    """:func:`attribute` of the token in column ``text``.
+
+    Building a long expression costs more than a short job; one per name is built and reused.
+    """
+    return attribute(F.col("text"), name)
+
+
 def _pair_value(pair: Column) -> Column:
     v = F.regexp_replace(pair, rf"(?s)\A[^=]*=[{_SPACE}]*|\A[^=]*\z", "")
     v = F.regexp_replace(v, r"""(?s)\A(["'])(.*)\1\z""", "$2")
@@ -113,9 +129,11 @@ def raw_inner(raw: Column) -> Column:
     return F.regexp_extract(raw, r"(?is)^<[^>]*>(.*?)(?:</[a-z]+[^>]*>)?\z", 1)
 
 
-def token_text(kind: Column, tag: Column, raw: Column) -> Column:
-    """What a text extraction reads from a token: decoded text, or NULL for markup."""
+@lru_cache(maxsize=None)
+def token_text() -> Column:
+    """What a text extraction reads from a token row: decoded text, or NULL for markup."""
+    kind, tag, raw = F.col("kind"), F.col("tag"), F.col("text")
     return F.when(kind == "text", decode_entities(raw)).when(
         kind == "raw",
-        F.when(tag.isin("title", "textarea"), decode_entities(raw_inner(raw))).otherwise(raw_inner(raw)),
+        F.when(one_of("tag", ("title", "textarea")), decode_entities(raw_inner(raw))).otherwise(raw_inner(raw)),
     )

@@ -18,6 +18,11 @@ def trim_space(c: Column) -> Column:
     return F.regexp_replace(left, rf"(?<![{UNICODE_SPACE}])[{UNICODE_SPACE}]++\z", "")
 
 
+def let(value: Column, fn: Callable[[Column], Column]) -> Column:
+    """``fn(value)`` with ``value`` evaluated once, however often ``fn`` mentions it."""
+    return F.transform(F.array(value), fn)[0]
+
+
 def words(c: Column) -> Column:
     """Split on runs of Unicode white space, without empty words."""
     return F.filter(F.split(c, f"[{UNICODE_SPACE}]+"), lambda w: w != "")

@@ -49,12 +49,13 @@ def clean_title(c: Column) -> Column:
 
 def title_case(c: Column) -> Column:
     """First letter of every word upper case, the rest lower case, one space between words."""
+    def first(w: Column) -> Column:
+        letter = F.substring(w, 1, 1)
+        # one letter stays one letter, also where full case mapping would make it two
+        return F.when(F.length(F.upper(letter)) == 1, F.upper(letter)).otherwise(letter)
+
     return F.array_join(
-        F.transform(
-            words(c),
-            lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(w.substr(F.lit(2), F.length(w)))),
-        ),
-        " ",
+        F.transform(words(c), lambda w: F.concat(first(w), F.lower(w.substr(F.lit(2), F.length(w))))), " "
     )
 
 

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, functions as F
 
-from corpusmill.functions.regex import any_of, replace_each, search_form
+from corpusmill.functions.regex import any_of, let, replace_each, search_form
 from corpusmill.functions.text import title_case
 
 _SCHEME = r"^([A-Za-z][A-Za-z0-9+.\-]*):"
@@ -112,19 +112,21 @@ def should_follow(
 
 def _remove_dot_segments(path: Column) -> Column:
     """RFC 3986 section 5.2.4 for an absolute path."""
-    segments = F.split(path, "/", -1)
-    last = F.element_at(segments, -1)
-    kept = F.aggregate(
-        F.slice(segments, 2, F.size(segments)),
-        F.array().cast("array<string>"),
-        lambda acc, s: F.when(
-            s == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))
-        ).when(s == ".", acc).otherwise(F.array_append(acc, s)),
-    )
-    # "/a/b/.." names the directory "/a/", so a final dot segment leaves an empty last segment.
-    kept = F.when(last.isin(".", ".."), F.array_append(kept, F.lit(""))).otherwise(kept)
-    clean = F.concat(F.lit("/"), F.array_join(kept, "/"))
-    return F.when(path.startswith("/") & path.contains("/."), clean).otherwise(path)
+
+    def clean(segments: Column) -> Column:
+        kept = F.aggregate(
+            F.slice(segments, 2, F.size(segments)),
+            F.array().cast("array<string>"),
+            lambda acc, s: F.when(
+                s == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))
+            ).when(s == ".", acc).otherwise(F.array_append(acc, s)),
+        )
+        # "/a/b/.." names the directory "/a/", so a final dot segment leaves an empty last segment.
+        ending = F.when(F.element_at(segments, -1).isin(".", ".."), F.array(F.lit(""))).otherwise(
+            F.array().cast("array<string>"))
+        return F.concat(F.lit("/"), F.array_join(F.concat(kept, ending), "/"))
+
+    return F.when(path.startswith("/") & path.contains("/."), let(F.split(path, "/", -1), clean)).otherwise(path)
 
 
 def _escape_path(path: Column) -> Column:
@@ -141,36 +143,39 @@ def resolve_url(base: Column, href: Column) -> Column:
     """
     ref = F.regexp_replace(F.regexp_replace(href, r"\A[\t\n\f\r ]+|[\t\n\f\r ]+\z", ""), r"(?s)#.*\z", "")
     rest = r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?(?://[^/?#]*)?"
-    scheme = F.regexp_extract(base, _SCHEME, 1)
-    base_authority = F.regexp_extract(base, _AUTHORITY, 1)
-    base_path = F.regexp_extract(base, rest + r"([^?#]*)", 1)
-    ref_authority = F.regexp_extract(ref, _AUTHORITY, 1)
-    ref_path = F.regexp_extract(ref, rest + r"([^?#]*)", 1)
-    query = F.regexp_extract(ref, r"(\?[^#]*)", 1)
-
-    def build(sch: Column, authority: Column, path: Column) -> Column:
-        return F.concat(sch, F.lit("://"), authority, _escape_path(_remove_dot_segments(path)), query)
-
-    directory = F.when(base_path == "", F.lit("/")).otherwise(
-        F.regexp_extract(base_path, r"^(.*/)", 1)
-    )
-    base_query = F.regexp_extract(base, r"(\?[^#]*)", 1)
-    return (
-        F.when(href.isNull() | base.isNull() | (ref == ""), F.lit(None).cast("string"))
-        .when(
-            ref.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*://"),
-            build(url_scheme(ref), ref_authority, ref_path),
+    query = r"(\?[^#]*)"
+
+    def recompose(p: Column) -> Column:
+        has_host = p["absolute"] | p["ref"].startswith("//")
+        only_query = ~has_host & (p["ref_path"] == "")
+        directory = F.when(p["base_path"] == "", F.lit("/")).otherwise(F.regexp_extract(p["base_path"], "^(.*/)", 1))
+        target = F.struct(
+            F.when(p["absolute"], url_scheme(p["ref"])).otherwise(p["scheme"]).alias("scheme"),
+            F.when(has_host, F.regexp_extract(p["ref"], _AUTHORITY, 1)).otherwise(p["authority"]).alias("authority"),
+            F.when(only_query, p["base_path"])
+            .when(has_host | p["ref"].startswith("/"), _remove_dot_segments(p["ref_path"]))
+            .otherwise(_remove_dot_segments(F.concat(directory, p["ref_path"]))).alias("path"),
+            F.when(only_query & (p["query"] == ""), F.regexp_extract(base, query, 1)).otherwise(p["query"]).alias("query"),
         )
-        .when(ref.rlike(_SCHEME), ref)
-        .when(ref.startswith("//"), build(scheme, ref_authority, ref_path))
-        .when(ref.startswith("/"), build(scheme, base_authority, ref_path))
-        .when(
-            ref_path == "",
-            F.concat(scheme, F.lit("://"), base_authority, _escape_path(base_path),
-                     F.when(query != "", query).otherwise(base_query)),
-        )
-        .otherwise(build(scheme, base_authority, F.concat(directory, ref_path)))
+        return let(target, lambda t: F.concat(
+            t["scheme"], F.lit("://"), t["authority"], _escape_path(t["path"]), t["query"]))
+
+    parts = F.struct(
+        ref.alias("ref"),
+        ref.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*://").alias("absolute"),
+        F.regexp_extract(ref, rest + "([^?#]*)", 1).alias("ref_path"),
+        F.regexp_extract(ref, query, 1).alias("query"),
+        F.regexp_extract(base, _SCHEME, 1).alias("scheme"),
+        F.regexp_extract(base, _AUTHORITY, 1).alias("authority"),
+        F.regexp_extract(base, rest + "([^?#]*)", 1).alias("base_path"),
+    )
+    resolved = let(
+        parts,
+        lambda p: F.when(p["ref"] == "", F.lit(None).cast("string"))
+        .when(~p["absolute"] & p["ref"].rlike(_SCHEME), p["ref"])
+        .otherwise(recompose(p)),
     )
+    return F.when(href.isNotNull() & base.isNotNull(), resolved)
 
 
 # ---------------------------------------------------------------- validation and naming

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from corpusmill.functions import urls as U
-from corpusmill.functions.html import attribute
+from corpusmill.functions.html import attr
 from corpusmill.functions.regex import trim_space
 from corpusmill.operators.select import DEFAULT_CONTENT, page_stream
 from corpusmill.operators.tokens import KEYS, source_text
@@ -28,7 +28,7 @@ def extract_links(
         visible = (F.col("part") == "content") & ~F.col("boundary") & (trim_space(source_text()) != "")
         rows = rows.withColumn("has_content", F.bool_or(visible).over(W.partitionBy(*keys))).filter("has_content")
     return rows.filter("part = 'link'").select(
-        *keys, *carry, attribute(F.col("text"), "href").alias("href"), F.col("open_pos").alias("pos")
+        *keys, *carry, attr("href").alias("href"), F.col("open_pos").alias("pos")
     )
 
 

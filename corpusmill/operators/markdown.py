@@ -61,7 +61,7 @@ _SPECIAL = HEADINGS + LISTS + H.LIST_ITEM + H.CELL + H.ROW + H.ROW_GROUP + ("blo
 def is_allowed(preserve_images: bool) -> Column:
     """Whether sanitizing keeps an element."""
     tags = ALLOWED + (("img",) if preserve_images else ())
-    return F.col("tag").isin(*tags)
+    return H.one_of("tag", tags)
 
 
 def _safe_url(url: Column) -> Column:
@@ -77,7 +77,7 @@ def sanitized_html(preserve_images: bool) -> Column:
     for owner, names in ALLOWED_ATTRIBUTES.items():
         rendered = F.lit("")
         for name in names:
-            value = H.attribute(raw, name)
+            value = H.attr(name)
             value = _safe_url(value) if name in ("href", "src") else value
             rendered = F.concat(
                 rendered,
@@ -89,8 +89,8 @@ def sanitized_html(preserve_images: bool) -> Column:
     allowed = is_allowed(preserve_images)
     return (
         F.when(kind == "text", F.when(raw == "<", "&lt;").otherwise(raw))
-        .when((kind == "raw") & ~tag.isin(*DROPPED), H.raw_inner(raw))
-        .when(kind.isin("open", "void") & allowed, start)
+        .when((kind == "raw") & ~H.one_of("tag", DROPPED), H.raw_inner(raw))
+        .when(H.one_of("kind", ("open", "void")) & allowed, start)
         .when((kind == "end") & allowed, end)
         .otherwise("")
     )
@@ -123,7 +123,7 @@ def _context(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
         step = F.when(flag & (kind == "open"), 1).when(flag & (kind == "end"), -1).otherwise(0)
         return F.sum(step).over(upto).cast("int")
 
-    is_list = tag.isin(*LISTS)
+    is_list = H.one_of("tag", LISTS)
     rows = rows.withColumns({
         "pre": inside(tag == "pre"),
         "code": inside(tag == "code"),
@@ -131,17 +131,17 @@ def _context(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
         "quotes": inside(tag == "blockquote"),
         "tables": inside(tag == "table"),
         # a link is one line of text, like a heading or a table cell
-        "flat": inside(tag.isin(*HEADINGS, "a")),
-        "bold": inside(tag.isin("strong", "b")),
-        "italic": inside(tag.isin("em", "i")),
-        "struck": inside(tag.isin("del", "s", "strike")),
+        "flat": inside(H.one_of("tag", HEADINGS + ("a",))),
+        "bold": inside(H.one_of("tag", ("strong", "b"))),
+        "italic": inside(H.one_of("tag", ("em", "i"))),
+        "struck": inside(H.one_of("tag", ("del", "s", "strike"))),
     })
     outer = F.col("tables") == 1
     rows = rows.withColumns({
         # the end event of a table has left it already, so cells and rows see depth one throughout
-        "cell": inside(tag.isin(*H.CELL) & outer),
+        "cell": inside(H.one_of("tag", H.CELL) & outer),
         "rows_so_far": F.sum(F.when((kind == "open") & (tag == "tr") & outer, 1).otherwise(0)).over(upto),
-        "cells_so_far": F.sum(F.when((kind == "open") & tag.isin(*H.CELL) & outer, 1).otherwise(0)).over(upto),
+        "cells_so_far": F.sum(F.when((kind == "open") & H.one_of("tag", H.CELL) & outer, 1).otherwise(0)).over(upto),
         "outer_quotes": F.last(
             F.when((kind == "open") & is_list & (F.col("lists") == 1), F.col("quotes")), ignorenulls=True
         ).over(upto),
@@ -190,22 +190,22 @@ def _pieces(absolute_base: Column | None) -> Column:
     mark = lambda m: F.concat(lit(m), pfx)
 
     # State around the element itself: a start does not count as inside itself.
-    flat_self = F.when(opened & tag.isin(*HEADINGS, "a"), 1).otherwise(0)
-    cell_self = F.when(opened & tag.isin(*H.CELL) & (F.col("tables") == 1), 1).otherwise(0)
+    flat_self = F.when(opened & H.one_of("tag", HEADINGS + ("a",)), 1).otherwise(0)
+    cell_self = F.when(opened & H.one_of("tag", H.CELL) & (F.col("tables") == 1), 1).otherwise(0)
     flat = ((F.col("flat") - flat_self) > 0) | ((F.col("cell") - cell_self) > 0)
     pre_self = F.when(opened & (tag == "pre"), 1).otherwise(0)
     in_pre = (F.col("pre") - pre_self) > 0
     verbatim = in_pre & ~flat
 
     # ---- text
-    text = F.regexp_replace(H.token_text(kind, tag, raw), MARKS, "")
+    text = F.regexp_replace(H.token_text(), MARKS, "")
     line = F.regexp_replace(text, r"[\t\n\f\r ]+", " ")
     in_cell = F.col("cell") > 0
     plain = F.when(in_cell, F.replace(line, lit("|"), lit("\\|"))).otherwise(line)
     pre_text = F.replace(
         F.replace(F.regexp_replace(text, r"\r\n?", "\n"), lit(" "), lit(BLANK)), lit("\n"), mark(LINE)
     )
-    is_text = (kind == "text") | ((kind == "raw") & ~tag.isin(*DROPPED))
+    is_text = (kind == "text") | ((kind == "raw") & ~H.one_of("tag", DROPPED))
 
     # ---- inline
     def inline(before: str, on_open: Column, on_end: Column) -> Column:
@@ -214,21 +214,21 @@ def _pieces(absolute_base: Column | None) -> Column:
         )
 
     language = F.regexp_extract(
-        F.array_join(F.filter(class_list(H.attribute(raw, "class")), lambda c: c.rlike("^(language|lang)-")), " "),
+        F.array_join(F.filter(class_list(H.attr("class")), lambda c: c.rlike("^(language|lang)-")), " "),
         r"^(?:language|lang)-(\S+)", 1,
     )
     lang_mark = F.concat(lit(LANG), F.coalesce(language, lit("")), lit(LANG))
-    href = H.attribute(raw, "href")
-    src = H.attribute(raw, "src")
+    href = H.attr("href")
+    src = H.attr("src")
     if absolute_base is not None:
         href = F.coalesce(resolve_url(absolute_base, href), href)
         src = F.coalesce(resolve_url(absolute_base, src), src)
     clean = lambda c: F.regexp_replace(c, MARKS + r"|[\n\r]", "")
-    title = H.attribute(raw, "title")
+    title = H.attr("title")
     title = F.coalesce(F.concat(lit(' "'), F.replace(clean(title), lit('"'), lit('\\"')), lit('"')), lit(""))
     link_end = F.concat(lit("]("), F.replace(clean(href), lit(" "), lit("%20")), title, lit(")"))
     image = F.concat(
-        lit("!["), clean(F.coalesce(H.attribute(raw, "alt"), lit(""))), lit("]("),
+        lit("!["), clean(F.coalesce(H.attr("alt"), lit(""))), lit("]("),
         F.replace(clean(src), lit(" "), lit("%20")), title, lit(")"),
     )
     nested = {"bold": ("strong", "b"), "italic": ("em", "i"), "struck": ("del", "s", "strike")}
@@ -237,7 +237,7 @@ def _pieces(absolute_base: Column | None) -> Column:
         outermost = (F.col(depth) - F.when(opened, 1).otherwise(0)) <= 0
         sign = lit(EMPHASIS[tags[0]])
         piece = F.when(outermost, inline(depth, sign, sign)).otherwise("")
-        emphasis = F.when(tag.isin(*tags), piece) if emphasis is None else emphasis.when(tag.isin(*tags), piece)
+        emphasis = F.when(H.one_of("tag", tags), piece) if emphasis is None else emphasis.when(H.one_of("tag", tags), piece)
 
     # ---- blocks
     def block(mark_: str = BLOCK) -> Column:
@@ -256,7 +256,7 @@ def _pieces(absolute_base: Column | None) -> Column:
         .when(tag == "br", F.when(verbatim, mark(LINE)).when(flat, " ").otherwise(mark(BREAK)))
         .when(tag == "hr", F.when(flat, " ").otherwise(F.concat(mark(BLOCK), lit("---"), mark(BLOCK))))
         .when(tag == "img", F.coalesce(image, lit("")))
-        .when(void | ~kind.isin("open", "end"), "")
+        .when(void | ~H.one_of("kind", ("open", "end")), "")
         .when(
             tag == "pre",
             F.when(flat | in_pre, " ")
@@ -265,23 +265,23 @@ def _pieces(absolute_base: Column | None) -> Column:
             .otherwise(F.concat(lit(FENCE_END), pfx, lit("```"), mark(BLOCK))),
         )
         .when((tag == "code") & verbatim, F.when(opened, lang_mark).otherwise(""))
-        .when(verbatim & tag.isin(*EMPHASIS, "a"), "")
+        .when(verbatim & H.one_of("tag", (*EMPHASIS, "a")), "")
         .when(tag == "code", F.when((F.col("code") - F.when(opened, 1).otherwise(0)) > 0, "").otherwise(
             inline("code", lit("`"), lit("`"))))
-        .when(tag.isin(*EMPHASIS), emphasis)
+        .when(H.one_of("tag", EMPHASIS), emphasis)
         .when(tag == "a", F.when(href.isNull(), "").otherwise(inline("a", lit("["), link_end)))
-        .when(tag.isin(*HEADINGS), F.when(flat, " ").when(opened, F.concat(mark(BLOCK), hashes, lit(" ")))
+        .when(H.one_of("tag", HEADINGS), F.when(flat, " ").when(opened, F.concat(mark(BLOCK), hashes, lit(" ")))
               .otherwise(mark(BLOCK)))
         .when(tag == "blockquote", block(CUT))
-        .when(tag.isin(*LISTS), F.when(flat, " ").when((lists - F.when(opened, 1).otherwise(0)) > 0, mark(SOFT))
+        .when(H.one_of("tag", LISTS), F.when(flat, " ").when((lists - F.when(opened, 1).otherwise(0)) > 0, mark(SOFT))
               .otherwise(mark(BLOCK)))
         .when(tag == "li", F.when(flat, " ").when(opened, F.concat(lit(SOFT), item_pfx, marker, lit(GLUE)))
               .otherwise(ITEM_END))
         .when(tag == "table", block())
         .when(tag == "tr", F.when(flat | ~in_table, " ").when(opened, F.concat(mark(SOFT), lit("|")))
               .when(F.col("table_row") == 1, separator).otherwise(""))
-        .when(tag.isin(*H.CELL), F.when(flat | ~in_table, " ").when(opened, " ").otherwise(" |"))
-        .when(tag.isin(*other_blocks), block())
+        .when(H.one_of("tag", H.CELL), F.when(flat | ~in_table, " ").when(opened, " ").otherwise(" |"))
+        .when(H.one_of("tag", other_blocks), block())
         .otherwise("")
     )
 
@@ -329,7 +329,7 @@ def content_pieces(
     absolute_base: Column | None = None, keys: Sequence[str] = KEYS,
 ) -> DataFrame:
     """Add ``piece``, what each content row of a page stream contributes to the Markdown."""
-    removed = F.col("kind").isin("open", "end", "void") & ~F.col("boundary") & ~is_allowed(preserve_images)
+    removed = H.one_of("kind", ("open", "end", "void")) & ~F.col("boundary") & ~is_allowed(preserve_images)
     if sanitize_html:
         rows = rows.filter((F.col("part") != "content") | F.coalesce(~removed, F.lit(True)))
     # A match's own start is not part of what it contains, so it takes no part in the context.
@@ -371,7 +371,9 @@ def convert(
         F.char_length(src).alias("chars"),
         (trim_space(src) != "").alias("visible"),
     )
-    per_page = slim.groupBy(*keys, *carry).agg(
+    # a page's carried columns are the same in all its rows, so they need not be grouping keys
+    per_page = slim.groupBy(*keys).agg(
+        *[F.first(c).alias(c) for c in carry],
         *title_columns(),
         ordered_concat("piece", "", "part = 'content' AND piece <> ''", "match_pos", "ord").alias("pieces"),
         F.sum("chars").alias("content_length"),

@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from corpusmill.functions.regex import trim_space
-from corpusmill.functions.html import attribute, attributes, token_text
+from corpusmill.functions import html as H
 from corpusmill.functions.text import clean_title
 from corpusmill.operators.tokens import KEYS, close_elements, events, source_text, tokenize
 
@@ -36,10 +36,10 @@ def _compound(text: str) -> Column:
         elif cls:
             conditions.append(_has_class(raw, cls))
         elif ident:
-            conditions.append(raw.contains(ident) & (attribute(raw, "id") == ident))
+            conditions.append(raw.contains(ident) & (H.attr("id") == ident))
         else:
             value = next((v for v in m.group(5, 6, 7) if v is not None), None)
-            found = attribute(raw, re.escape(attr.lower()))
+            found = H.attr(re.escape(attr.lower()))
             conditions.append(found.isNotNull() if value is None else found == value)
     if end != len(text) or not conditions:
         raise ValueError(f"unsupported selector: {text!r}")
@@ -49,7 +49,7 @@ def _compound(text: str) -> Column:
 def _has_class(raw: Column, name: str) -> Column:
     # The plain substring test spares nearly every tag the attribute pattern.
     boundary = r"[\t\n\f\r ]"
-    return raw.contains(name) & attribute(raw, "class").rlike(rf"(?:^|{boundary}){re.escape(name)}(?:\z|{boundary})")
+    return raw.contains(name) & H.attr("class").rlike(rf"(?:^|{boundary}){re.escape(name)}(?:\z|{boundary})")
 
 
 def parse_selector(selector: str) -> list[list[str]]:
@@ -63,7 +63,7 @@ def parse_selector(selector: str) -> list[list[str]]:
 
 
 def _is_event() -> Column:
-    return F.col("kind").isin("open", "end", "void", "raw")
+    return H.one_of("kind", ("open", "end", "void", "raw"))
 
 
 def _step(flag: Column) -> Column:
@@ -114,7 +114,7 @@ def select(pages: DataFrame, selector: str, keys: Sequence[str] = KEYS) -> DataF
     return (
         flag_elements(stream, {"hit": selector}, keys)
         .filter(F.col("hit") & (F.col("kind") != "end"))
-        .select(*keys, "open_pos", "tag", attributes(F.col("text")).alias("attrs"))
+        .select(*keys, "open_pos", "tag", H.attributes(F.col("text")).alias("attrs"))
     )
 
 
@@ -174,7 +174,7 @@ def page_stream(
     if outermost_only:
         content_levels = F.least(content_levels, F.lit(1))
     title_levels = F.col("title_depth").cast("int")
-    is_text = kind.isin("text", "raw")
+    is_text = H.one_of("kind", ("text", "raw"))
     parts = [levels("page", F.lit(1), (F.col("open_pos") == 0) & (kind != "end"))]
     if title:
         # A raw-text element can itself be the match; it then has no level of its own.
@@ -187,7 +187,7 @@ def page_stream(
         in_removed = (F.col("content_depth") > 0) & (F.col("excluded_depth") > F.col("outer_excluded"))
         parts.append(
             levels("link", F.lit(1),
-                   (kind == "open") & (F.col("tag") == "a") & (F.coalesce(attribute(F.col("text"), "href"), F.lit("")) != "")
+                   (kind == "open") & (F.col("tag") == "a") & (F.coalesce(H.attr("href"), F.lit("")) != "")
                    & ~F.coalesce(in_removed, F.lit(False)))
         )
     spread = stream.select(
@@ -233,7 +233,7 @@ def ordered_concat(value: str, separator: str, condition: str, *order: str) -> C
 
 def title_text(rows: DataFrame) -> DataFrame:
     """Add ``txt``, the decoded text of each row of a page stream."""
-    return rows.withColumn("txt", token_text(F.col("kind"), F.col("tag"), F.col("text")))
+    return rows.withColumn("txt", H.token_text())
 
 
 def title_columns() -> list[Column]:

@@ -20,13 +20,15 @@ KEYS = ("page_id",)
 def tokenize(pages: DataFrame, keys: Sequence[str] = KEYS, carry: Sequence[str] = ()) -> DataFrame:
     """``keys, carry, n_tokens, pos, kind, tag, text``: one row per token of ``html``.
 
-    ``keys`` must identify a page. The texts of a page, joined by ``pos``, give back its html.
+    ``keys`` must identify a page. Rows are distributed by the last key alone, which serves every
+    grouping by all of them, so that input already distributed by it (a bucketed table, a join by
+    page) is not moved again. The texts of a page, joined by ``pos``, give back its html.
     """
     # The outer form keeps the optimizer from adding a "has tokens" filter, which would run the
     # pattern a second time; a page without tokens yields one empty text token.
     exploded = (
         pages.select(*keys, *carry, "html")
-        .repartition(*keys)
+        .repartition(keys[-1])
         .select(*keys, *carry, F.regexp_extract_all("html", F.lit(H.TOKEN), F.lit(0)).alias("tokens"))
         .withColumn("n_tokens", F.greatest(F.size("tokens"), F.lit(1)))
         .select(*keys, *carry, "n_tokens", F.posexplode_outer("tokens").alias("pos", "text"))
@@ -40,16 +42,16 @@ def tokenize(pages: DataFrame, keys: Sequence[str] = KEYS, carry: Sequence[str]
 
 def with_attributes(tokens: DataFrame) -> DataFrame:
     """Add ``attrs``, the attribute map of start tags."""
-    is_start = F.col("kind").isin("open", "void", "raw")
+    is_start = H.one_of("kind", ("open", "void", "raw"))
     return tokens.withColumn("attrs", F.when(is_start, H.attributes(F.col("text"))))
 
 
 def _is_start(*tags: str) -> Column:
-    return (F.col("kind") == "open") & F.col("tag").isin(*tags)
+    return (F.col("kind") == "open") & H.one_of("tag", tags)
 
 
 def _is_end(*tags: str) -> Column:
-    return (F.col("kind") == "close") & F.col("tag").isin(*tags)
+    return (F.col("kind") == "close") & H.one_of("tag", tags)
 
 
 def close_elements(tokens: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -70,13 +72,13 @@ def close_elements(tokens: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
 
     # Bracket matching. An element's start and end see the same level, so they are neighbours
     # in the partition of that level.
-    paired = kind.isin("open", "close") & ~tag.isin(*H.IMPLIED_END)
+    paired = H.one_of("kind", ("open", "close")) & ~H.one_of("tag", H.IMPLIED_END)
     step = F.when(paired, F.when(kind == "open", 1).otherwise(-1))
     by_tag = W.partitionBy(*keys, "tag").orderBy("pos")
     marked = tokens.withColumn(
-        "level", F.sum(step).over(by_tag.rowsBetween(*upto)) + F.when(kind == "close", 1).otherwise(0)
+        "tag_level", F.sum(step).over(by_tag.rowsBetween(*upto)) + F.when(kind == "close", 1).otherwise(0)
     )
-    by_level = W.partitionBy(*keys, "tag", "level").orderBy("pos")
+    by_level = W.partitionBy(*keys, "tag", "tag_level").orderBy("pos")
     matched = marked.select(
         "*",
         F.when(paired, F.lead("kind").over(by_level)).alias("next_kind"),
@@ -86,7 +88,7 @@ def close_elements(tokens: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
         *tokens.columns,
         F.when((kind == "open") & (F.col("next_kind") == "close"), F.col("next_pos")).alias("end_tag_pos"),
         F.coalesce(
-            paired & ~tag.isin(*H.INLINE)
+            paired & ~H.one_of("tag", H.INLINE)
             & F.when(kind == "open", F.col("next_kind") == "close").otherwise(F.col("prev_kind") == "open"),
             F.lit(False),
         ).alias("container"),
@@ -95,29 +97,29 @@ def close_elements(tokens: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     # Container level: how many matched containers are open just before the token.
     in_page = W.partitionBy(*keys).orderBy("pos").rowsBetween(*before)
     container_step = F.when(F.col("container"), F.when(kind == "open", 1).otherwise(-1)).otherwise(0)
-    leveled = matched.withColumn("depth", F.coalesce(F.sum(container_step).over(in_page), F.lit(0)))
+    leveled = matched.withColumn("container_depth", F.coalesce(F.sum(container_step).over(in_page), F.lit(0)))
 
     # Optional ends: the nearest following token of a family at the same container level.
     # Reading backwards, "nearest following" is a running last value.
     table_part = H.CELL + H.ROW + H.ROW_GROUP
     around = F.col("container") & (kind == "close")
-    part = tag.isin(*table_part) & kind.isin("open", "close")
-    item = tag.isin(*H.LIST_ITEM) & kind.isin("open", "close")
-    definition = tag.isin(*H.DEFINITION) & kind.isin("open", "close")
+    part = H.one_of("tag", table_part) & H.one_of("kind", ("open", "close"))
+    item = H.one_of("tag", H.LIST_ITEM) & H.one_of("kind", ("open", "close"))
+    definition = H.one_of("tag", H.DEFINITION) & H.one_of("kind", ("open", "close"))
     stops = {
         "p": around | _is_start(*H.BLOCK) | _is_end(*H.IMPLIED_END),
         "li": around | part | item,
         "def": around | part | definition,
         "cell": around | part,
-        "row": around | (part & ~tag.isin(*H.CELL)),
-        "group": around | (part & tag.isin(*H.ROW_GROUP)),
+        "row": around | (part & ~H.one_of("tag", H.CELL)),
+        "group": around | (part & H.one_of("tag", H.ROW_GROUP)),
         "other": around | part | item | definition,
     }
     own = {
         "p": ("p",), "li": H.LIST_ITEM, "def": H.DEFINITION, "cell": H.CELL, "row": H.ROW,
         "group": H.ROW_GROUP, "other": (),
     }
-    back = W.partitionBy(*keys, "depth").orderBy(F.desc("pos")).rowsBetween(*before)
+    back = W.partitionBy(*keys, "container_depth").orderBy(F.desc("pos")).rowsBetween(*before)
 
     def nearest(name: str) -> Column:
         # Twice the position, plus one when the stop is the family's own end tag: a running
@@ -126,12 +128,12 @@ def close_elements(tokens: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
         return F.last(F.when(stops[name], code), ignorenulls=True).over(back).alias(f"stop_{name}")
 
     stop = (
-        F.when(tag.isin(*H.LIST_ITEM), F.col("stop_li"))
-        .when(tag.isin(*H.DEFINITION), F.col("stop_def"))
-        .when(tag.isin(*H.CELL), F.col("stop_cell"))
-        .when(tag.isin(*H.ROW), F.col("stop_row"))
-        .when(tag.isin(*H.ROW_GROUP), F.col("stop_group"))
-        .when((tag == "p") | tag.isin(*H.INLINE), F.col("stop_p"))
+        F.when(H.one_of("tag", H.LIST_ITEM), F.col("stop_li"))
+        .when(H.one_of("tag", H.DEFINITION), F.col("stop_def"))
+        .when(H.one_of("tag", H.CELL), F.col("stop_cell"))
+        .when(H.one_of("tag", H.ROW), F.col("stop_row"))
+        .when(H.one_of("tag", H.ROW_GROUP), F.col("stop_group"))
+        .when((tag == "p") | H.one_of("tag", H.INLINE), F.col("stop_p"))
         .otherwise(F.col("stop_other"))
     )
     return (
@@ -145,11 +147,11 @@ def close_elements(tokens: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
                 F.coalesce(
                     F.col("end_tag_pos"), F.shiftright("stop", 1).cast("int"), F.col("n_tokens")
                 ),
-            ).when(kind.isin("void", "raw"), pos).alias("close_pos"),
+            ).when(H.one_of("kind", ("void", "raw")), pos).alias("close_pos"),
             F.when(
                 kind == "open",
                 F.col("end_tag_pos").isNotNull()
-                | (tag.isin(*H.IMPLIED_END) & (F.coalesce(F.col("stop"), F.lit(0)) % 2 == 1)),
+                | (H.one_of("tag", H.IMPLIED_END) & (F.coalesce(F.col("stop"), F.lit(0)) % 2 == 1)),
             ).alias("explicit_close"),
         )
     )

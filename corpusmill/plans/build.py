@@ -47,9 +47,19 @@ def _with_profile(df: DataFrame, specs: DataFrame, profile) -> DataFrame:
     return df.join(same.select(F.col("name").alias("site")), "site", "left_semi")
 
 
+def _located(pages: DataFrame, specs: DataFrame) -> DataFrame:
+    """``site, page_id, url, html``.
+
+    Sites are assigned on narrow rows; html joins them by page, the way the token pipeline wants it
+    distributed, and is moved once.
+    """
+    narrow = assign_site(pages.select("page_id", "url"), specs)
+    return narrow.join(pages.select("page_id", "html"), "page_id")
+
+
 def convert_sites(pages: DataFrame, specs: DataFrame) -> DataFrame:
     """``site, page_id, url, title, content_length, body`` of every page of every site with content."""
-    located = assign_site(pages, specs)
+    located = _located(pages, specs)
     return reduce(DataFrame.unionByName, [
         convert(
             _with_profile(located, specs, p), title=p.selectors.title, content=p.selectors.content,
@@ -62,7 +72,7 @@ def convert_sites(pages: DataFrame, specs: DataFrame) -> DataFrame:
 
 def site_edges(pages: DataFrame, specs: DataFrame) -> DataFrame:
     """``site, src, dst``: the links every site would follow."""
-    located = assign_site(pages, specs)
+    located = _located(pages, specs)
     links = reduce(DataFrame.unionByName, [
         extract_links(
             _with_profile(located, specs, p), content=p.selectors.content, exclude=p.selectors.exclude,

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from corpusmill.functions import entities, text as X, urls as U
-from corpusmill.functions.html import attribute, token_text
+from corpusmill.functions.html import attr, token_text
 from corpusmill.lineage import checkpoint_dir, cut
 from corpusmill.operators import corpus as C, document as D, links as L, markdown as M, select as S, specs as P
 from corpusmill.operators import tokens as T
@@ -159,14 +159,13 @@ def nav_links(spark, sf):
 @query
 def absolute_link(spark, sf):
     word = F.substring("href", 2, 10_000)
-    forms = F.array(
-        F.struct(F.lit("root").alias("form"), F.col("href").alias("ref")),
-        F.struct(F.lit("plain"), word), F.struct(F.lit("up"), F.concat(F.lit("../"), word)),
-        F.struct(F.lit("here"), F.concat(F.lit("./"), word, F.lit("#x"))),
-        F.struct(F.lit("query"), F.concat(F.lit("?q="), word)), F.struct(F.lit("fragment"), F.concat(F.lit("#"), word)),
-        F.struct(F.lit("host"), F.concat(F.lit("//h.org/"), word)),
-        F.struct(F.lit("absolute"), F.concat(F.lit("HTTPS://h.org/a/../b?"), word)),
-    )
+    refs = {
+        "root": F.col("href"), "plain": word, "up": F.concat(F.lit("../"), word),
+        "here": F.concat(F.lit("./"), word, F.lit("#x")), "query": F.concat(F.lit("?q="), word),
+        "fragment": F.concat(F.lit("#"), word), "host": F.concat(F.lit("//h.org/"), word),
+        "absolute": F.concat(F.lit("HTTPS://h.org/a/../b?"), word),
+    }
+    forms = F.array(*[F.struct(F.lit(k).alias("form"), v.alias("ref")) for k, v in refs.items()])
     return nav_links(spark, sf).select("page_id", "pos", "url", F.explode(forms).alias("f")).select(
         F.col("page_id"), F.col("pos"), "f.form", U.resolve_url(F.col("url"), F.col("f.ref")).alias("target"))
 
@@ -264,7 +263,7 @@ def content_hash(spark, sf):
 def html_tokens(spark, sf):
     return T.tokenize(pages(spark, sf)).select(
         "page_id", F.col("pos").cast("bigint").alias("pos"), "kind", "tag", "text",
-        F.when(F.col("tag") == "a", attribute(F.col("text"), "href")).alias("href"),
+        F.when(F.col("tag") == "a", attr("href")).alias("href"),
     )
 
 
@@ -335,7 +334,7 @@ def decode_entities(spark, sf):
     tokens = T.tokenize(pages(spark, sf)).filter("kind = 'text'")
     return tokens.select(
         "page_id", F.col("pos").cast("bigint").alias("pos"),
-        token_text(F.col("kind"), F.col("tag"), F.col("text")).alias("text"))
+        token_text().alias("text"))
 
 
 # ------------------------------------------------------------ Markdown
