@@ -15,7 +15,7 @@ def trim_space(c: Column) -> Column:
     left = F.regexp_replace(c, rf"\A[{UNICODE_SPACE}]+", "")
     # The look-behind lets a match start only at the head of a run of blanks,
     # so a long run inside the text costs linear, not quadratic, time.
-    return F.regexp_replace(left, rf"(?<![{UNICODE_SPACE}])[{UNICODE_SPACE}]++\z", "")
+    return F.regexp_replace(left, rf"[{UNICODE_SPACE}](?<![{UNICODE_SPACE}]{{2}})[{UNICODE_SPACE}]*+\z", "")
 
 
 def let(value: Column, fn: Callable[[Column], Column]) -> Column:

@@ -69,9 +69,12 @@ def anchor(c: Column) -> Column:
 
 def tidy_markdown(c: Column) -> Column:
     """No blanks at line ends, no runs of empty lines, no empty lines at the end."""
-    blank_line = "[" + UNICODE_SPACE.replace(r"\n", "") + "]+"
-    c = F.regexp_replace(c, r"(?<![ \t])[ \t]++(?=\n|\z)", "")
-    c = F.regexp_replace(c, rf"(?<=\n|\A){blank_line}(?=\n|\z)", "")
+    blanks = "[" + UNICODE_SPACE.replace(r"\n", "") + "]+"
+    # Patterns begin with the character they look for, so most positions fail at once; the
+    # look-behind then keeps a long run of blanks from being tried from each of its characters.
+    c = F.regexp_replace(c, r"[ \t](?<![ \t]{2})[ \t]*+(?=\n|\z)", "")
+    c = F.regexp_replace(c, rf"\n{blanks}(?=\n|\z)", "\n")
+    c = F.regexp_replace(c, rf"\A{blanks}(?=\n|\z)", "")
     c = F.regexp_replace(c, r"\A\n+", "\n")
     c = F.regexp_replace(c, r"\n{3,}", "\n\n")
     return F.regexp_replace(c, r"\n+\z", "")

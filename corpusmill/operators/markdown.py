@@ -312,7 +312,7 @@ def _settle(c: Column) -> Column:
         (f"(?:[{BREAK}{SOFT}]{pre}*+)*+{BLOCK}(?:{pre}*+[{BREAK}{SOFT}{BLOCK}])*+({pre}*+)", f"{BLOCK}$1"),
         (f"(?:{BREAK}{pre}*+)*+{SOFT}(?:{pre}*+[{BREAK}{SOFT}])*+({pre}*+)", f"{SOFT}$1"),
         (f"\\A(?:[ {QUOTE}{INDENT}]*+{brk})++({pre}*+)", "$1"),
-        (f"(?<!{brk}|{pre}|[ ])(?:[ ]|{brk}{pre}*+)++\\z", ""),
+        (f"[ {BREAK}-{CUT}](?<![ {BREAK}-{INDENT}]{{2}})[ {BREAK}-{INDENT}]*+\\z", ""),
         (r"\A +| (?= )", ""),
         (f"{CUT}({pre}*+)", "\n\n$1"),
         (f"{BLOCK}({pre}*+)", "\n$1\n$1"),
