@@ -1,8 +1,8 @@
 """Pages that arrive over time.
 
-The reference loop adds each arriving page to a growing corpus. Here new files are a stream,
-each micro-batch runs the batch operators, and what has been seen lives in tables or in the
-state store, both below the folder the caller names (a shared one on a cluster).
+New page files are a stream, each micro-batch runs the batch operators, and what has been seen
+lives in tables or in the state store, both below the folder the caller names (a shared one on a
+cluster).
 """
 
 from __future__ import annotations
