@@ -9,12 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 from corpusmill.llm.common import documents
 from corpusmill.llm.decontamination import contamination
 from corpusmill.llm.mixing import mixture
+from corpusmill.llm.near_duplicates import near_duplicates
 from corpusmill.llm.quality import quality
 from corpusmill.llm.sharding import assign_shards
 from corpusmill.llm.toxicity import fit, score
 from corpusmill.llm.url_filter import filter_urls
 
 
+def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
     return score(docs, fit(docs, labels)).drop("__text")
@@ -41,5 +46,5 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_toxicity, op5_url_filters, op7_quality_rules, op8_benchmark_decontamination, op9_mixing, op10_sharding)
+    f.__name__: f for f in (op3_minhash_near_dedup, op4_toxicity, op5_url_filters, op7_quality_rules, op8_benchmark_decontamination, op9_mixing, op10_sharding)
 }
