@@ -12,10 +12,15 @@ from corpusmill.llm.mixing import mixture
 from corpusmill.llm.near_duplicates import near_duplicates
 from corpusmill.llm.quality import quality
 from corpusmill.llm.sharding import assign_shards
+from corpusmill.llm.suffix_dedup import without_repeats
 from corpusmill.llm.toxicity import fit, score
 from corpusmill.llm.url_filter import filter_urls
 
 
+def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return without_repeats(documents(spark, sf_dir)).drop("kept")
+
+
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
@@ -46,5 +51,5 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_minhash_near_dedup, op4_toxicity, op5_url_filters, op7_quality_rules, op8_benchmark_decontamination, op9_mixing, op10_sharding)
+    f.__name__: f for f in (op1_suffix_array_dedup, op3_minhash_near_dedup, op4_toxicity, op5_url_filters, op7_quality_rules, op8_benchmark_decontamination, op9_mixing, op10_sharding)
 }
