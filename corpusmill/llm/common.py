@@ -8,8 +8,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-# Fixed value: a word is a run of anything but ASCII white space.
-WORD = r"[^\x20\x09-\x0D]++"
+# Fixed value: a word is a run of anything but ASCII white space (ranges are much faster than their complement).
+WORD = r"[\x00-\x08\x0E-\x1F\x21-\x{10FFFF}]++"
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -17,8 +17,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from corpusmill.llm.common import keep_rows, stored, text_key
 
-# Fixed value: letters, digits and everything outside ASCII make words.
-TOKEN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]++"
+# Fixed value: letters, digits and everything outside ASCII make words (ranges are much faster than their complement).
+TOKEN = r"[0-9A-Za-z\x80-\x{10FFFF}]++"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -68,7 +68,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = 10, max_broadcast:
     joined = rows.alias("r").join(
         hits.alias("h"), F.col("r.__id").eqNullSafe(F.col("h.__id")) & (F.col("r.__text") == F.col("h.__text")), "left",
     ).select("r.__id", "r.__text", "r.text", F.sort_array("hits").alias("hits"), F.regexp_count(
-        F.translate(F.coalesce("r.text", F.lit("")), UPPER, LOWER), F.lit(TOKEN)).cast("long").alias("n_words"))
+        F.coalesce("r.text", F.lit("")), F.lit(TOKEN)).cast("long").alias("n_words"))
     with_words = joined.withColumn("words", F.when(F.col("hits").isNotNull(), words(F.col("text"))))
     true_hits = F.filter("hits", lambda x: F.array_join(F.slice("words", x["at"] + 1, x["length"]), " ") == x["window"])
     verified = with_words.select("__id", "__text", "n_words", true_hits.alias("hits"))
