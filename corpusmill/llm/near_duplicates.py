@@ -287,17 +287,34 @@ def _large_links(members: DataFrame, max_pivot_bytes: int, percent: int) -> Data
 def _tokens_of(k: int):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            packed = [s.tobytes() for s in shingle_sets(batch["text"], k)]
+            sets = list(shingle_sets(batch["text"], k))
             yield pa.RecordBatch.from_arrays(
-                [batch["root"], batch["rep"], batch["n_shingles"], batch["signature"], pa.array(packed, pa.binary())],
+                [batch["root"], batch["rep"], pa.array([len(s) for s in sets], pa.int64()),
+                 pa.array([signature(s).tobytes() for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())],
                 ["root", "rep", "n_shingles", "signature", "tokens"])
 
     return pack
 
 
+def confirmed_links(
+    located: DataFrame, k: int = 5, percent: int = 75, task_classes: int = 1000, task_bytes: int = 8_000_000, max_pivot_bytes: int = 32_000_000,
+) -> DataFrame:
+    """``a, b``: links that connect, within each candidate group of ``located`` (``root, rep, text``), what full sets link."""
+    sizes = located.groupBy("root").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("s"))
+    fits = (F.col("n") <= task_classes) & (F.col("s") <= task_bytes)
+    placed = stored(located.join(sizes.select("root", fits.alias("fits")), "root"))
+    solved = stored(placed.filter("fits").select("root", "rep", "text").repartition("root").sortWithinPartitions("root").mapInArrow(
+        _small_links(k, percent), "a long, b long"))
+    large = placed.filter(~F.col("fits"))
+    if large.isEmpty():
+        return solved
+    packed = large.select("root", "rep", "text").mapInArrow(
+        _tokens_of(k), "root long, rep long, n_shingles long, signature binary, tokens binary")
+    return solved.unionByName(_large_links(stored(packed), max_pivot_bytes, percent))
+
+
 def components(
-    docs: DataFrame, k: int = 5, percent: int = 75, trees: int = 8, small: int = 256,
-    task_classes: int = 1000, task_shingles: int = 1_000_000, max_pivot_bytes: int = 32_000_000,
+    docs: DataFrame, k: int = 5, percent: int = 75, trees: int = 8, small: int = 256, **group_options: int,
 ) -> DataFrame:
     """``__id, __text, n_shingles, component_id, keeper``: one row per row of ``docs``.
 
@@ -310,20 +327,10 @@ def components(
         F.min_by(F.struct("__id", "__text", "n_shingles", "signature"), F.struct(F.col("__id").isNull(), "__id", "__text")).alias("r"))
     classes = stored(classes.select("rep", "r.*"))
     groups = candidate_groups(classes.select("rep", "signature"), trees=trees, small=small)
-    grouped = stored(classes.join(groups.withColumnRenamed("node", "rep"), "rep"))
-    sizes = grouped.groupBy("root").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
-    fits = (F.col("n") <= task_classes) & (F.col("s") <= task_shingles)
-    placed = stored(grouped.join(sizes, "root").withColumn("fits", fits).drop("n", "s"))
-
+    grouped = classes.select("rep", "__id", "__text").join(groups.withColumnRenamed("node", "rep"), "rep")
     texts = docs.select(F.col("doc_id").alias("i"), text_key(F.col("text")).alias("t"), "text")
-    located = placed.join(texts, F.col("__id").eqNullSafe(F.col("i")) & (F.col("__text") == F.col("t"))).dropDuplicates(["rep"])
-    solved = stored(located.filter("fits").select("root", "rep", "text").repartition("root").sortWithinPartitions("root").mapInArrow(
-        _small_links(k, percent), "a long, b long"))
-    links = solved
-    if not placed.filter(~F.col("fits")).isEmpty():
-        large = located.filter(~F.col("fits")).select("root", "rep", "n_shingles", "signature", "text").mapInArrow(
-            _tokens_of(k), "root long, rep long, n_shingles long, signature binary, tokens binary")
-        links = links.unionByName(_large_links(stored(large), max_pivot_bytes, percent))
+    located = grouped.join(texts, F.col("__id").eqNullSafe(F.col("i")) & (F.col("__text") == F.col("t"))).dropDuplicates(["rep"])
+    links = confirmed_links(located.select("root", "rep", "text"), k, percent, **group_options)
     labels = connected_components(links).withColumnRenamed("node", "rep").withColumnRenamed("root", "label")
     key = F.struct(F.col("__id").isNull().alias("none"), "__id", "__text")
     firsts = classes.select("rep", key.alias("key")).join(labels, "rep", "left").groupBy(F.coalesce("label", "rep").alias("label")).agg(F.min("key").alias("key"))
