@@ -10,6 +10,7 @@ from corpusmill.llm.common import documents
 from corpusmill.llm.decontamination import contamination
 from corpusmill.llm.mixing import mixture
 from corpusmill.llm.near_duplicates import near_duplicates
+from corpusmill.llm.paragraph_dedup import repeated_paragraphs
 from corpusmill.llm.quality import quality
 from corpusmill.llm.sharding import assign_shards
 from corpusmill.llm.suffix_dedup import without_repeats
@@ -21,6 +22,10 @@ def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_repeats(documents(spark, sf_dir)).drop("kept")
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_paragraphs(documents(spark, sf_dir))
+
+
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
@@ -51,5 +56,5 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_suffix_array_dedup, op3_minhash_near_dedup, op4_toxicity, op5_url_filters, op7_quality_rules, op8_benchmark_decontamination, op9_mixing, op10_sharding)
+    f.__name__: f for f in (op1_suffix_array_dedup, op2_substring_dedup, op3_minhash_near_dedup, op4_toxicity, op5_url_filters, op7_quality_rules, op8_benchmark_decontamination, op9_mixing, op10_sharding)
 }

@@ -53,8 +53,8 @@ def lowered(raw: np.ndarray) -> np.ndarray:
     return np.where((raw >= 65) & (raw <= 90), raw + np.uint8(32), raw)
 
 
-def word_hashes(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of every word (run of anything but ASCII white space), and the number of words of each value."""
+def word_spans(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, begin and end of every word (run of anything but ASCII white space)."""
     n = len(raw)
     inside = ~((raw == 32) | ((raw >= 9) & (raw <= 13)))
     cut = np.zeros(n + 1, bool)
@@ -64,13 +64,16 @@ def word_hashes(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nda
     ends = inside.copy()
     ends[:-1] &= ~inside[1:] | cut[1:n]
     start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    power = powers(_BASE, n)
     total = np.zeros(n + 1, np.uint64)
-    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * power, out=total[1:])
+    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * powers(_BASE, n), out=total[1:])
     back = powers(inverse(_BASE), n)
-    hashes = mixed((total[end] - total[start]) * back[start] + (end - start).astype(np.uint64))
-    counts = np.searchsorted(start, bounds[1:]) - np.searchsorted(start, bounds[:-1])
-    return hashes, counts
+    return mixed((total[end] - total[start]) * back[start] + (end - start).astype(np.uint64)), start, end
+
+
+def word_hashes(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of every word, and the number of words of each value."""
+    hashes, start, _ = word_spans(raw, bounds)
+    return hashes, np.searchsorted(start, bounds[1:]) - np.searchsorted(start, bounds[:-1])
 
 
 def shingle_sets(column: pa.Array, k: int = 5) -> Iterator[np.ndarray]:
