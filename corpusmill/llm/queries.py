@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from corpusmill.llm.common import documents
 from corpusmill.llm.decontamination import contamination
+from corpusmill.llm.line_dedup import repeated_lines
 from corpusmill.llm.mixing import mixture
 from corpusmill.llm.near_duplicates import near_duplicates
 from corpusmill.llm.paragraph_dedup import repeated_paragraphs
@@ -39,6 +40,10 @@ def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_lines(documents(spark, sf_dir))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(documents(spark, sf_dir))
 
@@ -56,5 +61,5 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_suffix_array_dedup, op2_substring_dedup, op3_minhash_near_dedup, op4_toxicity, op5_url_filters, op7_quality_rules, op8_benchmark_decontamination, op9_mixing, op10_sharding)
+    f.__name__: f for f in (op1_suffix_array_dedup, op2_substring_dedup, op3_minhash_near_dedup, op4_toxicity, op5_url_filters, op6_line_dedup, op7_quality_rules, op8_benchmark_decontamination, op9_mixing, op10_sharding)
 }
