@@ -50,6 +50,14 @@ def keyed(docs: DataFrame) -> tuple[Column, Column]:
     return docs["doc_id"], text_key(docs["text"])
 
 
+def free_name(docs: DataFrame, name: str) -> str:
+    """``name``, or a longer one if ``docs`` has such a column."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def keep_rows(docs: DataFrame, decisions: DataFrame, how: str = "left_semi") -> DataFrame:
     """Rows of ``docs`` that ``decisions`` (``__id, __text``) names, or with ``left_anti`` the others.
 

@@ -15,7 +15,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from corpusmill.llm.common import WORD, running, stored, text_key
+from corpusmill.llm.common import WORD, free_name, running, stored, text_key
 
 WEIGHTS = (5, 2, 1)
 
@@ -92,9 +92,10 @@ def mix(docs: DataFrame, **options) -> DataFrame:
         docs["doc_id"].eqNullSafe(chosen["__id"]) & docs["source"].eqNullSafe(chosen["__source"])
         & (text_key(docs["text"]) == chosen["__text"])
     )
+    turn = free_name(docs, "__copy")
     repeated = docs.join(chosen, on).select(
-        *[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("__copy"))
-    return repeated.drop("__copy")
+        *[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), chosen["copies"].cast("int"))).alias(turn))
+    return repeated.drop(turn)
 
 
 def mixture(docs: DataFrame, **options) -> DataFrame:

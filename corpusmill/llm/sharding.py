@@ -27,7 +27,7 @@ SLOT_BITS = 12
 def ring(spark: SparkSession, shards: int, vnodes: int, seed: str) -> list[tuple[int, int]]:
     """``(position, shard)`` of all virtual nodes in clockwise order; their number is a parameter."""
     points = spark.range(shards * vnodes).select(
-        F.xxhash64(F.lit(seed), F.col("id")).alias("at"), (F.col("id") % shards).cast("int").alias("shard"))
+        F.xxhash64(F.lit(seed), F.col("id")).alias("at"), F.floor(F.col("id") / vnodes).cast("int").alias("shard"))
     return sorted((r["at"], r["shard"]) for r in points.collect())
 
 

@@ -326,16 +326,18 @@ def _hot_windows(length: int):
 
 
 def repeats(docs: DataFrame, length: int = 200, gram: int = 64, hot: int = 20_000, run_size: int = 50_000, part_size: int = 100_000) -> DataFrame:
-    """``row, begin, end``: stretches of repeated bytes of ``docs`` (``row, text``), possibly overlapping."""
+    """``row, begin, end``: stretches of repeated bytes of ``docs`` (``row, text`` and what else is to go with them),
+    possibly overlapping."""
     spark = docs.sparkSession
     every = stored(find_anchors(docs, length, gram))
-    counts = every.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1")
+    counts = stored(every.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1"))
     again = stored(every.join(counts, "hash").select("row", "at", "n", "hash", "gram"))
     total = again.filter(F.col("n") <= hot).count()
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // part_size + 1)
     by_row = again.groupBy("row", (F.col("n") > hot).alias("hot")).agg(F.collect_set("at").alias("places"))
-    placed = docs.select("row", "text").join(by_row, "row")
-    usual = placed.filter("NOT hot").select("row", "text", "places")
+    # the same exchange of texts serves both kinds and, in without_repeats, the result
+    placed = docs.join(by_row, "row")
+    usual = placed.filter("NOT hot").drop("hot")
 
     # splitters: grams chosen by hash, about 64 for every range
     step = max(1, total // (64 * parts * SAMPLE)) * SAMPLE
@@ -346,7 +348,7 @@ def repeats(docs: DataFrame, length: int = 200, gram: int = 64, hot: int = 20_00
     found = runs.repartition(parts, "part").sortWithinPartitions("part", "run").mapInArrow(merge_runs(length, gram), "row long, begin long, end long")
     if again.filter(F.col("n") > hot).isEmpty():
         return found
-    windows = stored(placed.filter("hot").select("row", "text", "places").mapInArrow(_hot_windows(length), "one long, two long, row long, begin long"))
+    windows = placed.filter("hot").drop("hot").mapInArrow(_hot_windows(length), "one long, two long, row long, begin long")
     twice = windows.groupBy("one", "two").agg(F.count("*").alias("n")).filter("n > 1")
     more = windows.join(twice, ["one", "two"]).select("row", "begin", (F.col("begin") + length).alias("end"))
     return found.unionByName(more)
@@ -366,7 +368,7 @@ def _removed(begins: list[int], ends: list[int]) -> list[tuple[int, int]]:
 def without_repeats(docs: DataFrame, **options) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept``: one row per row of ``docs``; ``kept`` are the remaining bytes."""
     rows = docs.select("doc_id", F.xxhash64("doc_id", text_key(F.col("text"))).alias("row"), F.coalesce("text", F.lit("")).alias("text"))
-    found = repeats(rows.select("row", "text"), **options).groupBy("row").agg(
+    found = repeats(rows, **options).groupBy("row").agg(
         F.collect_set(F.struct("begin", "end")).alias("s")).select("row", F.col("s.begin").alias("begins"), F.col("s.end").alias("ends"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
