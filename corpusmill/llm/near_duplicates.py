@@ -5,12 +5,12 @@ Documents are sets of word shingles; documents with equal sets are one class fro
 chosen coordinate and its token there. Nodes of at most ``small`` classes are compared exhaustively by signature.
 A larger node compares everything with one pivot and branches again: classes near the pivot are one candidate group,
 and of those only the ones on the rim, which could still be near something that is far from the pivot, walk on with the rest
-(Jaccard distance obeys the triangle inequality). After ``depth`` levels a node stops branching and goes through
-its pivots one by one until none is left, so that no pair is dropped.
+(Jaccard distance obeys the triangle inequality). A node where everything is near the pivot is done; the pivot itself never walks on,
+so every node comes to an end.
 
 What this yields are candidate groups, wider than needed. Links are then confirmed on full sets: a group that fits a
-task is solved there; of a larger one, pivots that fit ``max_pivot_bytes`` are shown to all its members in each round, until
-all classes outside the main component have been a pivot. Only pivots of one round pass through the driver.
+task is solved there; in a larger one, the most central member and then all that are not linked to it are pivots, shown to
+all members in batches of ``max_pivot_bytes``. Only the pivots of one batch pass through the driver.
 
 Defined results: NULL, empty and wordless texts have an empty set and are linked with nothing; equal rows are in one
 component; a NULL ``doc_id`` is never the smallest unless there is no other; an empty table gives an empty table;
@@ -25,14 +25,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from corpusmill.llm.common import keep_rows, stored, text_key
+from corpusmill.llm.common import free_name, keep_rows, stored, text_key
 from corpusmill.llm.graph import connected_components
 from corpusmill.llm.shingles import mixed, shingle_sets
 
 COORDINATES = 64
 # Signature agreement at which classes are candidates, far enough below the wanted similarity for no link to be missed,
-# agreement with a pivot that joins its group, and agreement beyond which a class cannot be near one that does not.
-CANDIDATE, GROUP, CORE = 0.45, 0.3, 0.68
+# agreement with a pivot that joins its group, and by how much more a class must agree with the pivot than another one
+# so that the two cannot be similar (0.25 by the triangle inequality, the rest for chance).
+CANDIDATE, GROUP, RIM = 0.45, 0.3, 0.38
+# Signature agreement below which a pair need not be confirmed on full sets: 3.7 standard deviations from 0.75.
+CONFIRM = 0.55
+BRANCHES = 2
 _FACTORS = mixed(np.arange(1, COORDINATES + 1, dtype=np.uint64)) | np.uint64(1)
 _ADDENDS = mixed(np.arange(1001, COORDINATES + 1001, dtype=np.uint64))
 SALTS = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
@@ -117,59 +121,53 @@ def _within_small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([pa.array(reps[a]), pa.array(reps[root[a]])], ["a", "b"])
 
 
-def _within_large(branches: int):
-    """Compares members with their pivot; gives links (``node`` NULL) and walks on (``b`` NULL)."""
-
-    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            node, rep, pivot = (batch[c].to_numpy().astype(np.int64) for c in ("node", "rep", "pivot"))
-            sigs = _matrix(batch["signature"], np.uint32, COORDINATES)
-            alike = (sigs == _matrix(batch["pivot_signature"], np.uint32, COORDINATES)).mean(axis=1)
-            link = np.flatnonzero((alike >= GROUP) & (rep != pivot))
-            on = np.flatnonzero((alike < CORE) & (rep != pivot))
-            nodes = [node[on]] if not branches else []
-            for k in range(branches):
-                chosen = mixed(node[on].astype(np.uint64) + np.uint64(k + 1))
-                token = sigs[on, (chosen % np.uint64(COORDINATES)).astype(int)]
-                nodes.append(mixed(chosen ^ mixed(token.astype(np.uint64) + np.uint64(1))).astype(np.int64))
-            walks = len(nodes)
-            yield pa.RecordBatch.from_arrays([
-                pa.array(np.concatenate([rep[link], *[rep[on]] * walks])),
-                pa.array(np.concatenate([pivot[link], *[np.zeros_like(on)] * walks]), mask=np.arange(len(link) + walks * len(on)) >= len(link)),
-                pa.array(np.concatenate([np.zeros_like(link), *nodes]).astype(np.int64), mask=np.arange(len(link) + walks * len(on)) < len(link)),
-            ], ["rep", "b", "node"])
-
-    return step
-
-
-def candidate_groups(classes: DataFrame, trees: int = 8, depth: int = 8, small: int = 256) -> DataFrame:
+def _within_large(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Agreement of members with their pivot, and the ``BRANCHES`` child nodes they would walk on to."""
+    for batch in batches:
+        sigs = _matrix(batch["signature"], np.uint32, COORDINATES)
+        alike = (sigs == _matrix(batch["pivot_signature"], np.uint32, COORDINATES)).mean(axis=1)
+        node = batch["node"].to_numpy().astype(np.uint64)
+        children = []
+        for k in range(BRANCHES):
+            chosen = mixed(node + np.uint64(k + 1))
+            token = sigs[np.arange(len(sigs)), (chosen % np.uint64(COORDINATES)).astype(int)]
+            children.append(mixed(chosen ^ mixed(token.astype(np.uint64) + np.uint64(1))).astype(np.int64))
+        yield pa.RecordBatch.from_arrays(
+            [batch["node"], batch["rep"], batch["pivot"], pa.array(alike, pa.float64()), pa.array(np.column_stack(children).tolist(), pa.list_(pa.int64()))],
+            ["node", "rep", "pivot", "alike", "children"])
+
+
+def candidate_groups(classes: DataFrame, trees: int = 8, small: int = 4096) -> DataFrame:
     """``node, root``: candidate groups of ``classes`` (``rep, signature``), named by their smallest ``rep``."""
     tokens = F.array(*[F.expr(f"substring(signature, {4 * t * (COORDINATES // trees) + 1}, 4)") for t in range(trees)])
     walkers = stored(classes.select("rep", F.posexplode(tokens).alias("tree", "token")).select("rep", F.xxhash64("tree", "token").alias("node")))
     signatures = classes.select("rep", "signature")
-    found, level = [], 0
+    found, solvable = [], []
     while True:
-        sizes = walkers.groupBy("node").agg(F.count("*").alias("n"), F.min_by("rep", F.xxhash64("rep", "node")).alias("pivot")).filter("n > 1")
-        members = stored(walkers.join(sizes, "node"))
-        few = members.filter(F.col("n") <= small).select("node", "rep").join(signatures, "rep")
-        found.append(stored(few.repartition("node").sortWithinPartitions("node").mapInArrow(_within_small, "a long, b long").distinct()))
-        many = members.filter(F.col("n") > small)
-        if many.isEmpty():
+        sizes = stored(walkers.groupBy("node").agg(F.count("*").alias("n"), F.min_by("rep", F.xxhash64("rep", "node")).alias("pivot")).filter("n > 1"))
+        solvable.append(walkers.join(sizes.filter(F.col("n") <= small), "node").select("node", "rep"))
+        large = sizes.filter(F.col("n") > small)
+        if large.isEmpty():
             break
-        level += 1
-        pivots = many.select("node", "pivot").distinct().join(
+        pivots = large.select("node", "pivot").join(
             signatures.select(F.col("rep").alias("pivot"), F.col("signature").alias("pivot_signature")), "pivot").select("node", "pivot", "pivot_signature")
-        shown = many.select("node", "rep").join(pivots, "node").join(signatures, "rep")
-        walked = stored(shown.mapInArrow(_within_large(2 if level < depth else 0), "rep long, b long, node long"))
-        found.append(walked.filter("b IS NOT NULL").select(F.col("rep").alias("a"), "b").distinct())
-        walkers = walked.filter("node IS NOT NULL").select("rep", "node")
-        walkers = stored(walkers.distinct())
-    edges = found[0]
-    for more in found[1:]:
-        edges = edges.unionByName(more)
-    return connected_components(edges)
+        shown = walkers.join(pivots, "node").join(signatures, "rep").select("node", "rep", "pivot", "signature", "pivot_signature")
+        walked = stored(shown.mapInArrow(_within_large, "node long, rep long, pivot long, alike double, children array<long>"))
+        found.append(walked.filter((F.col("alike") >= GROUP) & (F.col("rep") != F.col("pivot"))).select(F.col("rep").alias("a"), F.col("pivot").alias("b")))
+        # a node in which all are near the pivot is done; else what could be near the ones that are not walks on with them
+        far = walked.filter(F.col("alike") < GROUP).groupBy("node").agg(F.max("alike").alias("rim"))
+        on = walked.join(far, "node").filter((F.col("rep") != F.col("pivot")) & (F.col("alike") < F.col("rim") + RIM))
+        walkers = stored(on.select("rep", F.explode("children").alias("node")).distinct())
+    few = _union(solvable).join(signatures, "rep")
+    found.append(few.repartition("node").sortWithinPartitions("node").mapInArrow(_within_small, "a long, b long"))
+    return connected_components(_union(found))
+
+
+def _union(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for more in tables[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 def _jaccard_at_least(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -183,21 +181,27 @@ def _jaccard_at_least(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def _solve_group(sets: list[np.ndarray], percent: int) -> np.ndarray:
-    """Components of the links between sets: likely pairs first, and no pair that is already connected."""
+    """Components of the links between sets: first around the most central ones, then likely pairs, and no pair that is already connected."""
     sigs = np.array([signature(s) for s in sets])
     root = np.arange(len(sets))
 
-    def merge(i: int, j: int) -> None:
-        a, b = root[i], root[j]
-        if a != b and _jaccard_at_least(sets[i], sets[j], percent):
-            root[root == max(a, b)] = min(a, b)
-
+    def merge(i: int, others: np.ndarray) -> None:
+        for j in others:
+            a, b = root[i], root[j]
+            if a != b and _jaccard_at_least(sets[i], sets[j], percent):
+                root[root == max(a, b)] = min(a, b)
+
+    if len(sets) > 8:
+        usual = np.array([np.unique(column, return_counts=True) for column in sigs.T], dtype=object)
+        mode = np.array([tokens[np.argmax(counts)] for tokens, counts in usual])
+        for i in np.argsort(-(sigs == mode).sum(axis=1), kind="stable")[:8]:
+            merge(i, np.flatnonzero((sigs == sigs[i]).mean(axis=1) >= CONFIRM))
     for strong in (True, False):
         for i in range(len(sets) - 1):
-            alike = (sigs[i + 1:] == sigs[i]).mean(axis=1)
-            wanted = (alike >= 0.7) if strong else (alike >= CANDIDATE) & (alike < 0.7)
-            for j in np.flatnonzero(wanted & (root[i + 1:] != root[i])) + i + 1:
-                merge(i, j)
+            apart = np.flatnonzero(root[i + 1:] != root[i]) + i + 1
+            if len(apart):
+                alike = (sigs[apart] == sigs[i]).mean(axis=1)
+                merge(i, apart[(alike >= 0.7) if strong else (alike >= CONFIRM) & (alike < 0.7)])
     return root
 
 
@@ -214,74 +218,99 @@ def _small_links(k: int, percent: int):
     return solve
 
 
-def _large_links(members: DataFrame, max_pivot_bytes: int, percent: int) -> DataFrame:
-    """Links of groups that no single task should hold; ``members`` (``root, rep, n_shingles, signature, tokens``) is stored."""
+def _central(members: DataFrame) -> DataFrame:
+    """``rep``: of every group the member whose signature agrees best with its most frequent token in each coordinate."""
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens = _matrix(batch["signature"], np.uint32, COORDINATES)
+            n = len(tokens)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.repeat(batch["root"].to_numpy(), COORDINATES)), pa.array(np.tile(np.arange(COORDINATES), n)), pa.array(tokens.ravel().astype(np.int64)),
+                 pa.array(np.repeat(batch["rep"].to_numpy(), COORDINATES))], ["root", "at", "token", "rep"])
+
+    tokens = members.select("root", "rep", "signature").mapInArrow(spread, "root long, at long, token long, rep long")
+    counts = tokens.groupBy("root", "at", "token").agg(F.count("*").alias("n"))
+    mode = (counts.groupBy("root", "at").agg(F.max_by("token", F.struct("n", "token")).alias("token")).groupBy("root").agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("at", "token"))), lambda x: x["token"]).alias("mode")))
+
+    def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = _matrix(batch["signature"], np.uint32, COORDINATES)
+            mode = np.array(batch["mode"].to_pylist(), np.int64).reshape(-1, COORDINATES)
+            yield pa.RecordBatch.from_arrays([batch["root"], batch["rep"], pa.array((own == mode).sum(axis=1))], ["root", "rep", "agree"])
+
+    rated = members.select("root", "rep", "signature").join(mode, "root").select("root", "rep", "signature", "mode").mapInArrow(
+        agree, "root long, rep long, agree long")
+    best = rated.groupBy("root").agg(F.max_by("rep", F.struct("agree", "rep")).alias("rep"))
+    return stored(best.select("rep"))
+
+
+def _pivot_links(members: DataFrame, batch: DataFrame, percent: int) -> DataFrame:
+    """``a, b``: members and the pivots of their group (``rep`` in ``batch``) they are linked to, as far as these are not connected yet."""
     spark = members.sparkSession
-    state = stored(members.select("root", "rep", F.col("n_shingles").alias("size"), F.col("rep").alias("label"), F.lit(False).alias("done")))
-    found: list[DataFrame] = []
+    shown: dict[int, list[tuple[int, bytes, bytes]]] = {}
+    for p in members.join(F.broadcast(batch), "rep").select("root", "rep", "tokens", "signature").collect():
+        shown.setdefault(p["root"], []).append((p["rep"], bytes(p["tokens"]), bytes(p["signature"])))
+    shipped = spark.sparkContext.broadcast(shown)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = {
+            root: (np.array([r for r, _, _ in ps]), [np.frombuffer(t, np.uint64) for _, t, _ in ps],
+                   np.array([np.frombuffer(s, np.uint32) for _, _, s in ps]), np.arange(len(ps)))
+            for root, ps in shipped.value.items()
+        }
+        for rows in batches:
+            a, b = [], []
+            for root, rep, sig, tokens in zip(*(rows[c].to_pylist() for c in ("root", "rep", "signature", "tokens")), strict=True):
+                if root not in table:
+                    continue
+                # joined: which pivots this task has found to be connected; one link to each of those is enough
+                reps, sets, sigs, joined = table[root]
+                own, linked = np.frombuffer(tokens, np.uint64), set()
+                alike = (sigs == np.frombuffer(sig, np.uint32)).mean(axis=1)
+                likely = np.flatnonzero(alike >= CONFIRM)
+                for at in likely[np.argsort(-alike[likely])]:
+                    if joined[at] not in linked and (reps[at] == rep or _jaccard_at_least(own, sets[at], percent)):
+                        linked.add(joined[at])
+                        a.append(rep)
+                        b.append(int(reps[at]))
+                if len(linked) > 1:
+                    joined[np.isin(joined, list(linked))] = min(linked)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    links = stored(members.select("root", "rep", "signature", "tokens").mapInArrow(compare, "a long, b long"))
+    shipped.unpersist()
+    return links
+
+
+def _large_links(members: DataFrame, max_pivot_bytes: int, percent: int) -> DataFrame:
+    """Links of groups that no single task should hold; ``members`` (``root, rep, n_shingles, signature, tokens``) is stored.
+
+    First every member is compared with the most central one. Those linked to it are in one component, and pairs among
+    them need no look; each of the others becomes a pivot, too, and meets all members.
+    """
+    central = _central(members)
+    near = _by_batches(members, central, max_pivot_bytes, percent)
+    covered = near.select(F.col("a").alias("rep")).unionByName(central).distinct()
+    others = members.select("rep").join(covered, "rep", "left_anti")
+    return near.unionByName(_by_batches(members, others, max_pivot_bytes, percent))
+
+
+def _by_batches(members: DataFrame, pivots: DataFrame, max_pivot_bytes: int, percent: int) -> DataFrame:
+    """:func:`_pivot_links` of all ``pivots`` (``rep``), of which the driver sees ``max_pivot_bytes`` at a time."""
+    waiting = stored(members.join(pivots, "rep", "left_semi").select(
+        "rep", (F.col("n_shingles") * 8 + 512).alias("bytes"), F.xxhash64("rep").alias("turn")))
+    found, last = [], None
     while True:
-        # classes that may still bring a link: not yet a pivot, and outside the largest component of their group
-        counts = state.groupBy("root", "label").agg(F.count("*").alias("n"))
-        main = counts.groupBy("root").agg(F.max_by("label", F.struct("n", -F.col("label"))).alias("main"))
-        open_ones = state.join(main, "root").filter("NOT done AND label <> main")
-        if not found:
-            # the first pivots: of each group a few members, by hash
-            turn = Window.partitionBy("root").orderBy("rank")
-            ranked = open_ones.withColumn("rank", F.xxhash64("rep")).filter(F.pmod("rank", F.lit(64)) == 0)
-            open_first = ranked.withColumn("turn", F.row_number().over(turn)).filter("turn <= 16").select(*open_ones.columns)
-            open_ones = open_ones if open_first.isEmpty() else open_first
-        upto = F.xxhash64("rep")
-        waiting = open_ones.select("root", "rep", "size", upto.alias("turn"))
-        total = waiting.agg(F.sum(F.col("size") * 8 + 512), F.count("*")).first()
-        if not total[1]:
-            break
-        share = min(1.0, max_pivot_bytes / 2 / total[0])
-        batch = waiting.filter(F.pmod("turn", F.lit(1 << 20)) < max(1, int(share * (1 << 20)))).orderBy("turn").select("rep").limit(
-            max(1, max_pivot_bytes // 4096))
-        if batch.isEmpty():
-            batch = waiting.orderBy("turn").select("rep").limit(1)
-        batch = stored(batch)
-        pivots = members.join(F.broadcast(batch), "rep").select("root", "rep", "tokens", "signature").collect()
-        shown: dict[int, list[tuple[int, bytes, bytes]]] = {}
-        for p in pivots:
-            shown.setdefault(p["root"], []).append((p["rep"], bytes(p["tokens"]), bytes(p["signature"])))
-        shipped = spark.sparkContext.broadcast(shown)
-
-        def compare(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
-            table = {
-                root: (np.array([r for r, _, _ in ps]), [np.frombuffer(t, np.uint64) for _, t, _ in ps],
-                       np.array([np.frombuffer(s, np.uint32) for _, _, s in ps]))
-                for root, ps in shipped.value.items()
-            }
-            for rows in batches:
-                a, b = [], []
-                for root, rep, sig, tokens in zip(*(rows[c].to_pylist() for c in ("root", "rep", "signature", "tokens")), strict=True):
-                    if root not in table:
-                        continue
-                    reps, sets, sigs = table[root]
-                    own = np.frombuffer(tokens, np.uint64)
-                    for at in np.flatnonzero((sigs == np.frombuffer(sig, np.uint32)).mean(axis=1) >= CANDIDATE):
-                        if reps[at] != rep and _jaccard_at_least(own, sets[at], percent):
-                            a.append(rep)
-                            b.append(int(reps[at]))
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-        links = members.select("root", "rep", "signature", "tokens").mapInArrow(compare, "a long, b long")
-        found.append(stored(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()))
-        shipped.unpersist()
-        edges = found[0]
-        for more in found[1:]:
-            edges = edges.unionByName(more)
-        labels = connected_components(edges)
-        state = stored(
-            state.drop("label").join(labels.withColumnRenamed("node", "rep").withColumnRenamed("root", "label"), "rep", "left")
-            .join(F.broadcast(batch.withColumn("now", F.lit(True))), "rep", "left")
-            .select("root", "rep", "size", F.coalesce("label", "rep").alias("label"), (F.col("done") | F.coalesce("now", F.lit(False))).alias("done"))
-        )
-    edges = members.select(F.col("rep").alias("a"), F.col("rep").alias("b")).limit(0)
-    for more in found:
-        edges = edges.unionByName(more)
-    return edges
+        after = waiting if last is None else waiting.filter(F.col("turn") > last)
+        some = after.orderBy("turn").limit(max(1, max_pivot_bytes // 520))
+        upto = F.coalesce(F.sum("bytes").over(Window.orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        batch = stored(some.withColumn("upto", upto).filter(F.col("upto") < max_pivot_bytes).select("rep", "turn"))
+        last = batch.agg(F.max("turn")).first()[0]
+        if last is None:
+            return _union(found) if found else members.select(F.col("rep").alias("a"), F.col("rep").alias("b")).limit(0)
+        found.append(_pivot_links(members, batch.select("rep"), percent))
 
 
 def _tokens_of(k: int):
@@ -314,7 +343,7 @@ def confirmed_links(
 
 
 def components(
-    docs: DataFrame, k: int = 5, percent: int = 75, trees: int = 8, small: int = 256, **group_options: int,
+    docs: DataFrame, k: int = 5, percent: int = 75, trees: int = 8, small: int = 4096, **group_options: int,
 ) -> DataFrame:
     """``__id, __text, n_shingles, component_id, keeper``: one row per row of ``docs``.
 
@@ -355,5 +384,6 @@ def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     repeated = counted.filter("n > 1 AND size > 0").select("__id", "__text")
     if repeated.isEmpty():
         return once
-    first = keep_rows(docs, repeated).withColumn("__key", F.struct(F.col("doc_id"), text_key(F.col("text")))).dropDuplicates(["__key"])
-    return once.unionByName(first.drop("__key"))
+    name = free_name(docs, "__key")
+    first = keep_rows(docs, repeated).withColumn(name, F.struct(F.col("doc_id"), text_key(F.col("text")))).dropDuplicates([name])
+    return once.unionByName(first.drop(name))
