@@ -12,15 +12,17 @@ from corpusmill.lineage import cut
 
 def dedup_content(
     pages: DataFrame, on: str = "content", by: Sequence[str] = (), order: Sequence[str] = ("depth", "url"),
+    key: str = "page_id",
 ) -> DataFrame:
     """Keep the first page, in ``order``, of every distinct content.
 
     An aggregation by hash instead of a ranking window: copies combine before the shuffle, so
-    content that a third of all pages share is one row per task, not one giant partition.
+    content that a third of all pages share is one row per task, not one giant partition. Only keys
+    and hashes are grouped; the pages themselves, which ``key`` names (within ``by``), join the winners.
     """
-    hashed = pages.withColumn("_hash", content_hash(F.col(on)))
-    first = F.min_by(F.struct(*pages.columns), F.struct(*order))
-    return hashed.groupBy(*by, "_hash").agg(first.alias("_first")).select("_first.*")
+    narrow = pages.select(*by, *dict.fromkeys([*order, key]), content_hash(F.col(on)).alias("_hash"))
+    first = narrow.groupBy(*by, "_hash").agg(F.min_by(key, F.struct(*order, key)).alias(key))
+    return pages.join(first.select(*by, key), [*by, key], "left_semi")
 
 
 def duplicate_groups(

@@ -72,22 +72,21 @@ def sections(ordered: DataFrame, metadata: Column | bool = True) -> DataFrame:
     )
 
 
-def assemble(ordered: DataFrame, specs: DataFrame, generated_at: str, pages_per_chunk: int = 1000) -> DataFrame:
-    """``site, part, chunk, markdown``: the document of every site, cut into bounded chunks.
+def assemble(ordered: DataFrame, specs: DataFrame, generated_at: str) -> DataFrame:
+    """``site, part, chunk, markdown``: the document of every site, piece by piece.
 
-    ``ordered`` has site, ord, depth, url, title, content. The chunks of a site, joined in the order
-    (part, chunk) without anything between, are its document: header (0), table of contents
-    (1, closed by 2) and sections (3). A chunk holds at most ``pages_per_chunk`` pages, so no task
-    ever holds a whole site; a site of up to that many pages has all its sections in one row.
+    ``ordered`` has site, ord, depth, url, title, content. The pieces of a site, joined in the order
+    (part, chunk) without anything between, are its document: header (0), one line of the table of contents
+    per page (1, closed by 2) and one section per page (3). No row holds more than one page and nothing is
+    gathered by site, so the size of a site does not matter; :func:`write_corpus` puts pieces into files.
     """
     spec = specs.select(
         F.col("name").alias("site"), "base_url", "max_depth", "include_metadata", "generate_toc"
     )
-    chunk = F.floor((F.col("ord") - 1) / pages_per_chunk).cast("int")
     counts = ordered.groupBy("site").agg(F.count("*").alias("pages"))
     once = counts.join(spec, "site")
     row = lambda part, text: F.struct(
-        F.lit(part).alias("part"), F.lit(0).alias("chunk"), text.alias("markdown")
+        F.lit(part).alias("part"), F.lit(0).cast("bigint").alias("chunk"), text.alias("markdown")
     )
     header = header_text(
         F.col("site"), F.col("base_url"), F.col("pages"), F.col("max_depth"), F.lit(generated_at).cast("timestamp")
@@ -101,18 +100,9 @@ def assemble(ordered: DataFrame, specs: DataFrame, generated_at: str, pages_per_
         .select("site", "r.*").filter("markdown <> ''")
     )
     flagged = ordered.join(spec.select("site", "include_metadata", "generate_toc"), "site")
-    toc = (
-        flagged.filter("generate_toc")
-        .select("site", "ord", chunk.alias("chunk"),
-                F.concat(toc_line(F.col("title"), F.col("depth")), F.lit("\n")).alias("line"))
-        .groupBy("site", "chunk").agg(F.expr("listagg(line, '') WITHIN GROUP (ORDER BY ord)").alias("markdown"))
-        .select("site", F.lit(1).alias("part"), "chunk", "markdown")
-    )
+    line = F.concat(toc_line(F.col("title"), F.col("depth")), F.lit("\n"))
+    toc = flagged.filter("generate_toc").select("site", F.lit(1).alias("part"), F.col("ord").alias("chunk"), line.alias("markdown"))
     text = section_text(F.col("title"), F.col("url"), F.col("depth"), F.col("content"), F.col("include_metadata"))
     between = F.when(F.col("ord") > 1, BETWEEN_SECTIONS).otherwise("")
-    body = (
-        flagged.select("site", "ord", chunk.alias("chunk"), F.concat(between, text).alias("section"))
-        .groupBy("site", "chunk").agg(F.expr("listagg(section, '') WITHIN GROUP (ORDER BY ord)").alias("markdown"))
-        .select("site", F.lit(3).alias("part"), "chunk", "markdown")
-    )
+    body = flagged.select("site", F.lit(3).alias("part"), F.col("ord").alias("chunk"), F.concat(between, text).alias("markdown"))
     return fixed.unionByName(toc).unionByName(body)

@@ -37,14 +37,16 @@ def follow_edges(
 ) -> DataFrame:
     """``carry, src, dst``: the distinct links that would be visited from each page.
 
-    Resolution, then the legal, ignore and follow filters, then the domain test, all in one
-    projection before the only shuffle. ``follow``, ``ignore`` and ``domains`` are lists, or
-    array columns when links of several sites are mixed.
+    Resolution, then the legal, ignore and follow filters, then the domain test, before the only shuffle.
+    ``follow`` and ``ignore`` are lists, or columns of alternations (``any_of``) when links of several sites are
+    mixed; ``domains`` is a list or an array column.
     """
+    # A generator, because filters are not pushed through one: a link is resolved once, not once per condition.
+    target = F.explode(F.array_compact(F.array(U.resolve_url(F.col("url"), F.col("href")))))
     resolved = links.select(
-        *carry, F.col("url").alias("src"), U.resolve_url(F.col("url"), F.col("href")).alias("dst"),
+        *carry, F.col("url").alias("src"), target.alias("dst"),
         *[c for c in (follow, ignore, domains) if not isinstance(c, (list, tuple))],
-    ).filter(F.col("dst").isNotNull())
+    )
     kept = resolved.filter(U.should_follow(F.col("dst"), follow, ignore)).filter(
         U.is_allowed_domain(F.col("dst"), domains)
     )
@@ -92,7 +94,7 @@ def start_pages(specs: DataFrame) -> DataFrame:
 
 def crawl_depths(
     pages: DataFrame, edges: DataFrame, starts: DataFrame, max_depth: int, start_depth: int = 1,
-    by: Sequence[str] = (),
+    by: Sequence[str] = (), partitions: int | None = None,
 ) -> DataFrame:
     """``by, url, depth``: pages reachable from the starts, with their least depth.
 
@@ -102,10 +104,11 @@ def crawl_depths(
 
     One round per depth. Candidates are made distinct first, so a target of very many links
     collapses before it is shuffled. Edges and pages are checkpointed once, partitioned by
-    their join keys; a round moves only its candidates.
+    their join keys, into ``partitions`` (the session's number of shuffle partitions unless given;
+    about one for every few million edges); a round moves only its candidates.
     """
     by = list(by)
-    n = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions or int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     edges = cut(edges.select(*by, "src", "dst").distinct().repartition(n, *by, "src"))
     known = cut(pages.select(*by, "url").distinct().repartition(n, *by, "url"))
     frontier = cut(
@@ -129,14 +132,16 @@ def crawl_depths(
     return visited
 
 
-def dedup_urls(pages: DataFrame, order: Sequence[str] = ("page_id",)) -> DataFrame:
-    """One row per exact URL: the first in ``order``. No URL is normalized.
+def dedup_urls(
+    pages: DataFrame, order: Sequence[str] = ("page_id",), by: Sequence[str] = (), key: str = "page_id",
+) -> DataFrame:
+    """One row per exact URL (within ``by``): the first in ``order``. No URL is normalized.
 
-    An aggregation with map-side combining, so a URL with very many copies stays cheap.
+    An aggregation of keys with map-side combining, so a URL with very many copies stays cheap and wide
+    columns are not sorted; whole rows meet the winners in a join.
     """
-    rest = [c for c in pages.columns if c != "url"]
-    first = F.min_by(F.struct(*rest), F.struct(*order))
-    return pages.groupBy("url").agg(first.alias("first")).select("url", "first.*").select(*pages.columns)
+    first = pages.groupBy(*by, "url").agg(F.min_by(key, F.struct(*order)).alias(key))
+    return pages.join(first, [*by, "url", key], "left_semi")
 
 
 def skip_report(pages: DataFrame, domains, key: str = "page_id") -> DataFrame:

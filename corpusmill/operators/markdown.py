@@ -8,7 +8,7 @@ chain: rows emit noncharacters such as ``BLOCK`` that never occur in text.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -18,7 +18,7 @@ from corpusmill.functions.regex import replace_each, trim_space
 from corpusmill.functions.text import tidy_markdown
 from corpusmill.functions.urls import resolve_url
 from corpusmill.operators.select import (
-    DEFAULT_CONTENT, DEFAULT_TITLE, ordered_concat, page_stream, part_window, pick_title,
+    DEFAULT_CONTENT, DEFAULT_TITLE, Selector, ordered_concat, page_stream, part_window, pick_title,
     title_columns, title_text,
 )
 from corpusmill.operators.tokens import KEYS, class_list, source_text
@@ -58,10 +58,10 @@ EMPHASIS = {"strong": "**", "b": "**", "em": "_", "i": "_", "del": "~~", "s": "~
 _SPECIAL = HEADINGS + LISTS + H.LIST_ITEM + H.CELL + H.ROW + H.ROW_GROUP + ("blockquote", "pre", "table")
 
 
-def is_allowed(preserve_images: bool) -> Column:
+def is_allowed(preserve_images: bool | Column) -> Column:
     """Whether sanitizing keeps an element."""
-    tags = ALLOWED + (("img",) if preserve_images else ())
-    return H.one_of("tag", tags)
+    images = preserve_images if isinstance(preserve_images, Column) else F.lit(preserve_images)
+    return H.one_of("tag", ALLOWED) | (images & (F.col("tag") == "img"))
 
 
 def _safe_url(url: Column) -> Column:
@@ -169,7 +169,7 @@ def _context(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def _pieces(absolute_base: Column | None) -> Column:
+def _pieces(absolute_base: Column | None, sanitized: Column) -> Column:
     """What a row of a content stream with context emits."""
     kind, tag, raw = F.col("kind"), F.col("tag"), F.col("text")
     opened, ended, void = kind == "open", kind == "end", kind == "void"
@@ -218,8 +218,10 @@ def _pieces(absolute_base: Column | None) -> Column:
         r"^(?:language|lang)-(\S+)", 1,
     )
     lang_mark = F.concat(lit(LANG), F.coalesce(language, lit("")), lit(LANG))
-    href = H.attr("href")
-    src = H.attr("src")
+    # the same rule for links as in sanitized_html: an unsafe one leaves its text
+    safe = lambda c: F.when(sanitized, _safe_url(c)).otherwise(c)
+    href = safe(H.attr("href"))
+    src = safe(H.attr("src"))
     if absolute_base is not None:
         href = F.coalesce(resolve_url(absolute_base, href), href)
         src = F.coalesce(resolve_url(absolute_base, src), src)
@@ -325,63 +327,80 @@ def _settle(c: Column) -> Column:
 
 
 def content_pieces(
-    rows: DataFrame, *, sanitize_html: bool = True, preserve_images: bool = False,
+    rows: DataFrame, *, sanitize_html: bool | Column = True, preserve_images: bool | Column = False,
     absolute_base: Column | None = None, keys: Sequence[str] = KEYS,
 ) -> DataFrame:
-    """Add ``piece``, what each content row of a page stream contributes to the Markdown."""
-    removed = H.one_of("kind", ("open", "end", "void")) & ~F.col("boundary") & ~is_allowed(preserve_images)
-    if sanitize_html:
-        rows = rows.filter((F.col("part") != "content") | F.coalesce(~removed, F.lit(True)))
+    """Add ``piece``, what each content row of a page stream contributes to the Markdown.
+
+    Rows of elements that sanitizing removes stay: of a block element the boundary is left, as of any plain
+    block, of others nothing.
+    """
+    sanitized = sanitize_html if isinstance(sanitize_html, Column) else F.lit(sanitize_html)
+    removed = sanitized & F.coalesce(
+        (F.col("part") == "content") & H.one_of("kind", ("open", "end", "void")) & ~F.col("boundary") & ~is_allowed(preserve_images), F.lit(False))
+    block = H.one_of("tag", tuple(t for t in H.BLOCK if t not in ALLOWED) + ("caption",)) & (F.col("kind") != "void")
     # A match's own start is not part of what it contains, so it takes no part in the context.
-    hidden = F.col("boundary")
-    shown = rows.withColumn("kind", F.when(hidden, "mark").otherwise(F.col("kind")))
-    return _context(shown, keys).withColumn("piece", _pieces(absolute_base))
+    hidden = F.col("boundary") | (removed & ~block)
+    shown = rows.withColumns({
+        "kind": F.when(hidden, "mark").otherwise(F.col("kind")),
+        "tag": F.when(removed, F.when(block, "div").otherwise("")).otherwise(F.col("tag")),
+    })
+    return _context(shown, keys).withColumn("piece", _pieces(absolute_base, sanitized))
+
+
+def _by_profile(value: bool | Mapping[int, bool]) -> bool | Column:
+    return F.col("profile").isin([p for p, v in value.items() if v]) if isinstance(value, Mapping) else value
 
 
 def convert(
     pages: DataFrame,
     *,
-    title: str | None = DEFAULT_TITLE,
-    content: str = DEFAULT_CONTENT,
-    exclude: Sequence[str] = (),
-    sanitize_html: bool = True,
-    preserve_images: bool = False,
+    title: Selector | None = DEFAULT_TITLE,
+    content: Selector = DEFAULT_CONTENT,
+    exclude: Sequence[str] | Mapping[int, Sequence[str]] = (),
+    sanitize_html: bool | Mapping[int, bool] = True,
+    preserve_images: bool | Mapping[int, bool] = False,
     absolute_links: bool = False,
     outermost_only: bool = False,
+    links: bool = False,
     keys: Sequence[str] = KEYS,
     carry: Sequence[str] = ("url",),
 ) -> DataFrame:
     """``keys, carry, title, content_length, body`` of every page with content.
 
-    Title, content and Markdown come out of one pass over the token stream: one exchange.
-    Pages without content (no match, or only blank ones) are not in the result.
+    Title, content and Markdown come out of one pass over the token stream: one exchange. With ``links`` so do
+    the links left on the page, as an array. Options that are mappings hold for the pages of their ``profile``,
+    which must then be one of the keys. Whether a page has content, and how many bytes, is measured on its
+    source, before sanitizing. Pages without content (no match, or only blank ones) are not in the result.
     """
     rows = page_stream(
         pages, title=title or "title", content=content, exclude=exclude, keys=keys, carry=carry,
-        outermost_only=outermost_only,
+        outermost_only=outermost_only, links=links,
     )
+    src = F.when((F.col("part") == "content") & ~F.col("boundary"), source_text())
+    measured = title_text(rows).withColumns({
+        "bytes": F.octet_length(src), "visible": trim_space(src) != "",
+        "link": F.when(F.col("part") == "link", H.attr("href")) if links else F.lit(None).cast("string"),
+    })
     pieces = content_pieces(
-        title_text(rows), sanitize_html=sanitize_html, preserve_images=preserve_images,
+        measured, sanitize_html=_by_profile(sanitize_html), preserve_images=_by_profile(preserve_images),
         absolute_base=F.col("url") if absolute_links else None, keys=keys,
     )
-    src = F.when((F.col("part") == "content") & ~F.col("boundary"), source_text())
     slim = pieces.select(
-        *keys, *carry, "part", "boundary", "match_pos", "ord", "txt", "piece",
-        # only whether a match is blank and how long it is matter from here on
-        F.char_length(src).alias("chars"),
-        (trim_space(src) != "").alias("visible"),
+        *keys, *carry, "part", "boundary", "match_pos", "ord", "txt", "piece", "bytes", "visible", "link",
     )
     # a page's carried columns are the same in all its rows, so they need not be grouping keys
     per_page = slim.groupBy(*keys).agg(
         *[F.first(c).alias(c) for c in carry],
         *title_columns(),
         ordered_concat("piece", "", "part = 'content' AND piece <> ''", "match_pos", "ord").alias("pieces"),
-        F.sum("chars").alias("content_length"),
+        F.sum("bytes").alias("content_length"),
+        *([F.collect_set("link").alias("links")] if links else []),
         F.bool_or("visible").alias("has_content"),
     )
     return per_page.filter("has_content").select(
         *keys, *carry, pick_title().alias("title"), "content_length",
-        F.coalesce(_settle(F.col("pieces")), F.lit("")).alias("body"),
+        F.coalesce(_settle(F.col("pieces")), F.lit("")).alias("body"), *(["links"] if links else []),
     )
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
@@ -62,6 +62,17 @@ def parse_selector(selector: str) -> list[list[str]]:
     return groups
 
 
+def selector_error(selector: str) -> str | None:
+    """Why a selector cannot be used, if so."""
+    try:
+        for steps in parse_selector(selector or ""):
+            for step in steps:
+                _compound(step)
+    except ValueError as e:
+        return str(e)
+    return None
+
+
 def _is_event() -> Column:
     return H.one_of("kind", ("open", "end", "void", "raw"))
 
@@ -71,27 +82,50 @@ def _step(flag: Column) -> Column:
     return F.when(flag & (F.col("kind") == "open"), 1).when(flag & (F.col("kind") == "end"), -1).otherwise(0)
 
 
+# One selector for all pages, or one for each value of the column ``profile``.
+Selector = str | Mapping[int, str]
+
+
+def _guarded(selector: Selector) -> list[tuple[str, Column | None]]:
+    """Different selectors, each with the condition under which it holds."""
+    if isinstance(selector, str):
+        return [(selector, None)]
+    users: dict[str, list[int]] = {}
+    for profile, text in selector.items():
+        users.setdefault(text, []).append(profile)
+    return [(text, F.col("profile").isin(ids)) for text, ids in users.items()]
+
+
 def _stream(keys: Sequence[str]) -> W:
     return W.partitionBy(*keys).orderBy("ord")
 
 
-def flag_elements(stream: DataFrame, selectors: dict[str, str], keys: Sequence[str] = KEYS) -> DataFrame:
-    """Add one boolean column per selector; both events of a matching element are flagged."""
+def flag_elements(stream: DataFrame, selectors: dict[str, Selector], keys: Sequence[str] = KEYS) -> DataFrame:
+    """Add one boolean column per selector; both events of a matching element are flagged.
+
+    A selector that is a mapping holds for the rows of its profiles, all in the same pass.
+    """
     before = _stream(keys).rowsBetween(W.unboundedPreceding, -1)
     columns = list(stream.columns)
     simple: dict[str, list[Column]] = {name: [] for name in selectors}
-    chains: list[tuple[str, list[str]]] = []
+    chains: list[tuple[str, list[str], Column]] = []
     for name, selector in selectors.items():
-        for steps in parse_selector(selector):
-            if len(steps) == 1:
-                simple[name].append(_compound(steps[0]))
-            else:
-                chains.append((name, steps))
+        for text, guard in _guarded(selector):
+            here = F.lit(True) if guard is None else guard
+            own = []
+            for steps in parse_selector(text):
+                if len(steps) == 1:
+                    own.append(_compound(steps[0]))
+                else:
+                    chains.append((name, steps, here))
+            if own:
+                either = reduce(lambda a, b: a | b, own)
+                simple[name].append(either if guard is None else guard & either)
 
     # A descendant step holds where an element of the step before it is open.
-    for number, (name, steps) in enumerate(chains):
+    for number, (name, steps, guard) in enumerate(chains):
         flag = f"_chain{number}"
-        stream = stream.withColumn(flag, _is_event() & _compound(steps[0]))
+        stream = stream.withColumn(flag, guard & _is_event() & _compound(steps[0]))
         for step in steps[1:]:
             opened = F.coalesce(F.sum(_step(F.col(flag))).over(before), F.lit(0))
             here = stream.withColumn("_inside", (opened > 0) & (F.col("kind") != "end"))
@@ -121,9 +155,9 @@ def select(pages: DataFrame, selector: str, keys: Sequence[str] = KEYS) -> DataF
 def page_stream(
     pages: DataFrame,
     *,
-    title: str | None = DEFAULT_TITLE,
-    content: str | None = DEFAULT_CONTENT,
-    exclude: Sequence[str] = (),
+    title: Selector | None = DEFAULT_TITLE,
+    content: Selector | None = DEFAULT_CONTENT,
+    exclude: Sequence[str] | Mapping[int, Sequence[str]] = (),
     keys: Sequence[str] = KEYS,
     carry: Sequence[str] = (),
     links: bool = False,
@@ -144,8 +178,10 @@ def page_stream(
         selectors["is_title"] = title
     if content:
         selectors["is_content"] = content
+    if isinstance(exclude, Mapping):
+        exclude = {profile: ", ".join(texts) for profile, texts in exclude.items() if texts}
     if exclude:
-        selectors["is_excluded"] = ", ".join(exclude)
+        selectors["is_excluded"] = exclude if isinstance(exclude, Mapping) else ", ".join(exclude)
     stream = flag_elements(stream, selectors, keys)
     for name in ("is_title", "is_content", "is_excluded"):
         if name not in selectors:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from corpusmill.functions import urls as U
+from corpusmill.functions.regex import java_form
 from corpusmill.functions.text import parse_size, title_case
 from corpusmill.operators.select import DEFAULT_CONTENT, DEFAULT_TITLE
 
@@ -21,19 +22,39 @@ DOC_SECTIONS = ("docs", "documentation", "guide", "guides", "tutorial", "tutoria
                 "api", "cli", "learn")
 
 # Patterns never followed from a URL.
-IGNORE_FILES = r".*\.(jpg|jpeg|png|gif|svg|css|js|ico|woff|woff2|ttf|eot|pdf|zip|tar|gz)$"
-IGNORE_PATHS = (
-    "edit", "settings", "login", "logout", "signin", "signup", "register", "contact", "support",
-    "pricing", "about", "careers", "jobs", "legal", "terms", "privacy",
-)
-IGNORE_SITES = (
-    r"github\.com", r"twitter\.com", r"linkedin\.com", r"facebook\.com", r"youtube\.com",
-    r"discord\.(gg|com)", r"slack\.com",
-)
-IGNORE_APP_PATHS = ("admin", "dashboard", "account", "profile", "user/", "playground", "editor", "sandbox")
 IGNORE_PATTERNS = (
-    (IGNORE_FILES,) + tuple(f".*/{w}.*$" for w in IGNORE_PATHS)
-    + tuple(f".*{d}.*$" for d in IGNORE_SITES) + tuple(f".*/{w}.*$" for w in IGNORE_APP_PATHS)
+    r".*\.(jpg|jpeg|png|gif|svg|css|js|ico|woff|woff2|ttf|eot|pdf|zip|tar|gz)$",
+    r".*/edit.*$",
+    r".*/settings.*$",
+    r".*/login.*$",
+    r".*/logout.*$",
+    r".*/signin.*$",
+    r".*/signup.*$",
+    r".*/register.*$",
+    r".*/contact.*$",
+    r".*/support.*$",
+    r".*/pricing.*$",
+    r".*/about.*$",
+    r".*/careers.*$",
+    r".*/jobs.*$",
+    r".*/legal.*$",
+    r".*/terms.*$",
+    r".*/privacy.*$",
+    r".*github\.com.*$",
+    r".*twitter\.com.*$",
+    r".*linkedin\.com.*$",
+    r".*facebook\.com.*$",
+    r".*youtube\.com.*$",
+    r".*discord\.(gg|com).*$",
+    r".*slack\.com.*$",
+    r".*/admin.*$",
+    r".*/dashboard.*$",
+    r".*/account.*$",
+    r".*/profile.*$",
+    r".*/user/.*$",
+    r".*/playground.*$",
+    r".*/editor.*$",
+    r".*/sandbox.*$",
 )
 
 # Selectors used when only a URL is given.
@@ -58,6 +79,7 @@ URL_EXCLUDE = (
     ".theme-switcher", ".locale-switcher",
 )
 
+# Fixed value: what a domain looks like.
 _DOMAIN = r"^[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}\z"
 
 
@@ -94,9 +116,11 @@ def _first_error(array: str, error) -> Column:
 
 
 def pattern_error(pattern: Column, index: Column, field: str) -> Column:
-    """NULL for a pattern that compiles; look-around and back-references are not in the dialect."""
-    compiled = F.try_reflect(F.lit("java.util.regex.Pattern"), F.lit("compile"), pattern)
-    foreign = pattern.rlike(r"\(\?(?:[=!]|<[=!])|\\[1-9]")
+    """NULL for a pattern of the dialect: no look-around, back-references, atomic groups or possessive quantifiers."""
+    compiled = F.try_reflect(F.lit("java.util.regex.Pattern"), F.lit("compile"), java_form(pattern))
+    # escaped characters and character classes first, so that what looks like an operator is one
+    bare = F.regexp_replace(F.regexp_replace(pattern, r"\\\\|\\[^1-9kZG]", "x"), r"\[\^?\]?[^\]]*\]", "c")
+    foreign = bare.rlike(r"\(\?(?:[=!>]|<[=!])|\\[1-9kZG]|[*+?}]\+")
     return F.when(
         compiled.isNull() | foreign,
         F.concat(F.lit(f"invalid {field}["), index.cast("string"), F.lit("] '"), pattern, F.lit("'")),
@@ -107,8 +131,21 @@ def _indexed(field: str, i: Column) -> Column:
     return F.concat(F.lit(field + "["), i.cast("string"), F.lit("]"))
 
 
+def merge_equal_names(specs: DataFrame) -> DataFrame:
+    """One specification per name: the first by base URL, with the start URLs of all."""
+    rest = [c for c in specs.columns if c not in ("name", "start_urls")]
+    starts = F.array_sort(F.array_distinct(F.flatten(F.collect_list("start_urls"))))
+    merged = specs.groupBy("name").agg(F.min_by(F.struct(*rest), F.struct("base_url", "output_file")).alias("first"), starts.alias("start_urls"))
+    return merged.select("name", "start_urls", "first.*").select(*specs.columns)
+
+
 def spec_errors(specs: DataFrame) -> DataFrame:
     """``name, error``: the first rule each specification breaks, NULL when it is valid."""
+    return with_error(specs).select("name", "error")
+
+
+def with_error(specs: DataFrame) -> DataFrame:
+    """Add ``error``, the first rule each specification breaks."""
 
     def domain_error(d: Column, i: Column) -> Column:
         return F.when(d == "", F.concat(_indexed("allowed_domains", i), F.lit(" cannot be empty"))).when(
@@ -135,7 +172,7 @@ def spec_errors(specs: DataFrame) -> DataFrame:
                F.concat(F.lit("delay must be non-negative, got "), F.format_string("%.6f", F.col("delay")))),
         _first_error("allowed_domains", domain_error),
     )
-    return specs.select("name", error.alias("error"))
+    return specs.withColumn("error", error)
 
 
 def specs_from_urls(urls: DataFrame, max_depth: int = 8, concurrency: int = 3) -> DataFrame:

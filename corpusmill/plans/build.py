@@ -6,121 +6,140 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
-from corpusmill.lineage import cut
-from corpusmill.operators.corpus import dedup_content, order_pages
+from corpusmill.functions.regex import any_of
+from corpusmill.lineage import release, store
+from corpusmill.operators.corpus import order_pages, site_status
 from corpusmill.operators.document import assemble
-from corpusmill.operators.links import assign_site, crawl_depths, extract_links, follow_edges, start_pages
+from corpusmill.operators.links import assign_site, crawl_depths, dedup_urls, follow_edges, start_pages
 from corpusmill.operators.markdown import convert, with_metadata
-from corpusmill.operators.specs import spec_errors, with_defaults
+from corpusmill.operators.select import selector_error
+from corpusmill.operators.specs import merge_equal_names, with_defaults, with_error
+from corpusmill.functions.text import content_hash
+from corpusmill.sources.pages import write_corpus
 
-SITE_KEYS = ("site", "page_id")
+SITE_KEYS = ("site", "profile", "page_id")
+# Conditions of so many profiles stand in one plan; more of them take another pass over the pages.
+PROFILES_PER_PASS = 64
 
 
-def valid_specs(specs: DataFrame) -> DataFrame:
-    """Specifications with defaults filled in; raises when one is invalid."""
-    filled = with_defaults(specs)
-    problems = spec_errors(filled).filter("error IS NOT NULL").limit(20).collect()
-    if problems:
-        raise ValueError("invalid configuration: " + "; ".join(f"{p['name']}: {p['error']}" for p in problems))
-    if not filled.filter("max_file_size_bytes IS NULL").isEmpty():
-        raise ValueError("invalid configuration: invalid max_file_size")
-    return filled
+def checked_specs(specs: DataFrame) -> DataFrame:
+    """Specifications, one per name, with defaults, ``profile`` (a number for the way pages are cut up) and ``error``."""
+    filled = with_error(with_defaults(merge_equal_names(specs)))
+    size = F.when(F.col("max_file_size_bytes").isNull(), F.lit("invalid max_file_size"))
+    profile = F.xxhash64(F.to_json(F.struct("selectors", "sanitize_html", "preserve_images")))
+    return filled.withColumns({"error": F.coalesce("error", size), "profile": profile})
 
 
 def _profiles(specs: DataFrame) -> list:
-    """The distinct ways pages are cut up. Sites share them, so there are few; each is one plan."""
-    columns = ("selectors", "sanitize_html", "preserve_images")
-    found = specs.select(*columns).distinct().limit(201).collect()
-    if len(found) > 200:
-        raise ValueError("more than 200 different selector profiles: build them in several runs")
-    return found
+    """The distinct ways pages are cut up: configuration, shared by sites."""
+    found = specs.select("profile", "selectors", "sanitize_html", "preserve_images").dropDuplicates(["profile"]).collect()
+    return sorted(found, key=lambda p: p.profile)
 
 
-def _with_profile(df: DataFrame, specs: DataFrame, profile) -> DataFrame:
-    same = specs.filter(
-        (F.to_json("selectors") == F.to_json(F.struct(
-            F.lit(profile.selectors.title).alias("title"), F.lit(profile.selectors.content).alias("content"),
-            F.array(*[F.lit(x) for x in profile.selectors.exclude]).cast("array<string>").alias("exclude"),
-        )))
-        & (F.col("sanitize_html") == profile.sanitize_html) & (F.col("preserve_images") == profile.preserve_images)
-    )
-    return df.join(same.select(F.col("name").alias("site")), "site", "left_semi")
+def _broken(profile) -> str | None:
+    texts = (profile.selectors.title, profile.selectors.content, *profile.selectors.exclude)
+    return next((e for e in map(selector_error, texts) if e), None)
 
 
-def _located(pages: DataFrame, specs: DataFrame) -> DataFrame:
-    """``site, page_id, url, html``.
+def split_specs(specs: DataFrame) -> tuple[DataFrame, DataFrame, list]:
+    """Specifications that can be built, ``name, error`` of the others, and the profiles of the first."""
+    checked = store(checked_specs(specs))
+    profiles = _profiles(checked.filter("error IS NULL"))
+    broken = {p.profile: _broken(p) for p in profiles if _broken(p)}
+    if broken:
+        reasons = specs.sparkSession.createDataFrame(list(broken.items()), "profile long, reason string")
+        checked = checked.join(F.broadcast(reasons), "profile", "left").withColumn("error", F.coalesce("error", "reason")).drop("reason")
+    return checked.filter("error IS NULL"), checked.filter("error IS NOT NULL").select("name", "error"), [p for p in profiles if p.profile not in broken]
+
+
+def locate(pages: DataFrame, specs: DataFrame) -> DataFrame:
+    """``site, profile, page_id, url``: the pages of every site, one per URL."""
+    sites = assign_site(pages.select("page_id", "url"), specs)
+    profiles = specs.select(F.col("name").alias("site"), "profile")
+    return dedup_urls(sites, by=("site",)).join(profiles, "site").select(*SITE_KEYS, "url")
+
+
+def convert_sites(pages: DataFrame, specs: DataFrame, profiles: list) -> DataFrame:
+    """``site, profile, page_id, url, title, content_length, body, links`` of every page with content.
 
     Sites are assigned on narrow rows; html joins them by page, the way the token pipeline wants it
-    distributed, and is moved once.
+    distributed, is moved once and taken apart once: selectors of all profiles are conditions of the same
+    pass, and titles, bodies and links come out of it together.
     """
-    narrow = assign_site(pages.select("page_id", "url"), specs)
-    return narrow.join(pages.select("page_id", "html"), "page_id")
+    narrow = locate(pages, specs)
+    html = pages.select("page_id", "html")
+    passes = [profiles[i:i + PROFILES_PER_PASS] for i in range(0, len(profiles), PROFILES_PER_PASS)] or [[]]
+    out = []
+    for some in passes:
+        ids = [p.profile for p in some]
+        located = (narrow.filter(F.col("profile").isin(ids)) if len(passes) > 1 else narrow).join(html, "page_id")
+        out.append(convert(
+            located, keys=SITE_KEYS, links=True,
+            title={p.profile: p.selectors.title for p in some}, content={p.profile: p.selectors.content for p in some},
+            exclude={p.profile: p.selectors.exclude for p in some}, sanitize_html={p.profile: p.sanitize_html for p in some},
+            preserve_images={p.profile: p.preserve_images for p in some},
+        ))
+    return reduce(DataFrame.unionByName, out)
+
+
+def site_edges(converted: DataFrame, specs: DataFrame) -> DataFrame:
+    """``site, src, dst``: the links every site would follow."""
+    links = converted.select("site", "url", F.explode("links").alias("href"))
+    rules = specs.select(
+        F.col("name").alias("site"), any_of(F.col("follow_patterns")).alias("follow"), any_of(F.col("ignore_patterns")).alias("ignore"), "allowed_domains")
+    return follow_edges(links.join(rules, "site"), F.col("follow"), F.col("ignore"), F.col("allowed_domains"), carry=("site",))
 
 
-def convert_sites(pages: DataFrame, specs: DataFrame) -> DataFrame:
-    """``site, page_id, url, title, content_length, body`` of every page of every site with content."""
-    located = _located(pages, specs)
-    return reduce(DataFrame.unionByName, [
-        convert(
-            _with_profile(located, specs, p), title=p.selectors.title, content=p.selectors.content,
-            exclude=p.selectors.exclude, sanitize_html=p.sanitize_html, preserve_images=p.preserve_images,
-            keys=SITE_KEYS,
-        )
-        for p in _profiles(specs)
-    ])
+def _reached(pages: DataFrame, converted: DataFrame, specs: DataFrame, start_depth: int) -> DataFrame:
+    """``site, page_id, url, depth`` of the pages within each site's depth."""
+    limits = specs.select(F.col("name").alias("site"), "max_depth")
+    narrow = converted.select("site", "page_id", "url")
+    if "depth" in pages.columns:
+        found = narrow.join(pages.select("page_id", "depth"), "page_id")
+    else:
+        deepest = limits.agg(F.max("max_depth")).first()[0] or start_depth
+        depths = crawl_depths(narrow.select("site", "url"), site_edges(converted, specs), start_pages(specs), deepest, start_depth, by=("site",))
+        found = narrow.join(depths, ["site", "url"])
+    return found.join(limits, "site").filter(F.col("depth") <= F.col("max_depth")).select("site", "page_id", "url", "depth")
 
 
-def site_edges(pages: DataFrame, specs: DataFrame) -> DataFrame:
-    """``site, src, dst``: the links every site would follow."""
-    located = _located(pages, specs)
-    links = reduce(DataFrame.unionByName, [
-        extract_links(
-            _with_profile(located, specs, p), content=p.selectors.content, exclude=p.selectors.exclude,
-            keys=SITE_KEYS,
-        )
-        for p in _profiles(specs)
-    ])
-    rules = specs.select(F.col("name").alias("site"), "follow_patterns", "ignore_patterns", "allowed_domains")
-    return follow_edges(
-        links.join(rules, "site"), F.col("follow_patterns"), F.col("ignore_patterns"), F.col("allowed_domains"),
-        carry=("site",),
-    )
-
-
-def corpus_pages(
-    pages: DataFrame, specs: DataFrame, dedup_on: str = "rendered", start_depth: int = 1,
-) -> DataFrame:
+def corpus_pages(pages: DataFrame, specs: DataFrame, dedup_on: str = "rendered", start_depth: int = 1) -> DataFrame:
     """``site, ord, depth, url, title, content``: the pages of every document, in order.
 
     Depth is the ``depth`` column of ``pages`` if there is one, else the least number of links
     from a start page, and pages out of reach are left out. ``dedup_on`` is ``rendered`` (text
-    as written, metadata included) or ``body``.
+    as written, metadata included) or ``body``. Invalid specifications are left out: :func:`split_specs` names them.
     """
-    specs = valid_specs(specs)
-    converted = cut(convert_sites(pages, specs))
-    if "depth" in pages.columns:
-        depths = pages.select("page_id", "depth")
-        reached = converted.join(depths, "page_id")
-    else:
-        edges = site_edges(pages, specs)
-        depth_limits = specs.select(F.col("name").alias("site"), "max_depth")
-        deepest = depth_limits.agg(F.max("max_depth")).first()[0]
-        depths = crawl_depths(
-            converted.select("site", "url"), edges, start_pages(specs), deepest, start_depth, by=("site",)
-        ).join(depth_limits, "site").filter(F.col("depth") <= F.col("max_depth")).drop("max_depth")
-        reached = converted.join(depths, ["site", "url"])
+    valid, _, profiles = split_specs(specs)
+    return _ordered(pages, valid, store(convert_sites(pages, valid, profiles)), dedup_on, start_depth)
+
+
+def _ordered(pages: DataFrame, specs: DataFrame, converted: DataFrame, dedup_on: str, start_depth: int) -> DataFrame:
     flags = specs.select(F.col("name").alias("site"), "include_metadata")
-    rendered = reached.join(flags, "site").withColumn(
-        "content",
-        F.when(F.col("include_metadata"), with_metadata(F.col("body"), F.col("url"), F.col("title"), F.col("depth")))
-        .otherwise(F.col("body")),
-    )
-    kept = dedup_content(rendered, on="content" if dedup_on == "rendered" else "body", by=("site",))
-    kept = cut(kept.select("site", "depth", "url", "title", "content"))
-    ordinals = order_pages(kept.select("site", "depth", "url"))
-    return kept.join(ordinals, ["site", "depth", "url"])
+    reached = _reached(pages, converted, specs, start_depth)
+    written = F.when(F.col("include_metadata"), with_metadata(F.col("body"), F.col("url"), F.col("title"), F.col("depth"))).otherwise(F.col("body"))
+    rendered = converted.drop("url").join(reached, ["site", "page_id"]).join(flags, "site")
+    hashed = rendered.select("site", "page_id", "depth", "url", content_hash(written if dedup_on == "rendered" else F.col("body")).alias("hash"))
+    kept = hashed.groupBy("site", "hash").agg(F.min(F.struct("depth", "url", "page_id")).alias("first")).select("site", "first.*")
+    ordinals = order_pages(kept, order=("depth", "url", "page_id"))
+    bodies = converted.select("site", "page_id", "title", "body").join(ordinals, ["site", "page_id"]).join(flags, "site")
+    return bodies.select("site", "ord", "depth", "url", "title", written.alias("content"))
 
 
 def build_corpus(pages: DataFrame, specs: DataFrame, generated_at: str, **options) -> DataFrame:
     """``site, part, chunk, markdown``: the documents of all sites."""
-    return assemble(corpus_pages(pages, specs, **options), with_defaults(specs), generated_at)
+    return assemble(corpus_pages(pages, specs, **options), with_defaults(merge_equal_names(specs)), generated_at)
+
+
+def publish(pages: DataFrame, specs: DataFrame, path: str, generated_at: str, dedup_on: str = "rendered", start_depth: int = 1) -> None:
+    """Build and write everything: documents by output file, ``_status`` of every site and ``_rejected`` specifications.
+
+    Intermediate tables are removed at the end.
+    """
+    valid, rejected, profiles = split_specs(specs)
+    converted = store(convert_sites(pages, valid, profiles))
+    ordered = store(_ordered(pages, valid, converted, dedup_on, start_depth))
+    write_corpus(assemble(ordered, valid, generated_at), f"{path}/documents", valid)
+    site_status(start_pages(valid), converted, ordered).write.mode("overwrite").parquet(f"{path}/_status")
+    rejected.write.mode("overwrite").parquet(f"{path}/_rejected")
+    release(pages.sparkSession)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from corpusmill.functions import entities, text as X, urls as U
 from corpusmill.functions.html import attr, token_text
-from corpusmill.lineage import checkpoint_dir, cut
+from corpusmill.lineage import checkpoint_dir, store
 from corpusmill.operators import corpus as C, document as D, links as L, markdown as M, select as S, specs as P
 from corpusmill.operators import tokens as T
 from corpusmill.plans.build import build_corpus, corpus_pages
@@ -158,7 +158,7 @@ def nav_links(spark, sf):
 
 @query
 def absolute_link(spark, sf):
-    word = F.substring("href", 2, 10_000)
+    word = F.expr("substring(href, 2)")
     refs = {
         "root": F.col("href"), "plain": word, "up": F.concat(F.lit("../"), word),
         "here": F.concat(F.lit("./"), word, F.lit("#x")), "query": F.concat(F.lit("?q="), word),
@@ -408,7 +408,7 @@ def missing_pages(spark, sf):
 @query
 def assign_site(spark, sf):
     specs = site_specs(spark).unionByName(
-        P.specs_from_urls(pages(spark, sf).filter("page_id % 10 = 0").select("url")).dropDuplicates(["name"]))
+        P.merge_equal_names(P.specs_from_urls(pages(spark, sf).select("url"))))
     return L.assign_site(pages(spark, sf).select("page_id", "url"), specs)
 
 
@@ -468,7 +468,7 @@ def progress_milestones(spark, sf):
 @query
 def crawl_summary(spark, sf):
     docs = L.assign_site(articles(spark, sf), site_specs(spark))
-    return C.crawl_summary(docs.withColumn("content_length", F.char_length("content").cast("bigint"))).select(
+    return C.crawl_summary(docs.withColumn("content_length", F.octet_length("content").cast("bigint"))).select(
         "site", "depth", "pages", "content_length", F.col("total_level").cast("bigint").alias("total_level"))
 
 
@@ -488,8 +488,9 @@ def site_status(spark, sf):
 
 
 def ordered_titles(spark, sf):
-    t = cut(titled(spark, sf))
-    return t.join(C.order_pages(t.select("site", "depth", "url")), ["site", "depth", "url"])
+    t = store(titled(spark, sf))
+    ordinals = C.order_pages(t.select("site", "page_id", "depth", "url"), order=("depth", "url", "page_id"))
+    return t.join(ordinals.select("site", "page_id", "ord"), ["site", "page_id"])
 
 
 @query

@@ -35,17 +35,22 @@ def save_bucketed(pages: DataFrame, table: str, buckets: int, key: str = "page_i
     pages.repartition(buckets, key).write.mode("overwrite").bucketBy(buckets, key).saveAsTable(table)
 
 
-def write_corpus(parts: DataFrame, path: str, by: str = "site") -> None:
-    """Write assembled chunks as text files, one folder per site.
+def write_corpus(parts: DataFrame, path: str, specs: DataFrame | None = None) -> None:
+    """Write the pieces of documents as text files, one folder per site, or per ``output_file`` if ``specs`` are given.
 
     Rows are range-partitioned in document order, so a large site is spread over several tasks
-    and files; the files of a folder, read in name order, are the document. Every chunk ends with
+    and files; the files of a folder, read in name order, are the document. Every piece ends with
     a line end, which the text writer supplies itself.
     """
+    by = "site"
+    if specs is not None:
+        by = "output_file"
+        parts = parts.join(specs.select(F.col("name").alias("site"), "output_file"), "site")
     body: Column = F.regexp_replace("markdown", r"\n\z", "")
+    order = list(dict.fromkeys([by, "site", "part", "chunk"]))
     (
-        parts.repartitionByRange(by, "part", "chunk")
-        .sortWithinPartitions(by, "part", "chunk")
+        parts.repartitionByRange(*order)
+        .sortWithinPartitions(*order)
         .select(by, body.alias("value"))
         .write.mode("overwrite").partitionBy(by).text(path)
     )

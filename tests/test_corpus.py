@@ -3,8 +3,9 @@ import glob
 import pytest
 from pyspark.sql import functions as F
 
+from corpusmill.functions import urls as U
 from corpusmill.operators import corpus as C, document as D, links as L, specs as P
-from corpusmill.plans.build import build_corpus, corpus_pages
+from corpusmill.plans.build import build_corpus, convert_sites, corpus_pages, publish, split_specs
 from corpusmill.sources.pages import scan_html_files, write_corpus
 from corpusmill.streaming import ingest
 
@@ -26,10 +27,10 @@ def pages(spark, rows):
 
 def test_dedup_keeps_the_first(spark):
     df = spark.createDataFrame(
-        [("p1", "Content 1", 0), ("p1-dup", "Content 1", 0), ("p2", "Content 2", 1)], "url string, content string, depth int")
-    assert sorted(r.url for r in C.dedup_content(df).collect()) == ["p1", "p2"]
+        [("fern", "green", 0), ("moss", "green", 0), ("rose", "red", 1)], "url string, content string, depth int")
+    assert sorted(r.url for r in C.dedup_content(df, key="url").collect()) == ["fern", "rose"]
     group = C.duplicate_groups(df).first()
-    assert (group.n, group.kept_url) == (2, "p1")
+    assert (group.n, group.kept_url) == (2, "fern")
 
 
 def test_order_over_many_partitions(spark):
@@ -72,10 +73,10 @@ def test_assign_site(spark):
 
 
 SITE_B = [
-    (T + "/", '<main><p>Homepage content</p></main><a href="/page1">1</a><a href="/page2">2</a>'
-              '<a href="https://external.com/page">e</a><a href="/privacy">p</a>'),
-    (T + "/page1", "<main><h1>Subpage</h1><p>Subpage content</p></main>"),
-    (T + "/page2", "<main><h1>Subpage</h1><p>Subpage content</p></main>"),
+    (T + "/", '<main><p>Harbour of the site</p></main><a href="/boats">1</a><a href="/nets">2</a>'
+              '<a href="https://elsewhere.example/sea">e</a><a href="/privacy">p</a>'),
+    (T + "/boats", "<main><h1>Pier</h1><p>Wood and tar</p></main>"),
+    (T + "/nets", "<main><h1>Pier</h1><p>Wood and tar</p></main>"),
     (T + "/privacy", "<main>legal</main>"),
     (T + "/unlinked", "<main>never reached</main>"),
 ]
@@ -84,14 +85,14 @@ SITE_B = [
 def test_site_from_links_to_document(spark):
     specs = spark.createDataFrame([spec_row(name="B", base_url=T, start_urls=[T + "/"], max_depth=2)], P.SCHEMA)
     got = {r.url: (r.ord, r.depth) for r in corpus_pages(pages(spark, SITE_B), specs).collect()}
-    assert got == {T + "/": (1, 1), T + "/page1": (2, 2), T + "/page2": (3, 2)}
+    assert got == {T + "/": (1, 1), T + "/boats": (2, 2), T + "/nets": (3, 2)}
     deduplicated = corpus_pages(pages(spark, SITE_B), specs, dedup_on="body")
-    assert sorted(r.url for r in deduplicated.collect()) == [T + "/", T + "/page1"]
+    assert sorted(r.url for r in deduplicated.collect()) == [T + "/", T + "/boats"]
 
 
 def test_document_and_sink(spark, tmp_path):
-    rows = [("https://example.com/", "Home", "# Home\nWelcome to the docs", 0, 1),
-            ("https://example.com/api", "Untitled", "# API\nAPI documentation\n", 1, 2),
+    rows = [("https://example.com/", "Home", "# Home\nThe gate is open", 0, 1),
+            ("https://example.com/api", "Untitled", "# Calls\nEvery call in turn\n", 1, 2),
             ("https://example.com/x", "X (y)", " \n", 7, 3)]
     ordered = spark.createDataFrame(
         [("Doc", *r) for r in rows], "site string, url string, title string, content string, depth int, ord long")
@@ -100,13 +101,12 @@ def test_document_and_sink(spark, tmp_path):
         "# Doc\n\n*Generated on 2025-01-02 03:04:05*\n\n- **Base URL**: https://example.com\n- **Total Pages**: 3\n"
         "- **Max Depth**: 2\n\n---\n\n## Table of Contents\n\n- [Home](#home)\n  - [Untitled](#untitled)\n"
         + "  " * 7 + "- [X (y)](#x-y)\n\n---\n\n"
-        "# Home\n\n*Source: [https://example.com/](https://example.com/)*\n\n# Home\nWelcome to the docs\n\n\n---\n\n"
-        "## Api\n\n*Source: [https://example.com/api](https://example.com/api)*\n\n# API\nAPI documentation\n\n\n---\n\n"
+        "# Home\n\n*Source: [https://example.com/](https://example.com/)*\n\n# Home\nThe gate is open\n\n\n---\n\n"
+        "## Api\n\n*Source: [https://example.com/api](https://example.com/api)*\n\n# Calls\nEvery call in turn\n\n\n---\n\n"
         "###### X (y)\n\n*Source: [https://example.com/x](https://example.com/x)*\n\n")
-    for size in (1000, 2, 1):
-        parts = D.assemble(ordered, specs, "2025-01-02 03:04:05", size)
-        chunks = parts.orderBy("part", "chunk").collect()
-        assert "".join(r.markdown for r in chunks) == expected
+    parts = D.assemble(ordered, specs, "2025-01-02 03:04:05")
+    chunks = parts.orderBy("part", "chunk").collect()
+    assert "".join(r.markdown for r in chunks) == expected
     write_corpus(parts, str(tmp_path / "out"))
     files = sorted(glob.glob(str(tmp_path / "out" / "site=Doc" / "part-*.txt")))
     assert "".join(open(f, encoding="utf-8").read() for f in files) == expected
@@ -116,7 +116,7 @@ def test_document_without_metadata_and_contents(spark):
     ordered = spark.createDataFrame([("S", "u/a-b", "", "t", 0, 1)],
                                     "site string, url string, title string, content string, depth int, ord long")
     specs = spark.createDataFrame([spec_row(name="S", generate_toc=False, include_metadata=False)], P.SCHEMA)
-    assert [r.markdown for r in D.assemble(ordered, specs, "2025-01-01 00:00:00").collect()] == ["# A B\n\nt\n"]
+    assert [r.markdown for r in D.assemble(ordered, specs, "2025-01-01 00:00:00").orderBy("part").collect()] == ["# A B\n\nt\n"]
 
 
 def test_spec_defaults(spark):
@@ -197,3 +197,69 @@ def test_quick_mode_selectors_run(spark):
     # main and body both match, so the text stands twice
     assert text.count("# T\n\nb") == 2
     assert "\nx" not in text and "[n]" not in text
+
+
+def _spec(spark, *changes):
+    return spark.createDataFrame([spec_row(base_url=T, start_urls=[T + "/"], allowed_domains=["t.example"], **c) for c in changes], P.SCHEMA)
+
+
+def test_equal_urls_are_one_page(spark):
+    rows = [(T + "/a", "<main>one</main>"), (T + "/a", "<main>later copy</main>"), (T + "/b", "<main>two</main>")]
+    got = corpus_pages(pages(spark, rows).withColumn("depth", F.lit(0)), _spec(spark, {}))
+    assert sorted((r.ord, r.url) for r in got.collect()) == [(1, T + "/a"), (2, T + "/b")]
+
+
+def test_given_depths_are_limited(spark):
+    p = pages(spark, [(T + "/a", "<main>x</main>"), (T + "/b", "<main>y</main>")]).withColumn("depth", (F.col("page_id") * 9).cast("int"))
+    assert [r.url for r in corpus_pages(p, _spec(spark, dict(max_depth=2))).collect()] == [T + "/a"]
+
+
+def test_equal_names_are_one_site(spark):
+    specs = spark.createDataFrame(
+        [spec_row(base_url=T, start_urls=[T + u], allowed_domains=["t.example"]) for u in ("/", "/b")], P.SCHEMA)
+    p = pages(spark, [(T + "/", "<main>x</main>"), (T + "/b", "<main>y</main>")])
+    assert sorted(r.url for r in corpus_pages(p, specs).collect()) == [T + "/", T + "/b"]
+    assert build_corpus(p, specs, "2025-01-01 00:00:00").filter("part = 0").count() == 1
+
+
+def test_a_bad_specification_stops_only_itself(spark, tmp_path):
+    specs = _spec(spark, dict(name="good", output_file="good.md"), dict(name="bad", max_depth=-1), dict(name="odd", selectors=("h1", "a > b", [])),
+                  dict(name="lost", output_file="lost.md", max_depth=3))
+    specs = specs.withColumn("start_urls", F.when(F.col("name") == "lost", F.array(F.lit(T + "/none"))).otherwise(F.col("start_urls")))
+    p = pages(spark, [(T + "/", "<main><p>here</p></main>")])
+    valid, rejected, _ = split_specs(specs)
+    assert sorted(r.name for r in valid.collect()) == ["good", "lost"]
+    publish(p, specs, str(tmp_path / "out"), "2025-01-01 00:00:00")
+    assert {r.name: r.error for r in spark.read.parquet(str(tmp_path / "out/_rejected")).collect()}.keys() == {"bad", "odd"}
+    assert {r.site: r.status for r in spark.read.parquet(str(tmp_path / "out/_status")).collect()} == {"good": "ok", "lost": "all start URLs failed"}
+    assert glob.glob(str(tmp_path / "out/documents/output_file=good.md/part-*.txt"))
+    assert not glob.glob(spark.sparkContext.getCheckpointDir().removeprefix("file:") + "/store-*")
+
+
+def test_many_profiles_in_one_pass(spark):
+    changes = [dict(name=f"s{i}", selectors=(f"h{i % 6 + 1}", f".c{i}", [".x"] if i % 2 else []), sanitize_html=bool(i % 3)) for i in range(60)]
+    p = pages(spark, [(T + f"/{i}", f'<div class="c{i}">text {i}<p class=x>gone</p></div>') for i in range(3)])
+    valid, _, profiles = split_specs(_spec(spark, *changes))
+    converted = convert_sites(p, valid, profiles)
+    got = {(r.site, r.page_id): r.body for r in converted.collect()}
+    assert got == {("s0", 0): "text 0\n\ngone", ("s1", 1): "text 1", ("s2", 2): "text 2\n\ngone"}
+    plan = converted._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("html#") and plan.count("regexp_extract_all(html#") == 1
+
+
+def test_links_are_resolved_once(spark):
+    links = spark.createDataFrame([(T + "/d/", "e"), (T + "/", "#top")], "url string, href string")
+    edges = L.follow_edges(links, [f"/p{i}" for i in range(20)] + ["/d/e"], [f"/q{i}" for i in range(30)], ["t.example"])
+    assert [tuple(r) for r in edges.collect()] == [(T + "/d/", T + "/d/e")]
+    one = links.select(F.explode(F.array_compact(F.array(U.resolve_url(F.col("url"), F.col("href"))))))
+    resolutions = [df._jdf.queryExecution().optimizedPlan().toString().count(r"(\?[^#]*)") for df in (edges, one)]
+    assert resolutions[0] == resolutions[1] > 0
+
+
+@pytest.mark.parametrize("pattern, ok", [
+    (r"(?P<n>x)", True), (r"a\\1", True), (r"[[:alpha:]]+", True), (r"[*+]+", True), (r"\++", True), (r"a++", False), (r"(?>a)", False), (r"(a)\1", False),
+    (r"(?<!a)b", False), (r"a\Z", False),
+])
+def test_pattern_dialect(spark, pattern, ok):
+    got = P.spec_errors(spark.createDataFrame([spec_row(follow_patterns=[pattern])], P.SCHEMA)).first().error
+    assert (got is None) == ok, got

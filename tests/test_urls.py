@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from conftest import column
+from corpusmill.functions.regex import any_of
 from corpusmill.functions import urls
 
 SITE = "https://example.com"
@@ -57,7 +58,7 @@ def test_should_follow(spark):
         ([], [r"a|zzz", "b"], "https://h.org/zzz", False),
     ]
     got = column(spark, rows, "f array<string>, i array<string>, u string, e boolean",
-                 urls.should_follow(F.col("u"), F.col("f"), F.col("i")))
+                 urls.should_follow(F.col("u"), any_of(F.col("f")), any_of(F.col("i"))))
     assert got == [r[3] for r in rows]
     for follow, ignore, url, expected in rows:
         assert column(spark, [(url,)], "u string",
