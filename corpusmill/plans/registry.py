@@ -531,6 +531,48 @@ def documents_md_body_dedup(spark, sf):
     return docs.select("site", "ord", "depth", "url", "title")
 
 
+@query
+def documents_md_duplicates(spark, sf):
+    """Copies of pages under the same URLs change nothing."""
+    p = deep_pages(spark, sf)
+    return build_corpus(p.unionByName(p.withColumn("page_id", F.col("page_id") + 1_000_000)), site_specs(spark), GENERATED_AT)
+
+
+@query
+def documents_md_profiles(spark, sf):
+    """Every site has selectors of its own, and two more specifications cannot be built."""
+    exclude, title = F.when(F.col("name") == "Net Docs", F.array(F.lit("h1"))).otherwise(F.col("selectors.exclude")), F.col("selectors.title")
+    own = site_specs(spark).withColumn("selectors", F.struct(
+        F.when(F.col("name") == "Org Docs", "title").otherwise(title).alias("title"), F.col("selectors.content").alias("content"), exclude.alias("exclude")))
+    one = own.filter("name = 'Com Docs'")
+    bad = one.withColumns({"name": F.lit("bad"), "concurrency": F.lit(-1)}).unionByName(one.withColumns({
+        "name": F.lit("odd"), "selectors": F.struct(F.lit("a > b").alias("title"), F.lit("p").alias("content"), F.col("selectors.exclude").alias("exclude"))}))
+    return corpus_pages(deep_pages(spark, sf), own.unionByName(bad))
+
+
+@query
+def documents_md_crawled(spark, sf):
+    """From links to ordered pages: every page links to three others, beside its own links."""
+    p = pages(spark, sf)
+    to = p.select("page_id", F.explode(F.array(F.col("page_id") * 2 + 1, F.col("page_id") * 2 + 2, F.floor(F.col("page_id") / 3))).alias("to"))
+    links = to.join(p.select(F.col("page_id").alias("to"), "url"), "to").groupBy("page_id").agg(
+        F.array_join(F.collect_list(F.concat(F.lit('<a href="'), "url", F.lit('">to</a>'))), "").alias("more"))
+    linked = p.join(links, "page_id", "left").select("page_id", "url", F.concat("html", F.coalesce("more", F.lit(""))).alias("html"))
+    starts = L.assign_site(p.filter("page_id < 30").select("page_id", "url"), site_specs(spark)).groupBy(F.col("site").alias("name")).agg(
+        F.collect_set("url").alias("start_urls"))
+    specs = site_specs(spark).drop("start_urls").join(starts, "name").withColumn("max_depth", F.lit(4))
+    return corpus_pages(linked, specs).select("site", "ord", "depth", "url", "title")
+
+
+@query
+def entity_references(spark, sf):
+    """Numbers with any count of leading zeros, with and without the semicolon, and HTML 5 names."""
+    k = F.col("page_id") % 26 + 65
+    text = F.concat(F.lit("&#"), F.repeat(F.lit("0"), (F.col("page_id") % 20).cast("int")), k.cast("string"), F.lit("; &#"), k.cast("string"),
+                    F.lit(" &#x000"), F.hex(k), F.lit("; &check; &#150; &#99999999999; &#"), F.repeat(F.lit("9"), (F.col("page_id") % 9 + 7).cast("int")), F.lit(";"))
+    return pages(spark, sf).select("page_id", entities.decode_entities(text).alias("text"))
+
+
 # ------------------------------------------------------------ specifications
 
 
