@@ -644,7 +644,8 @@ def stream_pages(spark, sf):
     source = ingest.page_source(spark, sf, "pages.parquet")
     clean = lambda batch: M.convert(batch, content="article").select("page_id", "url", "title", "body")
     ingest.stream_pages(source, clean, out, dedup_on="body").awaitTermination()
-    return spark.read.parquet(f"{out}/pages").select("url", "title", "body", "content_hash")
+    ingest.stream_first_copies(spark, out).awaitTermination()
+    return spark.read.parquet(f"{out}/distinct").select("url", "title", "body", "content_hash")
 
 
 @query
@@ -661,7 +662,7 @@ def stream_page_counts(spark, sf):
     out = scratch(spark)
     source = ingest.page_source(spark, sf, "pages.parquet").select(U.url_authority(F.col("url")).alias("site"))
     ingest.stream_counts(source, "site", out).awaitTermination()
-    return spark.read.parquet(f"{out}/counts")
+    return ingest.latest_counts(spark, out)
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:

@@ -30,10 +30,10 @@ def stream_pages(
     """Run ``transform`` on every micro-batch and add its rows to ``out/pages``.
 
     Every batch writes its own folder and overwrites it when it is repeated, so a restart adds
-    nothing twice. With ``dedup_on`` rows whose content an earlier batch has written are left out:
-    hashes are a narrow table of their own, which is all that is read back.
+    nothing twice, and no batch reads what earlier ones wrote. With ``dedup_on`` rows carry
+    ``content_hash`` and equal contents of one batch are one row; :func:`stream_first_copies` drops those
+    that an earlier batch has brought.
     """
-    spark = pages.sparkSession
 
     def add(batch: DataFrame, batch_id: int) -> None:
         rows = transform(batch)
@@ -41,9 +41,6 @@ def stream_pages(
             rows = rows.withColumn("content_hash", content_hash(F.col(dedup_on)))
             first = F.min_by(F.struct(*rows.columns), "url")
             rows = rows.groupBy("content_hash").agg(first.alias("first")).select("first.*")
-            if batch_id > 0:
-                seen = spark.read.parquet(f"{out}/pages").filter(F.col("batch") < batch_id).select("content_hash")
-                rows = rows.join(seen, "content_hash", "left_anti")
         rows.write.mode("overwrite").parquet(f"{out}/pages/batch={batch_id}")
 
     return (
@@ -52,6 +49,20 @@ def stream_pages(
     )
 
 
+def stream_first_copies(spark: SparkSession, out: str) -> StreamingQuery:
+    """A second stream over ``out/pages``: the first row to arrive of every ``content_hash``, added to ``out/distinct``.
+
+    What has been seen is one hash per content in the state store, so a batch costs what it brings. Which copy
+    of a content stays depends on the order of arrival; the set of contents does not.
+    """
+    schema = spark.read.parquet(f"{out}/pages").schema
+    rows = spark.readStream.schema(schema).parquet(f"{out}/pages").drop("batch")
+    return (
+        rows.dropDuplicates(["content_hash"]).writeStream.format("parquet").option("checkpointLocation", f"{out}/checkpoint-distinct")
+        .option("path", f"{out}/distinct").outputMode("append").trigger(availableNow=True).start()
+    )
+
+
 def stream_distinct_hashes(rows: DataFrame, content: str, out: str, keep: tuple[str, ...] = ()) -> StreamingQuery:
     """First-seen contents of a stream: the state store holds one hash per distinct content.
 
@@ -66,13 +77,23 @@ def stream_distinct_hashes(rows: DataFrame, content: str, out: str, keep: tuple[
 
 
 def stream_counts(rows: DataFrame, by: str, out: str) -> StreamingQuery:
-    """Running number of pages per group; ``out/counts`` always holds the latest totals."""
+    """Running number of pages per group; each batch writes all totals to a new folder ``out/counts/version=<batch>``.
+
+    Readers take the highest version (:func:`latest_counts`); the folder they read is never overwritten by a later batch.
+    """
 
     def replace(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/counts")
+        batch.write.mode("overwrite").parquet(f"{out}/counts/version={batch_id}")
 
     counts = rows.groupBy(by).agg(F.count("*").alias("pages"))
     return (
         counts.writeStream.outputMode("complete").foreachBatch(replace)
         .option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
     )
+
+
+def latest_counts(spark: SparkSession, out: str) -> DataFrame:
+    """The totals of the last batch of :func:`stream_counts`."""
+    versions = spark.read.parquet(f"{out}/counts")
+    last = versions.select("version").distinct().agg(F.max("version")).first()[0]
+    return versions.filter(F.col("version") == last).drop("version")
