@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from corpusmill.functions import urls as U
 from corpusmill.functions.html import attr
-from corpusmill.functions.regex import trim_space
-from corpusmill.operators.select import DEFAULT_CONTENT, page_stream
+from corpusmill.functions.regex import let, trim_space
+from corpusmill.operators.select import DEFAULT_CONTENT, base_href, page_stream
 from corpusmill.operators.tokens import KEYS, source_text
 from corpusmill.lineage import cut
 
@@ -18,17 +18,19 @@ def extract_links(
     pages: DataFrame, content: str = DEFAULT_CONTENT, exclude: Sequence[str] = (),
     keys: Sequence[str] = KEYS, require_content: bool = True, carry: Sequence[str] = ("url",),
 ) -> DataFrame:
-    """``keys, carry, href, pos``: links left on a page once excluded elements are gone.
+    """``keys, carry, href, pos, base``: links left on a page once excluded elements are gone, and its ``<base href>``.
 
     Links outside the content count, links in excluded parts of the content do not. With
     ``require_content`` a page without content has no links.
     """
     rows = page_stream(pages, title=None, content=content, exclude=exclude, keys=keys, carry=carry, links=True)
+    whole = W.partitionBy(*keys)
+    rows = rows.withColumn("base", base_href().over(whole))
     if require_content:
         visible = (F.col("part") == "content") & ~F.col("boundary") & (trim_space(source_text()) != "")
-        rows = rows.withColumn("has_content", F.bool_or(visible).over(W.partitionBy(*keys))).filter("has_content")
+        rows = rows.withColumn("has_content", F.bool_or(visible).over(whole)).filter("has_content")
     return rows.filter("part = 'link'").select(
-        *keys, *carry, attr("href").alias("href"), F.col("open_pos").alias("pos")
+        *keys, *carry, attr("href").alias("href"), F.col("open_pos").alias("pos"), "base"
     )
 
 
@@ -38,11 +40,16 @@ def follow_edges(
     """``carry, src, dst``: the distinct links that would be visited from each page.
 
     Resolution, then the legal, ignore and follow filters, then the domain test, before the only shuffle.
+    A column ``base`` (what ``<base href>`` says, or NULL) takes part in the resolution.
     ``follow`` and ``ignore`` are lists, or columns of alternations (``any_of``) when links of several sites are
     mixed; ``domains`` is a list or an array column.
     """
     # A generator, because filters are not pushed through one: a link is resolved once, not once per condition.
-    target = F.explode(F.array_compact(F.array(U.resolve_url(F.col("url"), F.col("href")))))
+    target = U.resolve_url(F.col("url"), F.col("href"))
+    if "base" in links.columns:
+        own = F.when(F.col("base").isNull(), F.col("url")).otherwise(F.coalesce(U.resolve_url(F.col("url"), F.col("base")), F.col("url")))
+        target = let(own, lambda b: U.resolve_url(b, F.col("href")))
+    target = F.explode(F.array_compact(F.array(target)))
     resolved = links.select(
         *carry, F.col("url").alias("src"), target.alias("dst"),
         *[c for c in (follow, ignore, domains) if not isinstance(c, (list, tuple))],

@@ -369,7 +369,7 @@ def convert(
     """``keys, carry, title, content_length, body`` of every page with content.
 
     Title, content and Markdown come out of one pass over the token stream: one exchange. With ``links`` so do
-    the links left on the page, as an array. Options that are mappings hold for the pages of their ``profile``,
+    the links left on the page, as an array, and its ``<base href>``. Options that are mappings hold for the pages of their ``profile``,
     which must then be one of the keys. Whether a page has content, and how many bytes, is measured on its
     source, before sanitizing. Pages without content (no match, or only blank ones) are not in the result.
     """
@@ -380,7 +380,7 @@ def convert(
     src = F.when((F.col("part") == "content") & ~F.col("boundary"), source_text())
     measured = title_text(rows).withColumns({
         "bytes": F.octet_length(src), "visible": trim_space(src) != "",
-        "link": F.when(F.col("part") == "link", H.attr("href")) if links else F.lit(None).cast("string"),
+        "link": F.when(F.col("part").isin("link", "base"), H.attr("href")) if links else F.lit(None).cast("string"),
     })
     pieces = content_pieces(
         measured, sanitize_html=_by_profile(sanitize_html), preserve_images=_by_profile(preserve_images),
@@ -395,12 +395,15 @@ def convert(
         *title_columns(),
         ordered_concat("piece", "", "part = 'content' AND piece <> ''", "match_pos", "ord").alias("pieces"),
         F.sum("bytes").alias("content_length"),
-        *([F.collect_set("link").alias("links")] if links else []),
+        *([
+            F.collect_set(F.when(F.col("part") == "link", F.col("link"))).alias("links"),
+            F.min_by("link", F.when((F.col("part") == "base") & F.col("link").isNotNull(), F.col("ord"))).alias("base"),
+        ] if links else []),
         F.bool_or("visible").alias("has_content"),
     )
     return per_page.filter("has_content").select(
         *keys, *carry, pick_title().alias("title"), "content_length",
-        F.coalesce(_settle(F.col("pieces")), F.lit("")).alias("body"), *(["links"] if links else []),
+        F.coalesce(_settle(F.col("pieces")), F.lit("")).alias("body"), *(["links", "base"] if links else []),
     )
 
 

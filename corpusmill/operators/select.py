@@ -165,7 +165,7 @@ def page_stream(
 ) -> DataFrame:
     """The rows of every page that its title, its content and its links are made of.
 
-    ``part`` is ``page`` (one row per page), ``title``, ``<title>``, ``content`` or ``link``. ``level`` and ``match_pos`` name the
+    ``part`` is ``page`` (one row per page), ``title``, ``<title>``, ``content``, ``link`` or ``base``. ``level`` and ``match_pos`` name the
     selected element a row belongs to: a row inside nested matches is repeated once per match,
     because each match contributes its own text. A content row is left out when it lies in an
     excluded element below its match; a link when it lies in one below any content match.
@@ -226,6 +226,7 @@ def page_stream(
                    (kind == "open") & (F.col("tag") == "a") & (F.coalesce(H.attr("href"), F.lit("")) != "")
                    & ~F.coalesce(in_removed, F.lit(False)))
         )
+        parts.append(levels("base", F.lit(1), (kind == "void") & (F.col("tag") == "base")))
     spread = stream.select(
         *keys, *carry, "ord", "kind", "tag", "open_pos", "text", "explicit_close", "excluded_depth",
         "is_title", "is_content", "title_depth", "content_depth", F.explode(F.concat(*parts)).alias("p"),
@@ -255,6 +256,12 @@ def page_stream(
     )
 
 
+def base_href() -> Column:
+    """Aggregate over the rows of a page stream with links: the href of the first ``<base>``."""
+    is_base = (F.col("part") == "base") & H.attr("href").isNotNull()
+    return F.min_by(F.when(is_base, H.attr("href")), F.when(is_base, F.col("ord")))
+
+
 def part_window(keys: Sequence[str] = KEYS) -> W:
     """Rows of one part of a page at one nesting level, in document order."""
     return W.partitionBy(*keys, "part", "level").orderBy("ord")

@@ -60,7 +60,7 @@ def locate(pages: DataFrame, specs: DataFrame) -> DataFrame:
 
 
 def convert_sites(pages: DataFrame, specs: DataFrame, profiles: list) -> DataFrame:
-    """``site, profile, page_id, url, title, content_length, body, links`` of every page with content.
+    """``site, profile, page_id, url, title, content_length, body, links, base`` of every page with content.
 
     Sites are assigned on narrow rows; html joins them by page, the way the token pipeline wants it
     distributed, is moved once and taken apart once: selectors of all profiles are conditions of the same
@@ -84,7 +84,7 @@ def convert_sites(pages: DataFrame, specs: DataFrame, profiles: list) -> DataFra
 
 def site_edges(converted: DataFrame, specs: DataFrame) -> DataFrame:
     """``site, src, dst``: the links every site would follow."""
-    links = converted.select("site", "url", F.explode("links").alias("href"))
+    links = converted.select("site", "url", "base", F.explode("links").alias("href"))
     rules = specs.select(
         F.col("name").alias("site"), any_of(F.col("follow_patterns")).alias("follow"), any_of(F.col("ignore_patterns")).alias("ignore"), "allowed_domains")
     return follow_edges(links.join(rules, "site"), F.col("follow"), F.col("ignore"), F.col("allowed_domains"), carry=("site",))

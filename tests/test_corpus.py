@@ -264,3 +264,13 @@ def test_links_are_resolved_once(spark):
 def test_pattern_dialect(spark, pattern, ok):
     got = P.spec_errors(spark.createDataFrame([spec_row(follow_patterns=[pattern])], P.SCHEMA)).first().error
     assert (got is None) == ok, got
+
+
+def test_base_href(spark):
+    html = '<base href="https://t.example/d/"><base href="/x/"><main>m <a href="e">1</a></main><a href="/r">2</a>'
+    links = L.extract_links(pages(spark, [(T + "/p/q", html), (T + "/p/r", html.replace("<base", "<bose"))]), "main")
+    got = {(r.src, r.dst) for r in L.follow_edges(links).collect()}
+    assert got == {(T + "/p/q", T + "/d/e"), (T + "/p/q", T + "/r"), (T + "/p/r", T + "/p/e"), (T + "/p/r", T + "/r")}
+    specs = _spec(spark, dict(max_depth=2))
+    crawl = pages(spark, [(T + "/", '<base href="/d/"><main><a href="e">1</a></main>'), (T + "/d/e", "<main>e</main>"), (T + "/e", "<main>no</main>")])
+    assert {r.url for r in corpus_pages(crawl, specs).collect()} == {T + "/", T + "/d/e"}
