@@ -169,6 +169,17 @@ def _context(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
+# What Markdown would take for markup inside text: emphasis, code, links, tags and references.
+_MARKUP = r"[\\*`\[]|(?<![\p{L}\p{N}])_|_(?![\p{L}\p{N}])|<(?=[A-Za-z/!?])|&(?=#?[A-Za-z0-9]{1,31};)|~(?=~)"
+
+
+def _escaped(text: Column) -> Column:
+    """Text that reads as it is: what looks like markup gets a backslash."""
+    marked = F.regexp_replace(text, f"({_MARKUP})", r"\\$1")
+    numbered = F.regexp_replace(marked, r"\A(\s*+[0-9]{1,9})([.)])(?=\s|\z)", r"$1\\$2")
+    return F.regexp_replace(numbered, r"\A(\s*+)(#{1,6}(?=\s|\z)|[-+](?=\s|\z)|>|-{3,}|={3,})", r"$1\\$2")
+
+
 def _pieces(absolute_base: Column | None, sanitized: Column) -> Column:
     """What a row of a content stream with context emits."""
     kind, tag, raw = F.col("kind"), F.col("tag"), F.col("text")
@@ -200,6 +211,7 @@ def _pieces(absolute_base: Column | None, sanitized: Column) -> Column:
     # ---- text
     text = F.regexp_replace(H.token_text(), MARKS, "")
     line = F.regexp_replace(text, r"[\t\n\f\r ]+", " ")
+    line = F.when(F.col("code") > 0, line).otherwise(_escaped(line))
     in_cell = F.col("cell") > 0
     plain = F.when(in_cell, F.replace(line, lit("|"), lit("\\|"))).otherwise(line)
     pre_text = F.replace(

@@ -20,7 +20,7 @@ CASES = {
     "<blockquote>q<ul><li>a<li>b</ul></blockquote>": "> q\n>\n> - a\n> - b",
     "<ul><li>a<pre>c\n d</pre></ul>": "- a\n\n  ```\n  c\n   d\n  ```",
     "<p><b>Lead<br><p>next</p><hr><p>l1<br>l2": "**Lead**\n\nnext\n\n---\n\nl1\nl2",
-    "<script>var t='</p>';</script><p>Safe &amp; sound &lt;x&gt;</p>": "Safe & sound <x>",
+    "<script>var t='</p>';</script><p>Safe &amp; sound &lt;x&gt;</p>": "Safe & sound \\<x>",
     "<dl><dt>T<dd>D</dl>": "T\n\nD",
     "<h2>A<br>b <em>c</em></h2>text  <del>gone</del>": "## A b _c_\n\ntext ~~gone~~",
     "<p>a</p> <!-- c --> <p>b</p>": "a\n\nb",
@@ -110,3 +110,12 @@ def test_sanitized_conversion(spark):
 def test_length_is_the_bytes_of_the_source(spark):
     row = M.convert(pages(spark, ["<section>\u00e9</section>"])).first()
     assert row.content_length == len("<section>\u00e9</section>".encode())
+
+
+@pytest.mark.parametrize("text, expected", [
+    ("# x", "\\# x"), ("*x* a_b _c_", "\\*x\\* a_b \\_c\\_"), ("1. x", "1\\. x"), ("- x", "\\- x"), ("[a](b)", "\\[a](b)"), ("&gt; x", "\\> x"),
+    ("&lt;script&gt;", "\\<script>"), ("&amp;lt;", "\\&lt;"), ("a\\b `c`", "a\\\\b \\`c\\`"), ("3.5 a-b #1 2 < 3", "3.5 a-b #1 2 < 3"),
+])
+def test_text_that_looks_like_markdown(spark, text, expected):
+    assert bodies(spark, [f"<p>{text}</p>", f"<p>x<br>{text}", "<code>*a*</code><pre># b</pre>"]) == {
+        0: expected, 1: "x\n" + expected, 2: "`*a*`\n\n```\n# b\n```"}
