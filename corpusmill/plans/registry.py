@@ -631,7 +631,8 @@ def specs_from_urls(spark, sf):
         "name", "base_url", "output_file", F.col("start_urls")[0].alias("start_url"),
         F.array_join("follow_patterns", " ").alias("follow"), F.size("ignore_patterns").alias("n_ignore"),
         F.sha2(F.array_join("ignore_patterns", " "), 256).alias("ignore_hash"),
-        F.size("selectors.exclude").alias("n_exclude"), F.array_join("allowed_domains", " ").alias("domains"),
+        F.sha2(F.array_join("selectors.exclude", " "), 256).alias("exclude_hash"), F.col("selectors.title").alias("title_selector"),
+        F.col("selectors.content").alias("content_selector"), F.array_join("allowed_domains", " ").alias("domains"),
         "max_depth", "delay", "generate_toc", "preserve_images")
 
 
