@@ -69,7 +69,7 @@ def test_values(edge, items):
 
 def test_filters_keep_columns(edge, labels, items):
     for result, n in (
-        (drop_near_duplicates(edge), 9), (reject_toxic(edge, labels), None), (filter_quality(edge), None), (decontaminate(edge, items), 8), (mix(edge), None),
+        (drop_near_duplicates(edge), 8), (reject_toxic(edge, labels), None), (filter_quality(edge), None), (decontaminate(edge, items), 8), (mix(edge), None),
     ):
         assert result.columns == edge.columns
         assert n is None or result.count() == n
