@@ -1,7 +1,7 @@
 """Quality rules with adaptive thresholds.
 
-Four measures of every text are summed into quantile sketches per language and source: counts per bucket of a
-fixed resolution, which merge by adding, so partial sketches are made where the texts are and a small source falls
+Four measures of every text are summed into quantile sketches per language and source: counts per bucket of three
+significant digits, which merge by adding, so partial sketches are made where the texts are and a small source falls
 back to the merged sketch of its language, or of everything. A text is an outlier in a measure when it lies more than
 ``reach`` times the interquartile range beyond the quartiles of its group. Thresholds are then joined to the texts.
 
@@ -20,7 +20,6 @@ from corpusmill.llm.common import WORD, keep_rows, stored, text_key
 SYMBOL = r"[#*$%&|<>]"
 # Measure: least interquartile range (so that groups of nearly equal texts do not reject small deviations).
 SPREAD = {"symbols": 10, "dup_lines": 120, "repeats": 160, "word_length": 15}
-LAST_BUCKET = 1000
 
 
 def repeated_words(words: Column) -> Column:
@@ -70,10 +69,16 @@ def _measures() -> dict[str, Column]:
     }
 
 
+def bucket(value: Column) -> Column:
+    """Whole numbers up to three digits as they are, larger ones to three significant digits, without an upper end."""
+    width = F.pow(F.lit(10.0), F.greatest(F.length(value.cast("string")), F.lit(3)) - 3).cast("long")
+    return value - F.pmod(value, width)
+
+
 def sketches(rows: DataFrame) -> DataFrame:
     """``level, lang, source, measure, bucket, n`` of all groups: 0 language and source, 1 language, 2 everything."""
     each = F.array(*[
-        F.struct(F.lit(name).alias("measure"), F.least(value, F.lit(LAST_BUCKET)).alias("bucket"))
+        F.struct(F.lit(name).alias("measure"), bucket(value).alias("bucket"))
         for name, value in _measures().items()
     ])
     fine = rows.filter(~F.col("base_failed")).select("lang", "source", F.inline(each)).groupBy(
@@ -121,7 +126,7 @@ def judged(docs: DataFrame, reach: int = 3, least_group: int = 100) -> DataFrame
     own = F.when(F.col("fn") >= least_group, F.col("fbounds")).when(F.col("ln") >= least_group, F.col("lbounds")).otherwise(everything)
     inside = F.lit(True)
     for name, value in _measures().items():
-        inside &= F.coalesce(value.between(F.col("own")[name + "_low"], F.col("own")[name + "_high"]), F.lit(True))
+        inside &= F.coalesce(bucket(value).between(F.col("own")[name + "_low"], F.col("own")[name + "_high"]), F.lit(True))
     return joined.withColumn("own", own).select(
         "__id", "__text", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         (~F.col("base_failed") & inside).alias("kept"),
