@@ -394,8 +394,10 @@ def derived_edges(spark, sf):
 
 @query
 def crawl_depths(spark, sf):
-    p = pages(spark, sf).select("page_id", "url")
-    kept = p.filter("page_id % 13 <> 6")   # pages without content neither count nor expand
+    """Pages whose article was blanked have no content: they neither count nor expand."""
+    blank = F.regexp_replace("html", r"(?s)<article>.*?</article>", "<article> \n</article>")
+    p = pages(spark, sf).withColumn("html", F.when(F.col("page_id") % 13 == 6, blank).otherwise(F.col("html")))
+    kept = S.main_content(p, "article").select("page_id").join(p.select("page_id", "url"), "page_id")
     starts = p.filter("page_id % 100 = 0").select("url")
     return L.crawl_depths(kept, derived_edges(spark, sf), starts, 6)
 
