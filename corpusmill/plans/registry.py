@@ -560,9 +560,10 @@ def documents_md_crawled(spark, sf):
     links = to.join(p.select(F.col("page_id").alias("to"), "url"), "to").groupBy("page_id").agg(
         F.array_join(F.collect_list(F.concat(F.lit('<a href="'), "url", F.lit('">to</a>'))), "").alias("more"))
     linked = p.join(links, "page_id", "left").select("page_id", "url", F.concat("html", F.coalesce("more", F.lit(""))).alias("html"))
-    starts = L.assign_site(p.filter("page_id < 30").select("page_id", "url"), site_specs(spark)).groupBy(F.col("site").alias("name")).agg(
-        F.collect_set("url").alias("start_urls"))
-    specs = site_specs(spark).drop("start_urls").join(starts, "name").withColumn("max_depth", F.lit(4))
+    # the first page of every host; no depth ends the crawl before all linked pages are reached
+    first = L.assign_site(p.select("page_id", "url"), site_specs(spark)).groupBy("site", U.url_hostname(F.col("url"))).agg(F.min_by("url", "page_id").alias("url"))
+    starts = first.groupBy(F.col("site").alias("name")).agg(F.collect_set("url").alias("start_urls"))
+    specs = site_specs(spark).drop("start_urls").join(starts, "name").withColumn("max_depth", F.lit(2**31 - 1))
     return corpus_pages(linked, specs).select("site", "ord", "depth", "url", "title")
 
 

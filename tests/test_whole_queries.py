@@ -1,7 +1,9 @@
 """Queries that take what they need from the content of their tables."""
 
+import duckdb
 from pyspark.sql import functions as F
 
+from corpusmill.plans.oracles import ORACLES
 from corpusmill.plans.registry import QUERIES
 
 
@@ -14,3 +16,15 @@ def test_crawl_depths_by_content(spark, sf, tmp_path):
     pages.withColumn("html", F.when(F.col("url") == gone, empty).otherwise(F.col("html"))).write.parquet(str(tmp_path / "pages.parquet"))
     after = {r.url for r in QUERIES["crawl_depths"](spark, str(tmp_path)).collect()}
     assert after <= before - {gone}
+
+
+def test_documents_md_crawled_reaches_all(spark, sf):
+    """The query's SQL from the first page of every host of a site, without an end of depth that matters."""
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{sf}/pages.parquet'")
+    host = "regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1)"
+    sql = ORACLES["documents_md_crawled"].replace(
+        "WHERE page_id < 30", f"WHERE page_id IN (SELECT min(page_id) FROM p GROUP BY site, {host})").replace("r.depth < 4", "r.depth < 30")
+    want = con.execute(sql).fetchall()
+    got = QUERIES["documents_md_crawled"](spark, sf).collect()
+    assert sorted(tuple(r) for r in got) == sorted(want) and want
