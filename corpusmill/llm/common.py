@@ -85,3 +85,16 @@ def running(
     inside = ranged.withColumn("__within", F.coalesce(F.sum(value).over(within), F.lit(0)))
     joined = inside.join(offsets, ["__part", *group])
     return joined.withColumn(out, F.col("__within") + F.col("__offset")).drop("__part", "__within", "__offset")
+
+
+def with_classes(rows: DataFrame, classes: DataFrame, key: Sequence[str], count: str) -> DataFrame:
+    """Inner join of ``rows`` with ``classes``, which has one row for each ``key`` and in ``count`` how many of the rows have it.
+
+    A key of more than a thousandth of all rows would be one large task. There are at most a thousand such keys, by
+    arithmetic, so theirs are broadcast; the others meet in a shuffle. Both tables are read twice and should be stored.
+    """
+    total = classes.agg(F.sum(count)).first()[0] or 0
+    heavy = F.col(count) * 1000 > total
+    many, few = F.broadcast(classes.filter(heavy).drop(count)), classes.filter(~heavy).drop(count)
+    rest = rows.join(F.broadcast(classes.filter(heavy).select(*key)), list(key), "left_anti")
+    return rows.join(many, list(key)).unionByName(rest.join(few, list(key)))

@@ -14,6 +14,7 @@ from corpusmill.llm.near_duplicates import near_duplicates
 from corpusmill.llm.paragraph_dedup import repeated_paragraphs
 from corpusmill.llm.quality import quality
 from corpusmill.llm.sharding import assign_shards
+from corpusmill.llm.simhash import similar_fingerprints
 from corpusmill.llm.suffix_dedup import without_repeats
 from corpusmill.llm.toxicity import fit, score
 from corpusmill.llm.url_filter import filter_urls
@@ -60,6 +61,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(documents(spark, sf_dir))
 
 
+def op13_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_fingerprints(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_suffix_array_dedup, op2_substring_dedup, op3_minhash_near_dedup, op4_toxicity, op5_url_filters, op6_line_dedup, op7_quality_rules, op8_benchmark_decontamination, op9_mixing, op10_sharding)
+    f.__name__: f for f in (op1_suffix_array_dedup, op2_substring_dedup, op3_minhash_near_dedup, op4_toxicity, op5_url_filters, op6_line_dedup, op7_quality_rules, op8_benchmark_decontamination, op9_mixing, op10_sharding, op13_simhash_near_dedup)
 }
