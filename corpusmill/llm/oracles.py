@@ -114,5 +114,51 @@ WITH d AS (
 )
 SELECT b.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND bad.doc_id IS NULL AS kept FROM b LEFT JOIN bad USING (doc_id)
+""",
+    "op11_merkle_manifest": r"""
+WITH RECURSIVE crc_in AS (
+  SELECT DISTINCT doc_id, cast(doc_id AS VARCHAR) AS s FROM documents WHERE doc_id IS NOT NULL
+), crc AS (
+  SELECT doc_id, xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(s, ''),
+      lambda c: [1000 + ascii(c), -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda x, y: CASE WHEN y >= 0 THEN xor(x, y - 1000) WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END), 4294967295::BIGINT) AS crc
+  FROM crc_in
+), d AS (
+  SELECT doc_id, lang, coalesce('=' || lang, '') AS grp, n_chars,
+    coalesce(strlen(cast(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS head,
+    coalesce(strlen(text) || ':' || text, '-') AS tail FROM documents
+), leaves AS (
+  SELECT d.doc_id, grp, sha256(head || coalesce(strlen(cast(n_chars AS VARCHAR)) || ':' || n_chars, '-') || tail) AS leaf,
+    CASE WHEN crc % 7 = 0 THEN sha256(head || coalesce(strlen(cast(n_chars + 1 AS VARCHAR)) || ':' || (n_chars + 1), '-') || tail) END AS tampered
+  FROM d LEFT JOIN crc USING (doc_id)
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY grp) AS n FROM leaves
+), low(grp, lvl, pos, digest, n) AS (
+  SELECT grp, 0, pos, leaf, n FROM placed
+  UNION ALL
+  SELECT grp, max(lvl) + 1, pos // 2, sha256(string_agg(digest, '' ORDER BY pos)), max((n + 1) // 2) FROM low WHERE n > 1 GROUP BY grp, pos // 2
+), tops AS (
+  SELECT grp, digest, row_number() OVER (ORDER BY grp) - 1 AS pos, count(*) OVER () AS n FROM low WHERE n = 1
+), high(lvl, pos, digest, n) AS (
+  SELECT 0, pos, digest, n FROM tops
+  UNION ALL
+  SELECT max(lvl) + 1, pos // 2, sha256(string_agg(digest, '' ORDER BY pos)), max((n + 1) // 2) FROM high WHERE n > 1 GROUP BY pos // 2
+), steps AS (
+  SELECT p.grp, p.pos, l.lvl, l.pos % 2 = 1 AS is_right, s.digest AS sibling FROM placed p
+  JOIN low l ON l.grp = p.grp AND l.pos = p.pos >> l.lvl AND l.n > 1
+  LEFT JOIN low s ON s.grp = l.grp AND s.lvl = l.lvl AND s.pos = xor(l.pos, 1)
+  UNION ALL
+  SELECT p.grp, p.pos, 1000 + h.lvl, h.pos % 2 = 1, s.digest FROM placed p JOIN tops t ON t.grp = p.grp
+  JOIN high h ON h.pos = t.pos >> h.lvl AND h.n > 1 LEFT JOIN high s ON s.lvl = h.lvl AND s.pos = xor(h.pos, 1)
+), proofs AS (
+  SELECT grp, pos, string_agg(coalesce(sibling, ''), '' ORDER BY lvl) AS joined, list({'r': is_right, 's': coalesce(sibling, '')} ORDER BY lvl) AS path
+  FROM steps GROUP BY grp, pos
+), fold AS (
+  SELECT p.doc_id, p.grp, p.pos, p.leaf, coalesce(joined, '') AS joined, path, 0 AS i, coalesce(tampered, leaf) AS acc FROM placed p LEFT JOIN proofs q USING (grp, pos)
+  UNION ALL
+  SELECT doc_id, grp, pos, leaf, joined, path, i + 1, sha256(CASE WHEN path[i + 1].r THEN path[i + 1].s || acc ELSE acc || path[i + 1].s END) FROM fold WHERE i < len(path)
+)
+SELECT doc_id, leaf, t.digest AS subroot, r.digest AS root, sha256(joined) AS proof_sha256, acc AS folded_root, acc = r.digest AS verified
+FROM fold f JOIN tops t ON t.grp = f.grp, (SELECT digest FROM high WHERE n = 1) r WHERE i = coalesce(len(path), 0)
 """,
 }

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corpusmill.llm.common import documents
 from corpusmill.llm.decontamination import contamination
 from corpusmill.llm.line_dedup import repeated_lines
+from corpusmill.llm.merkle import build_manifest, folded, leaf_digest, proof_digest, prove
 from corpusmill.llm.mixing import mixture
 from corpusmill.llm.near_duplicates import near_duplicates
 from corpusmill.llm.paragraph_dedup import repeated_paragraphs
@@ -61,10 +62,21 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(documents(spark, sf_dir))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    more = F.col("n_chars").cast("decimal(20,0)") + 1
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 7 == 0, F.unhex(leaf_digest(F.col("doc_id"), F.col("source"), F.col("lang"), more, F.col("text"))))
+    proofs = prove(build_manifest(docs, carry={"tampered": tampered}))
+    now = F.coalesce(F.lower(F.hex("tampered")), F.col("leaf"))
+    return proofs.select(
+        "doc_id", "leaf", "subroot", "root", proof_digest(F.col("siblings")).alias("proof_sha256"), folded(now, F.col("siblings"), F.col("left")).alias("folded_root"),
+    ).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 def op13_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_fingerprints(documents(spark, sf_dir))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_suffix_array_dedup, op2_substring_dedup, op3_minhash_near_dedup, op4_toxicity, op5_url_filters, op6_line_dedup, op7_quality_rules, op8_benchmark_decontamination, op9_mixing, op10_sharding, op13_simhash_near_dedup)
+    f.__name__: f for f in (op1_suffix_array_dedup, op2_substring_dedup, op3_minhash_near_dedup, op4_toxicity, op5_url_filters, op6_line_dedup, op7_quality_rules, op8_benchmark_decontamination, op9_mixing, op10_sharding, op11_merkle_manifest, op13_simhash_near_dedup)
 }
