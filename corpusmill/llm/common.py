@@ -98,3 +98,11 @@ def with_classes(rows: DataFrame, classes: DataFrame, key: Sequence[str], count:
     many, few = F.broadcast(classes.filter(heavy).drop(count)), classes.filter(~heavy).drop(count)
     rest = rows.join(F.broadcast(classes.filter(heavy).select(*key)), list(key), "left_anti")
     return rows.join(many, list(key)).unionByName(rest.join(few, list(key)))
+
+
+def outside_classes(rows: DataFrame, classes: DataFrame, key: Sequence[str], count: str) -> DataFrame:
+    """Rows whose key is not in ``classes``; as in :func:`with_classes` no large group of rows is shuffled by its key."""
+    total = classes.agg(F.sum(count)).first()[0] or 0
+    heavy = F.col(count) * 1000 > total
+    rest = rows.join(F.broadcast(classes.filter(heavy).select(*key)), list(key), "left_anti")
+    return rest.join(classes.filter(~heavy).select(*key), list(key), "left_anti")

@@ -160,5 +160,44 @@ WITH RECURSIVE crc_in AS (
 )
 SELECT doc_id, leaf, t.digest AS subroot, r.digest AS root, sha256(joined) AS proof_sha256, acc AS folded_root, acc = r.digest AS verified
 FROM fold f JOIN tops t ON t.grp = f.grp, (SELECT digest FROM high WHERE n = 1) r WHERE i = coalesce(len(path), 0)
+""",
+    "op12_prefix_trie": r"""
+WITH turns AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS place FROM conversations WHERE conv_id IS NOT NULL
+), crc AS (
+  SELECT conv_id, xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(cast(conv_id AS VARCHAR), ''),
+      lambda c: [1000 + ascii(c), -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda x, y: CASE WHEN y >= 0 THEN xor(x, y - 1000) WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END), 4294967295::BIGINT) % 4 AS h
+  FROM (SELECT DISTINCT conv_id FROM turns)
+), built AS (
+  SELECT conv_id, 0 AS part, t.place, t.role, t.text FROM crc JOIN (SELECT conv_id AS base, place, role, text FROM turns) t ON t.base = conv_id - conv_id % 20 AND t.place <= h
+  UNION ALL
+  SELECT conv_id, 1, place, role, text FROM turns JOIN crc USING (conv_id) WHERE place > h
+), placed AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY part, place) AS depth, role, text FROM built
+), prefixes AS (
+  SELECT conv_id, 0 AS depth, ''::VARCHAR AS name, NULL AS parent, 0 AS words FROM crc
+  UNION ALL
+  SELECT p.conv_id, p.depth, string_agg(strlen(q.role) || ':' || q.role || strlen(q.text) || ':' || q.text, '' ORDER BY q.depth),
+    coalesce(string_agg(strlen(q.role) || ':' || q.role || strlen(q.text) || ':' || q.text, '' ORDER BY q.depth) FILTER (WHERE q.depth < p.depth), ''),
+    max(len(regexp_extract_all(p.text, '[^\x20\x09-\x0D]+')))
+  FROM placed p JOIN placed q ON q.conv_id = p.conv_id AND q.depth <= p.depth GROUP BY p.conv_id, p.depth
+), lengths AS (
+  SELECT conv_id, max(depth) AS len FROM prefixes GROUP BY conv_id
+), nodes AS (
+  SELECT name, depth, any_value(parent) AS parent, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(words) AS saved,
+    coalesce(string_agg(cast(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE depth = len), '') AS ends
+  FROM prefixes JOIN lengths USING (conv_id) GROUP BY name, depth
+), kids AS (
+  SELECT parent AS name, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY parent
+), sums AS (
+  SELECT a.name, a.depth, sum(d.saved) AS saved, count(*) FILTER (WHERE k.name IS NULL) AS n_leaves
+  FROM nodes d LEFT JOIN kids k ON k.name = d.name JOIN prefixes p ON p.conv_id = d.conv_id AND p.depth <= d.depth
+  JOIN nodes a ON a.name = p.name AND a.depth = p.depth GROUP BY a.name, a.depth
+)
+SELECT n.conv_id, cast(n.depth AS BIGINT) AS depth, u.conv_id AS parent_conv_id, n.n_convs, coalesce(k.n_children, 0) AS n_children, s.n_leaves,
+  cast(s.saved AS BIGINT) AS saved_tokens, sha256(n.ends) AS ends_sha256
+FROM nodes n JOIN sums s ON s.name = n.name AND s.depth = n.depth LEFT JOIN kids k ON k.name = n.name LEFT JOIN nodes u ON n.depth > 0 AND u.name = n.parent AND u.depth = n.depth - 1
 """,
 }

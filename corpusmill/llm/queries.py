@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corpusmill.llm.common import documents
+from corpusmill.llm.common import documents, stored
 from corpusmill.llm.decontamination import contamination
 from corpusmill.llm.line_dedup import repeated_lines
 from corpusmill.llm.merkle import build_manifest, folded, leaf_digest, proof_digest, prove
 from corpusmill.llm.mixing import mixture
 from corpusmill.llm.near_duplicates import near_duplicates
 from corpusmill.llm.paragraph_dedup import repeated_paragraphs
+from corpusmill.llm.prefix_trie import numbered_turns, prefix_trie, rebuilt
 from corpusmill.llm.quality import quality
 from corpusmill.llm.sharding import assign_shards
 from corpusmill.llm.simhash import similar_fingerprints
@@ -73,10 +74,15 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns, convs = rebuilt(numbered_turns(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+    return prefix_trie(stored(turns), convs).drop("name", "parent")
+
+
 def op13_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_fingerprints(documents(spark, sf_dir))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_suffix_array_dedup, op2_substring_dedup, op3_minhash_near_dedup, op4_toxicity, op5_url_filters, op6_line_dedup, op7_quality_rules, op8_benchmark_decontamination, op9_mixing, op10_sharding, op11_merkle_manifest, op13_simhash_near_dedup)
+    f.__name__: f for f in (op1_suffix_array_dedup, op2_substring_dedup, op3_minhash_near_dedup, op4_toxicity, op5_url_filters, op6_line_dedup, op7_quality_rules, op8_benchmark_decontamination, op9_mixing, op10_sharding, op11_merkle_manifest, op12_prefix_trie, op13_simhash_near_dedup)
 }
