@@ -287,7 +287,7 @@ def _ends(members: DataFrame) -> DataFrame:
     return pieces.repartition("row").sortWithinPartitions("row", "first").mapInArrow(_id_hashes, "row binary, ends_sha256 string")
 
 
-def prefix_trie(turns: DataFrame, convs: DataFrame, limit: int = 1000, segment: int = SEGMENT) -> DataFrame:
+def prefix_trie(turns: DataFrame, convs: DataFrame, limit: int = 128, segment: int = SEGMENT) -> DataFrame:
     """One row per node of the trie of ``turns`` (``conv_id, depth`` from 1 without gaps, ``id, words``); ``convs`` has all ``conv_id`` once, also those without turns.
 
     ``name`` and ``parent`` name a node and the one above, ``conv_id`` is the smallest of ``n_convs`` members and ``parent_conv_id`` that of the parent,
