@@ -93,12 +93,14 @@ WITH d AS (
   SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
     1000 * n_symbols // greatest(word_chars, 1) AS symbols, 1000 * n_dup_lines // greatest(n_lines, 1) AS dup_lines,
     1000 * n_repeat_words // greatest(n_words, 1) AS repeats, 10 * word_chars // greatest(n_words, 1) AS word_length FROM m
-), u AS (
+), w AS (
   UNPIVOT (SELECT doc_id, lang, source, symbols, dup_lines, repeats, word_length FROM b WHERE NOT base_failed)
-  ON symbols, dup_lines, repeats, word_length INTO NAME measure VALUE v
+  ON symbols, dup_lines, repeats, word_length INTO NAME measure VALUE whole
+), u AS (
+  SELECT doc_id, lang, source, measure, whole - whole % cast(10 ** (greatest(len(cast(whole AS VARCHAR)), 3) - 3) AS BIGINT) AS v FROM w
 ), lv AS (
-  SELECT 0 AS level, lang, source, measure, least(v, 1000) AS v FROM u
-  UNION ALL SELECT 1, lang, NULL, measure, least(v, 1000) FROM u UNION ALL SELECT 2, NULL, NULL, measure, least(v, 1000) FROM u
+  SELECT 0 AS level, lang, source, measure, v FROM u
+  UNION ALL SELECT 1, lang, NULL, measure, v FROM u UNION ALL SELECT 2, NULL, NULL, measure, v FROM u
 ), q AS (
   SELECT level, lang, source, measure, count(*) AS n, quantile_disc(v, 0.25) AS q1, quantile_disc(v, 0.75) AS q3 FROM lv GROUP BY ALL
 ), lim AS (
