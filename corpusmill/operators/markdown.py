@@ -303,15 +303,17 @@ def _pieces(absolute_base: Column | None, sanitized: Column) -> Column:
 def _settle(c: Column) -> Column:
     """Turn concatenated pieces into Markdown: every step is one linear pass."""
     pre, brk = f"[{QUOTE}{INDENT}]", f"[{BREAK}{SOFT}{BLOCK}{CUT}]"
-    space = f"(?:[ ]|{brk}{pre}*+)++"
+    space, sign = f"(?:[ ]|{brk}{pre}*+)++", "(?:\\*\\*|_|~~|`)"
     steps = [
         # code fences: first language mark wins, one line end after the opening and before the closing
         (f"{FENCE}({pre}*+)(?:[ ]*+{LANG}([^{LANG}]*+){LANG})?+(?:{LANG}[^{LANG}]*+{LANG})*+(?:{LINE}{pre}*+)?+",
          f"$2{LINE}$1"),
         (f"{LANG}[^{LANG}]*+{LANG}", ""),
         (f"(?:{LINE}{pre}*+)?+{FENCE_END}", LINE),
-        # inline marks: none around nothing, and no blanks just inside
-        (f"{OPENER}(?:\\*\\*|_|~~|`){OPENED}(?:{space})?+{CLOSER}[^{CLOSED}]*+{CLOSED}", " "),
+        # inline marks: one that ends where it begins again goes on, none are around nothing, and no blanks just inside
+        *[(f"{CLOSER}({sign}){CLOSED}{OPENER}\\1{OPENED}", "")] * 3,
+        *[(f"{OPENER}{sign}{OPENED}{CLOSER}[^{CLOSED}]*+{CLOSED}", "")] * 2,
+        (f"{OPENER}{sign}{OPENED}{space}{CLOSER}[^{CLOSED}]*+{CLOSED}", " "),
         (f"{OPENER}([^{OPENED}]*+){OPENED}({space})", f"$2{OPENER}$1{OPENED}"),
         (f"{OPENER}([^{OPENED}]*+){OPENED}({space})", f"$2{OPENER}$1{OPENED}"),
         (f"({space}){CLOSER}([^{CLOSED}]*+){CLOSED}", f"{CLOSER}$2{CLOSED}$1"),

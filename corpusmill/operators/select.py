@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from corpusmill.functions.regex import trim_space
 from corpusmill.functions import html as H
 from corpusmill.functions.text import clean_title
-from corpusmill.operators.tokens import KEYS, close_elements, events, source_text, tokenize
+from corpusmill.operators.tokens import KEYS, close_elements, events, is_added, source_text, tokenize
 
 # What is looked for when a specification names no selector.
 DEFAULT_TITLE = "h1"
@@ -147,7 +147,7 @@ def select(pages: DataFrame, selector: str, keys: Sequence[str] = KEYS) -> DataF
     stream = events(close_elements(tokenize(pages, keys), keys), keys)
     return (
         flag_elements(stream, {"hit": selector}, keys)
-        .filter(F.col("hit") & (F.col("kind") != "end"))
+        .filter(F.col("hit") & (F.col("kind") != "end") & ~is_added())
         .select(*keys, "open_pos", "tag", H.attributes(F.col("text")).alias("attrs"))
     )
 
@@ -211,7 +211,7 @@ def page_stream(
         content_levels = F.least(content_levels, F.lit(1))
     title_levels = F.col("title_depth").cast("int")
     is_text = H.one_of("kind", ("text", "raw"))
-    parts = [levels("page", F.lit(1), (F.col("open_pos") == 0) & (kind != "end"))]
+    parts = [levels("page", F.lit(1), (F.col("open_pos") == 0) & (kind != "end") & ~is_added())]
     if title:
         # A raw-text element can itself be the match; it then has no level of its own.
         parts.append(levels("title", title_levels, is_text | (F.col("is_title") & (kind == "open"))))
@@ -223,7 +223,7 @@ def page_stream(
         in_removed = (F.col("content_depth") > 0) & (F.col("excluded_depth") > F.col("outer_excluded"))
         parts.append(
             levels("link", F.lit(1),
-                   (kind == "open") & (F.col("tag") == "a") & (F.coalesce(H.attr("href"), F.lit("")) != "")
+                   (kind == "open") & ~is_added() & (F.col("tag") == "a") & (F.coalesce(H.attr("href"), F.lit("")) != "")
                    & ~F.coalesce(in_removed, F.lit(False)))
         )
         parts.append(levels("base", F.lit(1), (kind == "void") & (F.col("tag") == "base")))

@@ -158,12 +158,20 @@ def close_elements(tokens: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
 
 
 def elements(pages: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """``keys, open_pos, close_pos, explicit_close, tag, id, classes, attrs``: one row per element."""
-    closed = with_attributes(close_elements(tokenize(pages, keys), keys))
+    """``keys, open_pos, close_pos, explicit_close, tag, id, classes, attrs``: one row per element.
+
+    Intervals nest. An inline element that crosses the end of another one is several rows: the first one begins at its start
+    tag, each further one at the token that cut it, and only the last one can be closed explicitly.
+    """
+    closed = with_attributes(close_elements(tokenize(pages, keys), keys)).filter(F.col("close_pos").isNotNull())
+    starts = _cuts(_element_events(closed), keys).filter("kind <> 'end'")
+    cuts = F.coalesce("cuts", F.array().cast("array<int>"))
+    pieces = F.arrays_zip(
+        F.concat(F.array("open_pos"), cuts).alias("start"), F.concat(cuts, F.array("close_pos")).alias("end"))
     attrs = F.col("attrs")
-    return closed.filter(F.col("close_pos").isNotNull()).select(
-        *keys, F.col("pos").alias("open_pos"), "close_pos",
-        F.coalesce("explicit_close", F.lit(True)).alias("explicit_close"),
+    return starts.withColumn("n", F.size(cuts)).select("*", F.posexplode(pieces).alias("piece", "p")).select(
+        *keys, F.col("p.start").alias("open_pos"), F.col("p.end").alias("close_pos"),
+        (F.coalesce("explicit_close", F.lit(True)) & (F.col("piece") == F.col("n"))).alias("explicit_close"),
         "tag", attrs["id"].alias("id"), class_list(attrs["class"]).alias("classes"), "attrs",
     )
 
@@ -173,28 +181,77 @@ def class_list(value: Column) -> Column:
     return F.filter(F.split(value, r"[\t\n\f\r ]+"), lambda c: c != "")
 
 
+# Where an event stands in the order of its token: ends first, then what is opened again, then the token itself.
+_ENDS, _AGAIN = -(1 << 31), -(1 << 30)
+
+
+def _order(at: Column, rank: Column | int) -> Column:
+    return F.shiftleft(at.cast("bigint"), 32) + rank
+
+
+def _cuts(stream: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Add ``cuts`` to the starts of inline elements that cross others: the positions where elements around them end.
+
+    An inline element that ends where others inside it are still open cuts these. Elements can only cross within a run
+    of tokens in which some inline element is open. In a run without crossings every element starts and ends at the same
+    depth, so the hashes of (element, depth) of its starts and ends cancel out; only in other runs are
+    intervals compared, and only with those of the same run.
+    """
+    upto = W.partitionBy(*keys).orderBy("ord").rowsBetween(W.unboundedPreceding, W.currentRow)
+    run = W.partitionBy(*keys, "_run")
+    inline = H.one_of("tag", H.INLINE)
+    opened = inline & (F.col("kind") == "open")
+    step = F.when(opened, 1).when(inline & (F.col("kind") == "end"), -1)
+    around = F.col("_open") - F.when(opened, 1).otherwise(0)
+    marked = (
+        stream.withColumn("_open", F.coalesce(F.sum(step).over(upto), F.lit(0)))
+        .withColumn("_run", F.sum(F.when(opened & (F.col("_open") == 1), 1).otherwise(0)).over(upto))
+        .withColumn("_odd", F.bit_xor(F.when(step.isNotNull(), F.xxhash64("open_pos", around))).over(run) != 0)
+        .withColumn("_spans", F.collect_list(
+            F.when(F.col("_odd") & opened, F.struct(F.col("open_pos").alias("start"), F.col("close_pos").alias("end")))).over(run))
+    )
+    crossing = F.filter("_spans", lambda x: (x["start"] < F.col("open_pos")) & (x["end"] > F.col("open_pos")) & (x["end"] < F.col("close_pos")))
+    cuts = F.when(F.col("_odd") & opened, F.array_sort(F.array_distinct(F.transform(crossing, lambda x: x["end"]))))
+    return marked.withColumn("cuts", cuts).drop("_open", "_run", "_odd", "_spans")
+
+
+def _element_events(closed: DataFrame) -> DataFrame:
+    start = F.struct(F.col("kind").alias("kind"), _order(F.col("pos"), 0).alias("ord"))
+    end = F.struct(F.lit("end").alias("kind"), _order(F.col("close_pos"), _ENDS - F.col("pos").cast("bigint")).alias("ord"))
+    both = F.when(F.col("kind") == "open", F.array(start, end)).otherwise(F.array(start))
+    rest = [c for c in closed.columns if c not in ("kind", "pos")]
+    return closed.select(*rest, F.col("pos").alias("open_pos"), F.explode(both).alias("e")).select(
+        *rest, "open_pos", "e.ord", "e.kind"
+    )
+
+
 def events(closed: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Start and end events of every element, with the text tokens between them.
 
     Row order within a page is ``ord``. ``kind`` is open, end, void, raw, text or comment; both
     events of an element carry its ``open_pos`` and, as ``text``, its start tag. Elements that end
     at one token end innermost first, before the token itself.
+
+    Events nest: an inline element that is still open where one around it ends is ended there too, and opened again
+    behind it. The events that this adds have no counterpart in the source; their ``explicit_close`` is NULL.
     """
+    stream = _cuts(_element_events(closed), keys)
+    rest = [c for c in stream.columns if c not in ("kind", "ord", "cuts", "close_pos", "explicit_close")]
+    event = lambda kind, ord_, explicit: F.struct(kind.alias("kind"), ord_.alias("ord"), explicit.alias("explicit_close"))
+    added = F.lit(None).cast("boolean")
+    own = F.array(event(F.col("kind"), F.col("ord"), F.col("explicit_close")))
+    more = F.flatten(F.transform("cuts", lambda at: F.array(
+        event(F.lit("end"), _order(at, _ENDS - F.col("open_pos").cast("bigint")), added), event(F.lit("open"), _order(at, _AGAIN + F.col("open_pos").cast("bigint")), added))))
+    split = F.when(F.size("cuts") > 0, F.concat(own, more)).otherwise(own)
+    return stream.select(*rest, F.explode(split).alias("e")).select(*rest, "e.ord", "e.kind", "e.explicit_close")
 
-    def event(kind: Column, at: Column, rank: Column) -> Column:
-        order = F.shiftleft(at.cast("bigint"), 32) + rank
-        return F.struct(kind.alias("kind"), order.alias("ord"))
 
-    start = event(F.col("kind"), F.col("pos"), F.lit(0))
-    end = event(F.lit("end"), F.col("close_pos"), -1 - F.col("pos"))
-    both = F.when(F.col("kind") == "open", F.array(start, end)).otherwise(F.array(start))
-    rest = [c for c in closed.columns if c not in ("kind", "pos", "close_pos")]
-    return closed.select(*rest, F.col("pos").alias("open_pos"), F.explode(both).alias("e")).select(
-        *rest, "open_pos", "e.ord", "e.kind"
-    )
+def is_added() -> Column:
+    """Whether an event of an element only makes events nest and is not in the source."""
+    return F.col("explicit_close").isNull() & H.one_of("kind", ("open", "end"))
 
 
 def source_text() -> Column:
-    """The html an event stands for; implied ends stand for nothing."""
+    """The html an event stands for; implied ends and added events stand for nothing."""
     end_tag = F.when(F.col("explicit_close"), F.concat(F.lit("</"), F.col("tag"), F.lit(">"))).otherwise("")
-    return F.when(F.col("kind") == "end", end_tag).otherwise(F.col("text"))
+    return F.when(F.col("kind") == "end", end_tag).when(is_added(), "").otherwise(F.col("text"))

@@ -361,6 +361,41 @@ def metadata_header(spark, sf):
     return t.select("page_id", M.metadata_header(F.col("url"), F.col("title"), F.col("depth")).alias("header"))
 
 
+# Inline elements that end inside each other, around a page's own URL.
+CROSSED = (
+    "a<b>{}<i>c</b>d</i>e",
+    "<b>x<a href='/t'>{}</b>z</a>w",
+    "<span><b>x<b>y<i>{}</b>w</span></b>q</i>",
+    "<i>u<s>{}<b>v</i>w</s></b><b><i></b>n</i>",
+)
+
+
+def crossed(spark, sf):
+    """Pages with a paragraph of crossing elements behind what their article holds."""
+    text = F.regexp_replace("url", "[^A-Za-z0-9]", "")
+    forms = F.array(*[F.concat(F.lit(before), text, F.lit(after)) for before, after in (c.split("{}") for c in CROSSED)])
+    extra = F.concat(F.lit("<p>"), F.element_at(forms, (F.col("page_id") % len(CROSSED) + 1).cast("int")), F.lit("</p></article>"))
+    return pages(spark, sf).select("page_id", "url", F.replace("html", F.lit("</article>"), extra).alias("html"), extra.alias("extra"))
+
+
+@query
+def to_markdown_crossed(spark, sf):
+    return M.convert(crossed(spark, sf), content="article").select("page_id", "title", "body")
+
+
+@query
+def sanitize_crossed(spark, sf):
+    alone = crossed(spark, sf).select("page_id", F.concat(F.lit("<article>"), "extra").alias("html"))
+    return M.sanitize(alone, "article")
+
+
+@query
+def html_elements_crossed(spark, sf):
+    alone = crossed(spark, sf).select("page_id", F.concat(F.lit("<article>"), "extra").alias("html"))
+    return T.elements(alone).select(
+        "page_id", F.col("open_pos").cast("bigint").alias("open_pos"), F.col("close_pos").cast("bigint").alias("close_pos"), "explicit_close", "tag")
+
+
 # ------------------------------------------------------------ links
 
 

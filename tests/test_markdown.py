@@ -1,7 +1,11 @@
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
-from corpusmill.operators import markdown as M
+from corpusmill.operators import markdown as M, select as S, tokens as T
+from corpusmill.operators.links import extract_links
 
 CASES = {
     "<h1>Tides</h1><p>Low at noon</p>": "# Tides\n\nLow at noon",
@@ -26,6 +30,10 @@ CASES = {
     "<p>a</p> <!-- c --> <p>b</p>": "a\n\nb",
     '<img src="t.jpg" alt="t">text': "text",
     "<ul><li><li>b</ul>": "-\n- b",
+    "a<b>b<i>c</b>d</i>e": "a**b_c_**_d_e",
+    "<b>x<a href=/u>y</b>z</a>w": "**x[y](/u)**[z](/u)w",
+    "<span>a<b>b</span>c</b><b>d</b> <i>e</i><i>f</i>": "a**bcd** _ef_",
+    "a<b>x<i>y</b></i>z<em><strong></em></strong>w": "a**x_y_**zw",
 }
 
 
@@ -119,3 +127,67 @@ def test_length_is_the_bytes_of_the_source(spark):
 def test_text_that_looks_like_markdown(spark, text, expected):
     assert bodies(spark, [f"<p>{text}</p>", f"<p>x<br>{text}", "<code>*a*</code><pre># b</pre>"]) == {
         0: expected, 1: "x\n" + expected, 2: "`*a*`\n\n```\n# b\n```"}
+
+
+INLINE_TAGS = {"b": "**", "i": "_", "s": "~~", "em": "_", "strong": "**", "span": "", "u": ""}
+
+
+def _tangled(seed):
+    """Random inline markup over words: end tags close any open element, some never come."""
+    x, out, open_ = random.Random(seed), [], []
+    for _ in range(40):
+        roll = x.random()
+        if roll < 0.35:
+            open_.append(x.choice(list(INLINE_TAGS)))
+            out.append(f"<{open_[-1]}>")
+        elif roll < 0.65 and open_:
+            out.append(f"</{open_.pop(x.randrange(len(open_)))}>")
+        else:
+            out.append(f"w{len(out)} ")
+    return "<p>" + "".join(out)
+
+
+def _balanced(markdown):
+    """Whether marks close in the reverse order of their opening."""
+    stack = []
+    for sign in re.findall(r"\*\*|_|~~", markdown):
+        if stack and stack[-1] == sign:
+            stack.pop()
+        elif sign in stack:
+            return False
+        else:
+            stack.append(sign)
+    return not stack
+
+
+def test_tangled_markup_nests(spark):
+    htmls = [_tangled(i) for i in range(300)]
+    got = bodies(spark, htmls)
+    for i, html in enumerate(htmls):
+        assert _balanced(got[i]), (html, got[i])
+        assert re.sub(r"\*\*|_|~~|\s", "", got[i]) == re.sub(r"<[^>]*>|\s", "", html)
+    rows = T.elements(pages(spark, htmls)).collect()
+    by_page = {}
+    for r in rows:
+        by_page.setdefault(r.page_id, []).append((r.open_pos, r.close_pos))
+    for spans in by_page.values():
+        assert not any(a < c < b < d for a, b in spans for c, d in spans)
+    clean = M.sanitize(pages(spark, htmls), "main").collect()
+    for r in clean:
+        stack = []
+        for end, tag in re.findall(r"<(/?)(\w+)>", r.html):
+            if not end:
+                stack.append(tag)
+            else:
+                assert stack.pop() == tag, r.html
+        assert not stack
+
+
+def test_crossing_keeps_the_source(spark):
+    """What only makes elements nest is neither content nor a match nor a link."""
+    html = "<i>x<a href=/u>y</i>z</a><span>s<b>t</span>u</b>"
+    df = pages(spark, [html])
+    assert S.main_content(df, "main").first().content == html
+    assert [(r.tag, r.open_pos) for r in S.select(df, "a, b").collect()] == [("a", 3), ("b", 10)]
+    assert [(r.pos, r.href) for r in extract_links(df, "main").collect()] == [(3, "/u")]
+    assert M.convert(df).first().content_length == len(html)
