@@ -8,7 +8,7 @@ chain: rows emit noncharacters such as ``BLOCK`` that never occur in text.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -18,7 +18,7 @@ from corpusmill.functions.regex import replace_each, trim_space
 from corpusmill.functions.text import tidy_markdown
 from corpusmill.functions.urls import resolve_url
 from corpusmill.operators.select import (
-    DEFAULT_CONTENT, DEFAULT_TITLE, Selector, ordered_concat, page_stream, part_window, pick_title,
+    DEFAULT_CONTENT, DEFAULT_TITLE, ordered_concat, page_stream, part_window, pick_title,
     title_columns, title_text,
 )
 from corpusmill.operators.tokens import KEYS, class_list, source_text
@@ -362,18 +362,15 @@ def content_pieces(
     return _context(shown, keys).withColumn("piece", _pieces(absolute_base, sanitized))
 
 
-def _by_profile(value: bool | Mapping[int, bool]) -> bool | Column:
-    return F.col("profile").isin([p for p, v in value.items() if v]) if isinstance(value, Mapping) else value
-
-
 def convert(
     pages: DataFrame,
     *,
-    title: Selector | None = DEFAULT_TITLE,
-    content: Selector = DEFAULT_CONTENT,
-    exclude: Sequence[str] | Mapping[int, Sequence[str]] = (),
-    sanitize_html: bool | Mapping[int, bool] = True,
-    preserve_images: bool | Mapping[int, bool] = False,
+    title: str | None = DEFAULT_TITLE,
+    content: str = DEFAULT_CONTENT,
+    exclude: Sequence[str] = (),
+    rules: int | None = None,
+    sanitize_html: bool = True,
+    preserve_images: bool = False,
     absolute_links: bool = False,
     outermost_only: bool = False,
     links: bool = False,
@@ -383,12 +380,13 @@ def convert(
     """``keys, carry, title, content_length, body`` of every page with content.
 
     Title, content and Markdown come out of one pass over the token stream: one exchange. With ``links`` so do
-    the links left on the page, as an array, and its ``<base href>``. Options that are mappings hold for the pages of their ``profile``,
-    which must then be one of the keys. Whether a page has content, and how many bytes, is measured on its
+    the links left on the page, as an array, and its ``<base href>``. With ``rules`` (see :func:`page_stream`) pages bring
+    their selectors along, and columns ``sanitize_html`` and ``preserve_images``. Whether a page has content, and how many bytes, is measured on its
     source, before sanitizing. Pages without content (no match, or only blank ones) are not in the result.
     """
+    own = ("sanitize_html", "preserve_images") if rules is not None else ()
     rows = page_stream(
-        pages, title=title or "title", content=content, exclude=exclude, keys=keys, carry=carry,
+        pages, title=title or "title", content=content, exclude=exclude, rules=rules, keys=keys, carry=(*carry, *own),
         outermost_only=outermost_only, links=links,
     )
     src = F.when((F.col("part") == "content") & ~F.col("boundary"), source_text())
@@ -397,7 +395,7 @@ def convert(
         "link": F.when(F.col("part").isin("link", "base"), H.attr("href")) if links else F.lit(None).cast("string"),
     })
     pieces = content_pieces(
-        measured, sanitize_html=_by_profile(sanitize_html), preserve_images=_by_profile(preserve_images),
+        measured, sanitize_html=F.col("sanitize_html") if own else sanitize_html, preserve_images=F.col("preserve_images") if own else preserve_images,
         absolute_base=F.col("url") if absolute_links else None, keys=keys,
     )
     slim = pieces.select(

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from corpusmill.functions.regex import trim_space
 from corpusmill.functions import html as H
 from corpusmill.functions.text import clean_title
+from corpusmill.operators.rules import CONTENT, EXCLUDE, TITLE, flag_by_hits, token_hits
 from corpusmill.operators.tokens import KEYS, close_elements, events, is_added, source_text, tokenize
 
 # What is looked for when a specification names no selector.
@@ -62,17 +63,6 @@ def parse_selector(selector: str) -> list[list[str]]:
     return groups
 
 
-def selector_error(selector: str) -> str | None:
-    """Why a selector cannot be used, if so."""
-    try:
-        for steps in parse_selector(selector or ""):
-            for step in steps:
-                _compound(step)
-    except ValueError as e:
-        return str(e)
-    return None
-
-
 def _is_event() -> Column:
     return H.one_of("kind", ("open", "end", "void", "raw"))
 
@@ -82,50 +72,25 @@ def _step(flag: Column) -> Column:
     return F.when(flag & (F.col("kind") == "open"), 1).when(flag & (F.col("kind") == "end"), -1).otherwise(0)
 
 
-# One selector for all pages, or one for each value of the column ``profile``.
-Selector = str | Mapping[int, str]
-
-
-def _guarded(selector: Selector) -> list[tuple[str, Column | None]]:
-    """Different selectors, each with the condition under which it holds."""
-    if isinstance(selector, str):
-        return [(selector, None)]
-    users: dict[str, list[int]] = {}
-    for profile, text in selector.items():
-        users.setdefault(text, []).append(profile)
-    return [(text, F.col("profile").isin(ids)) for text, ids in users.items()]
-
-
 def _stream(keys: Sequence[str]) -> W:
     return W.partitionBy(*keys).orderBy("ord")
 
 
-def flag_elements(stream: DataFrame, selectors: dict[str, Selector], keys: Sequence[str] = KEYS) -> DataFrame:
-    """Add one boolean column per selector; both events of a matching element are flagged.
-
-    A selector that is a mapping holds for the rows of its profiles, all in the same pass.
-    """
+def flag_elements(stream: DataFrame, selectors: dict[str, str], keys: Sequence[str] = KEYS) -> DataFrame:
+    """Add one boolean column per selector; both events of a matching element are flagged."""
     before = _stream(keys).rowsBetween(W.unboundedPreceding, -1)
     columns = list(stream.columns)
-    simple: dict[str, list[Column]] = {name: [] for name in selectors}
-    chains: list[tuple[str, list[str], Column]] = []
+    simple: dict[str, list[Column]] = {}
+    chains: list[tuple[str, list[str]]] = []
     for name, selector in selectors.items():
-        for text, guard in _guarded(selector):
-            here = F.lit(True) if guard is None else guard
-            own = []
-            for steps in parse_selector(text):
-                if len(steps) == 1:
-                    own.append(_compound(steps[0]))
-                else:
-                    chains.append((name, steps, here))
-            if own:
-                either = reduce(lambda a, b: a | b, own)
-                simple[name].append(either if guard is None else guard & either)
+        parsed = parse_selector(selector)
+        simple[name] = [_compound(steps[0]) for steps in parsed if len(steps) == 1]
+        chains += [(name, steps) for steps in parsed if len(steps) > 1]
 
     # A descendant step holds where an element of the step before it is open.
-    for number, (name, steps, guard) in enumerate(chains):
+    for number, (name, steps) in enumerate(chains):
         flag = f"_chain{number}"
-        stream = stream.withColumn(flag, guard & _is_event() & _compound(steps[0]))
+        stream = stream.withColumn(flag, _is_event() & _compound(steps[0]))
         for step in steps[1:]:
             opened = F.coalesce(F.sum(_step(F.col(flag))).over(before), F.lit(0))
             here = stream.withColumn("_inside", (opened > 0) & (F.col("kind") != "end"))
@@ -155,9 +120,10 @@ def select(pages: DataFrame, selector: str, keys: Sequence[str] = KEYS) -> DataF
 def page_stream(
     pages: DataFrame,
     *,
-    title: Selector | None = DEFAULT_TITLE,
-    content: Selector | None = DEFAULT_CONTENT,
-    exclude: Sequence[str] | Mapping[int, Sequence[str]] = (),
+    title: str | None = DEFAULT_TITLE,
+    content: str | None = DEFAULT_CONTENT,
+    exclude: Sequence[str] = (),
+    rules: int | None = None,
     keys: Sequence[str] = KEYS,
     carry: Sequence[str] = (),
     links: bool = False,
@@ -165,26 +131,27 @@ def page_stream(
 ) -> DataFrame:
     """The rows of every page that its title, its content and its links are made of.
 
+    With ``rules`` (the length of their longest chain) every page brings its own selectors, as a column of that name made by
+    :func:`corpusmill.operators.rules.rules`, and those given here are not looked at.
+
     ``part`` is ``page`` (one row per page), ``title``, ``<title>``, ``content``, ``link`` or ``base``. ``level`` and ``match_pos`` name the
     selected element a row belongs to: a row inside nested matches is repeated once per match,
     because each match contributes its own text. A content row is left out when it lies in an
     excluded element below its match; a link when it lies in one below any content match.
     ``boundary`` rows mark the start of a match.
     """
-    stream = events(close_elements(tokenize(pages, keys, carry), keys), keys)
-    selectors = {}
-    if title:
-        selectors["is_page_title"] = "title"
-        selectors["is_title"] = title
-    if content:
-        selectors["is_content"] = content
-    if isinstance(exclude, Mapping):
-        exclude = {profile: ", ".join(texts) for profile, texts in exclude.items() if texts}
-    if exclude:
-        selectors["is_excluded"] = exclude if isinstance(exclude, Mapping) else ", ".join(exclude)
-    stream = flag_elements(stream, selectors, keys)
+    given = (("rules",), lambda tokens: token_hits(tokens, F.col("rules"))) if rules is not None else None
+    stream = events(close_elements(tokenize(pages, keys, carry, given), keys), keys)
+    if rules is not None:
+        title = content = "by rules"
+        stream = flag_by_hits(stream, {TITLE: "is_title", CONTENT: "is_content", EXCLUDE: "is_excluded"}, rules, keys)
+        selectors = {}
+    else:
+        selectors = {"is_title": title, "is_content": content, "is_excluded": ", ".join(exclude)}
+    selectors["is_page_title"] = "title" if title else None
+    stream = flag_elements(stream, {name: text for name, text in selectors.items() if text}, keys)
     for name in ("is_title", "is_content", "is_excluded"):
-        if name not in selectors:
+        if name not in stream.columns:
             stream = stream.withColumn(name, F.lit(False))
 
     kind = F.col("kind")

@@ -8,7 +8,7 @@ satisfies, so none of them shuffles again. A table bucketed by the page key need
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -17,26 +17,35 @@ from corpusmill.functions import html as H
 KEYS = ("page_id",)
 
 
-def tokenize(pages: DataFrame, keys: Sequence[str] = KEYS, carry: Sequence[str] = ()) -> DataFrame:
+def tokenize(
+    pages: DataFrame, keys: Sequence[str] = KEYS, carry: Sequence[str] = (), extra: tuple[Sequence[str], Callable[[Column], Column]] | None = None,
+) -> DataFrame:
     """``keys, carry, n_tokens, pos, kind, tag, text``: one row per token of ``html``.
 
+    ``extra`` adds a column ``hits``: names of columns of ``pages``, and what they and the array of all tokens make for every token.
+
     ``keys`` must identify a page. Rows are distributed by the last key alone, which serves every
     grouping by all of them, so that input already distributed by it (a bucketed table, a join by
     page) is not moved again. The texts of a page, joined by ``pos``, give back its html.
     """
     # The outer form keeps the optimizer from adding a "has tokens" filter, which would run the
     # pattern a second time; a page without tokens yields one empty text token.
-    exploded = (
-        pages.select(*keys, *carry, "html")
+    needed, per_token = extra or ((), None)
+    split = (
+        pages.select(*keys, *carry, *needed, "html")
         .repartition(keys[-1])
-        .select(*keys, *carry, F.regexp_extract_all("html", F.lit(H.TOKEN), F.lit(0)).alias("tokens"))
+        .select(*keys, *carry, *needed, F.regexp_extract_all("html", F.lit(H.TOKEN), F.lit(0)).alias("tokens"))
         .withColumn("n_tokens", F.greatest(F.size("tokens"), F.lit(1)))
-        .select(*keys, *carry, "n_tokens", F.posexplode_outer("tokens").alias("pos", "text"))
-        .withColumns({"pos": F.coalesce("pos", F.lit(0)), "text": F.coalesce("text", F.lit(""))})
     )
+    if extra:
+        exploded = split.withColumn("all", F.arrays_zip(F.col("tokens").alias("text"), per_token(F.col("tokens")).alias("hits"))).select(
+            *keys, *carry, "n_tokens", F.posexplode_outer("all").alias("pos", "t")).select(*keys, *carry, "n_tokens", "pos", "t.text", "t.hits")
+    else:
+        exploded = split.select(*keys, *carry, "n_tokens", F.posexplode_outer("tokens").alias("pos", "text"))
+    exploded = exploded.withColumns({"pos": F.coalesce("pos", F.lit(0)), "text": F.coalesce("text", F.lit(""))})
     tagged = exploded.withColumn("tag", H.token_tag(F.col("text")))
     return tagged.select(
-        *keys, *carry, "n_tokens", "pos", H.token_kind(F.col("text"), F.col("tag")).alias("kind"), "tag", "text",
+        *keys, *carry, "n_tokens", "pos", H.token_kind(F.col("text"), F.col("tag")).alias("kind"), "tag", "text", *(["hits"] if extra else []),
     )
 
 

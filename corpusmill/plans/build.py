@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, functions as F
 
 from corpusmill.functions.regex import any_of
@@ -12,14 +10,13 @@ from corpusmill.operators.corpus import order_pages, site_status
 from corpusmill.operators.document import assemble
 from corpusmill.operators.links import assign_site, crawl_depths, dedup_urls, follow_edges, start_pages
 from corpusmill.operators.markdown import convert, with_metadata
-from corpusmill.operators.select import selector_error
+from corpusmill.operators.rules import longest_chain, rules, selector_problem
 from corpusmill.operators.specs import merge_equal_names, with_defaults, with_error
 from corpusmill.functions.text import content_hash
+from corpusmill.skew import with_classes
 from corpusmill.sources.pages import write_corpus
 
 SITE_KEYS = ("site", "profile", "page_id")
-# Conditions of so many profiles stand in one plan; more of them take another pass over the pages.
-PROFILES_PER_PASS = 64
 
 
 def checked_specs(specs: DataFrame) -> DataFrame:
@@ -27,29 +24,13 @@ def checked_specs(specs: DataFrame) -> DataFrame:
     filled = with_error(with_defaults(merge_equal_names(specs)))
     size = F.when(F.col("max_file_size_bytes").isNull(), F.lit("invalid max_file_size"))
     profile = F.xxhash64(F.to_json(F.struct("selectors", "sanitize_html", "preserve_images")))
-    return filled.withColumns({"error": F.coalesce("error", size), "profile": profile})
-
-
-def _profiles(specs: DataFrame) -> list:
-    """The distinct ways pages are cut up: configuration, shared by sites."""
-    found = specs.select("profile", "selectors", "sanitize_html", "preserve_images").dropDuplicates(["profile"]).collect()
-    return sorted(found, key=lambda p: p.profile)
-
-
-def _broken(profile) -> str | None:
-    texts = (profile.selectors.title, profile.selectors.content, *profile.selectors.exclude)
-    return next((e for e in map(selector_error, texts) if e), None)
+    return filled.withColumns({"error": F.coalesce("error", size, selector_problem(F.col("selectors"))), "profile": profile})
 
 
-def split_specs(specs: DataFrame) -> tuple[DataFrame, DataFrame, list]:
-    """Specifications that can be built, ``name, error`` of the others, and the profiles of the first."""
+def split_specs(specs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Specifications that can be built, and ``name, error`` of the others."""
     checked = store(checked_specs(specs))
-    profiles = _profiles(checked.filter("error IS NULL"))
-    broken = {p.profile: _broken(p) for p in profiles if _broken(p)}
-    if broken:
-        reasons = specs.sparkSession.createDataFrame(list(broken.items()), "profile long, reason string")
-        checked = checked.join(F.broadcast(reasons), "profile", "left").withColumn("error", F.coalesce("error", "reason")).drop("reason")
-    return checked.filter("error IS NULL"), checked.filter("error IS NOT NULL").select("name", "error"), [p for p in profiles if p.profile not in broken]
+    return checked.filter("error IS NULL"), checked.filter("error IS NOT NULL").select("name", "error")
 
 
 def locate(pages: DataFrame, specs: DataFrame) -> DataFrame:
@@ -59,27 +40,19 @@ def locate(pages: DataFrame, specs: DataFrame) -> DataFrame:
     return dedup_urls(sites, by=("site",)).join(profiles, "site").select(*SITE_KEYS, "url")
 
 
-def convert_sites(pages: DataFrame, specs: DataFrame, profiles: list) -> DataFrame:
+def convert_sites(pages: DataFrame, specs: DataFrame) -> DataFrame:
     """``site, profile, page_id, url, title, content_length, body, links, base`` of every page with content.
 
-    Sites are assigned on narrow rows; html joins them by page, the way the token pipeline wants it
-    distributed, is moved once and taken apart once: selectors of all profiles are conditions of the same
-    pass, and titles, bodies and links come out of it together.
+    Sites are assigned on narrow rows, which also get the rules of their profile; html joins them by page, the way the token
+    pipeline wants it distributed, is moved once and taken apart once, however many profiles there are: titles, bodies and links come
+    out of one pass. The driver learns one number, the length of the longest selector chain.
     """
-    narrow = locate(pages, specs)
-    html = pages.select("page_id", "html")
-    passes = [profiles[i:i + PROFILES_PER_PASS] for i in range(0, len(profiles), PROFILES_PER_PASS)] or [[]]
-    out = []
-    for some in passes:
-        ids = [p.profile for p in some]
-        located = (narrow.filter(F.col("profile").isin(ids)) if len(passes) > 1 else narrow).join(html, "page_id")
-        out.append(convert(
-            located, keys=SITE_KEYS, links=True,
-            title={p.profile: p.selectors.title for p in some}, content={p.profile: p.selectors.content for p in some},
-            exclude={p.profile: p.selectors.exclude for p in some}, sanitize_html={p.profile: p.sanitize_html for p in some},
-            preserve_images={p.profile: p.preserve_images for p in some},
-        ))
-    return reduce(DataFrame.unionByName, out)
+    narrow = store(locate(pages, specs))
+    counts = narrow.groupBy("profile").agg(F.count("*").alias("n"))
+    own = specs.dropDuplicates(["profile"]).select("profile", rules(F.col("selectors")).alias("rules"), "sanitize_html", "preserve_images")
+    steps = specs.agg(F.max(longest_chain(F.col("selectors")))).first()[0] or 1
+    ruled = with_classes(narrow, store(own.join(counts, "profile")), ["profile"], "n")
+    return convert(ruled.join(pages.select("page_id", "html"), "page_id"), keys=SITE_KEYS, links=True, rules=steps)
 
 
 def site_edges(converted: DataFrame, specs: DataFrame) -> DataFrame:
@@ -110,8 +83,8 @@ def corpus_pages(pages: DataFrame, specs: DataFrame, dedup_on: str = "rendered",
     from a start page, and pages out of reach are left out. ``dedup_on`` is ``rendered`` (text
     as written, metadata included) or ``body``. Invalid specifications are left out: :func:`split_specs` names them.
     """
-    valid, _, profiles = split_specs(specs)
-    return _ordered(pages, valid, store(convert_sites(pages, valid, profiles)), dedup_on, start_depth)
+    valid, _ = split_specs(specs)
+    return _ordered(pages, valid, store(convert_sites(pages, valid)), dedup_on, start_depth)
 
 
 def _ordered(pages: DataFrame, specs: DataFrame, converted: DataFrame, dedup_on: str, start_depth: int) -> DataFrame:
@@ -136,8 +109,8 @@ def publish(pages: DataFrame, specs: DataFrame, path: str, generated_at: str, de
 
     Intermediate tables are removed at the end.
     """
-    valid, rejected, profiles = split_specs(specs)
-    converted = store(convert_sites(pages, valid, profiles))
+    valid, rejected = split_specs(specs)
+    converted = store(convert_sites(pages, valid))
     ordered = store(_ordered(pages, valid, converted, dedup_on, start_depth))
     write_corpus(assemble(ordered, valid, generated_at), f"{path}/documents", valid)
     site_status(start_pages(valid), converted, ordered).write.mode("overwrite").parquet(f"{path}/_status")

@@ -228,7 +228,7 @@ def test_a_bad_specification_stops_only_itself(spark, tmp_path):
                   dict(name="lost", output_file="lost.md", max_depth=3))
     specs = specs.withColumn("start_urls", F.when(F.col("name") == "lost", F.array(F.lit(T + "/none"))).otherwise(F.col("start_urls")))
     p = pages(spark, [(T + "/", "<main><p>here</p></main>")])
-    valid, rejected, _ = split_specs(specs)
+    valid, rejected = split_specs(specs)
     assert sorted(r.name for r in valid.collect()) == ["good", "lost"]
     publish(p, specs, str(tmp_path / "out"), "2025-01-01 00:00:00")
     assert {r.name: r.error for r in spark.read.parquet(str(tmp_path / "out/_rejected")).collect()}.keys() == {"bad", "odd"}
@@ -240,8 +240,8 @@ def test_a_bad_specification_stops_only_itself(spark, tmp_path):
 def test_many_profiles_in_one_pass(spark):
     changes = [dict(name=f"s{i}", selectors=(f"h{i % 6 + 1}", f".c{i}", [".x"] if i % 2 else []), sanitize_html=bool(i % 3)) for i in range(60)]
     p = pages(spark, [(T + f"/{i}", f'<div class="c{i}">text {i}<p class=x>gone</p></div>') for i in range(3)])
-    valid, _, profiles = split_specs(_spec(spark, *changes))
-    converted = convert_sites(p, valid, profiles)
+    valid, _ = split_specs(_spec(spark, *changes))
+    converted = convert_sites(p, valid)
     got = {(r.site, r.page_id): r.body for r in converted.collect()}
     assert got == {("s0", 0): "text 0\n\ngone", ("s1", 1): "text 1", ("s2", 2): "text 2\n\ngone"}
     plan = converted._jdf.queryExecution().optimizedPlan().toString()
