@@ -1,4 +1,4 @@
-"""Link extraction, site assignment, depth-bounded reachability and crawl audits."""
+"""Link extraction, site assignment and crawl audits."""
 
 from __future__ import annotations
 
@@ -11,7 +11,6 @@ from corpusmill.functions.html import attr
 from corpusmill.functions.regex import let, trim_space
 from corpusmill.operators.select import DEFAULT_CONTENT, base_href, page_stream
 from corpusmill.operators.tokens import KEYS, source_text
-from corpusmill.lineage import cut
 
 
 def extract_links(
@@ -99,46 +98,6 @@ def start_pages(specs: DataFrame) -> DataFrame:
     return roots.filter(U.is_allowed_domain(F.col("url"), F.col("allowed_domains"))).select("site", "url").distinct()
 
 
-def crawl_depths(
-    pages: DataFrame, edges: DataFrame, starts: DataFrame, max_depth: int, start_depth: int = 1,
-    by: Sequence[str] = (), partitions: int | None = None,
-) -> DataFrame:
-    """``by, url, depth``: pages reachable from the starts, with their least depth.
-
-    Pages of a depth below ``max_depth`` expand. ``pages`` are those that can be kept (allowed
-    domain, content found); others neither count nor expand. ``by`` (for instance ``site``)
-    keeps several crawls apart.
-
-    One round per depth. Candidates are made distinct first, so a target of very many links
-    collapses before it is shuffled. Edges and pages are checkpointed once, partitioned by
-    their join keys, into ``partitions`` (the session's number of shuffle partitions unless given;
-    about one for every few million edges); a round moves only its candidates.
-    """
-    by = list(by)
-    n = partitions or int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    edges = cut(edges.select(*by, "src", "dst").distinct().repartition(n, *by, "src"))
-    known = cut(pages.select(*by, "url").distinct().repartition(n, *by, "url"))
-    frontier = cut(
-        starts.select(*by, "url").distinct().join(known, by + ["url"], "left_semi")
-        .select(*by, "url", F.lit(start_depth).alias("depth"))
-    )
-    visited = frontier
-    for depth in range(start_depth + 1, max_depth + 1):
-        candidates = (
-            frontier.select(*by, F.col("url").alias("src")).join(edges, by + ["src"])
-            .select(*by, F.col("dst").alias("url")).distinct()
-        )
-        frontier = cut(
-            candidates.join(known, by + ["url"], "left_semi")
-            .join(visited, by + ["url"], "left_anti")
-            .select(*by, "url", F.lit(depth).alias("depth"))
-        )
-        if frontier.isEmpty():
-            break
-        visited = visited.unionByName(frontier)
-    return visited
-
-
 def dedup_urls(
     pages: DataFrame, order: Sequence[str] = ("page_id",), by: Sequence[str] = (), key: str = "page_id",
 ) -> DataFrame:

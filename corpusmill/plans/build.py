@@ -8,7 +8,8 @@ from corpusmill.functions.regex import any_of
 from corpusmill.lineage import release, store
 from corpusmill.operators.corpus import order_pages, site_status
 from corpusmill.operators.document import assemble
-from corpusmill.operators.links import assign_site, crawl_depths, dedup_urls, follow_edges, start_pages
+from corpusmill.operators.crawl import crawl_depths
+from corpusmill.operators.links import assign_site, dedup_urls, follow_edges, start_pages
 from corpusmill.operators.markdown import convert, with_metadata
 from corpusmill.operators.rules import longest_chain, rules, selector_problem
 from corpusmill.operators.specs import merge_equal_names, with_defaults, with_error

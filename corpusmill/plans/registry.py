@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from corpusmill.functions import entities, text as X, urls as U
 from corpusmill.functions.html import attr, token_text
 from corpusmill.lineage import checkpoint_dir, store
-from corpusmill.operators import corpus as C, document as D, links as L, markdown as M, select as S, specs as P
+from corpusmill.operators import corpus as C, crawl as R, document as D, links as L, markdown as M, select as S, specs as P
 from corpusmill.operators import tokens as T
 from corpusmill.plans.build import build_corpus, corpus_pages
 from corpusmill.sources.pages import scan_pages, write_corpus, write_pages
@@ -434,7 +434,18 @@ def crawl_depths(spark, sf):
     p = pages(spark, sf).withColumn("html", F.when(F.col("page_id") % 13 == 6, blank).otherwise(F.col("html")))
     kept = S.main_content(p, "article").select("page_id").join(p.select("page_id", "url"), "page_id")
     starts = p.filter("page_id % 100 = 0").select("url")
-    return L.crawl_depths(kept, derived_edges(spark, sf), starts, 6)
+    return R.crawl_depths(kept, derived_edges(spark, sf), starts, 6)
+
+
+@query
+def crawl_depths_chain(spark, sf):
+    """Every page links to the one before and the one after it and to the first, and every third to one far ahead: as deep as there are pages."""
+    p = pages(spark, sf).select("page_id", "url")
+    ahead = F.when(F.col("page_id") % 3 == 0, F.col("page_id") + 40)
+    to = p.select(F.col("url").alias("src"), F.explode(F.array_compact(F.array(F.col("page_id") - 1, F.col("page_id") + 1, F.lit(0).cast("long"), ahead))).alias("to"))
+    edges = to.join(p.select(F.col("page_id").alias("to"), F.col("url").alias("dst")), "to").select("src", "dst")
+    # a page in fifty cannot be kept, so that only links ahead lead on
+    return R.crawl_depths(p.filter("page_id % 50 <> 49"), edges, p.filter("page_id = 0").select("url"), 2**31 - 1)
 
 
 @query

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import urls as U
 from corpusmill.operators import corpus as C, document as D, links as L, specs as P
+from corpusmill.operators.crawl import crawl_depths
 from corpusmill.plans.build import build_corpus, convert_sites, corpus_pages, publish, split_specs
 from corpusmill.sources.pages import scan_html_files, write_corpus
 from corpusmill.streaming import ingest
@@ -49,8 +50,8 @@ def test_crawl_depths(spark):
     edges = spark.createDataFrame([tuple(e) for e in ("ab", "bc", "cd", "ac", "da", "cx")], "src string, dst string")
     known = spark.createDataFrame([(u,) for u in "abcd"], "url string")
     starts = spark.createDataFrame([("a",), ("q",)], "url string")
-    assert dict(L.crawl_depths(known, edges, starts, 3).collect()) == {"a": 1, "b": 2, "c": 2, "d": 3}
-    assert dict(L.crawl_depths(known, edges, starts, 2).collect()) == {"a": 1, "b": 2, "c": 2}
+    assert dict(crawl_depths(known, edges, starts, 3).collect()) == {"a": 1, "b": 2, "c": 2, "d": 3}
+    assert dict(crawl_depths(known, edges, starts, 2).collect()) == {"a": 1, "b": 2, "c": 2}
     assert [r.url for r in L.missing_pages(edges, known).collect()] == ["x"]
 
 
