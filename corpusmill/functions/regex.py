@@ -45,35 +45,3 @@ def search_form(pattern: str) -> str:
     if pattern.startswith(".*") and pattern[2:3] not in ("?", "+", "*", "{"):
         return pattern[2:]
     return pattern
-
-
-def search_form_col(pattern: Column) -> Column:
-    """:func:`search_form` for patterns that are data."""
-    return F.regexp_replace(pattern, r"^\.\*(?![?+*{])", "")
-
-
-# Named character classes of the dialect and their Java names.
-NAMED_CLASSES = {
-    "alnum": "Alnum", "alpha": "Alpha", "ascii": "ASCII", "blank": "Blank", "cntrl": "Cntrl", "digit": "Digit", "graph": "Graph",
-    "lower": "Lower", "print": "Print", "punct": "Punct", "space": "Space", "upper": "Upper", "xdigit": "XDigit",
-}
-
-
-def java_form(pattern: Column) -> Column:
-    """A pattern of the find-anywhere dialect as Java writes it: named groups and named character classes."""
-    out = F.replace(pattern, F.lit("(?P<"), F.lit("(?<"))
-    for name, java in NAMED_CLASSES.items():
-        out = F.replace(F.replace(out, F.lit(f"[:{name}:]"), F.lit(rf"\p{{{java}}}")), F.lit(f"[:^{name}:]"), F.lit(rf"\P{{{java}}}"))
-    return F.replace(F.replace(out, F.lit("[:word:]"), F.lit(r"\w")), F.lit("[:^word:]"), F.lit(r"\W"))
-
-
-def any_of(patterns: Column) -> Column:
-    """Join an array of patterns into one alternation; NULL for an empty or NULL array.
-
-    One pattern per row means the regex is compiled once per run of equal values,
-    instead of once per element.
-    """
-    joined = F.array_join(
-        F.transform(patterns, lambda p: F.concat(F.lit("(?:"), search_form_col(java_form(p)), F.lit(")"))), "|"
-    )
-    return F.when(F.size(F.coalesce(patterns, F.array().cast("array<string>"))) > 0, joined)

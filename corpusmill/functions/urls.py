@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, functions as F
 
+from corpusmill.functions.dialect import found
 from corpusmill.functions.regex import let, replace_each, search_form
 from corpusmill.functions.text import title_case
 
@@ -86,10 +87,10 @@ def is_legal_page(c: Column) -> Column:
 def matches_any(c: Column, patterns: Sequence[str] | Column) -> Column:
     """True when at least one pattern is found anywhere in the text; False for no patterns.
 
-    Patterns that are data come as one alternation, made by ``any_of`` once per specification.
+    Patterns that are data come compiled, by ``any_of`` once per specification.
     """
     if isinstance(patterns, Column):
-        return F.coalesce(F.rlike(c, patterns), F.lit(False))
+        return F.coalesce(F.exists(patterns, lambda p: found(c, p)), F.lit(False))
     hit = F.lit(False)
     for p in patterns:
         hit = hit | c.rlike(search_form(p))
@@ -99,7 +100,7 @@ def matches_any(c: Column, patterns: Sequence[str] | Column) -> Column:
 def follows(c: Column, patterns: Sequence[str] | Column) -> Column:
     """True when there are no follow patterns or one of them is found."""
     if isinstance(patterns, Column):
-        return F.coalesce(F.rlike(c, patterns), F.lit(True))
+        return F.coalesce(F.exists(patterns, lambda p: found(c, p)), F.lit(True))
     return matches_any(c, patterns) if patterns else F.lit(True)
 
 

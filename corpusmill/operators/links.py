@@ -40,7 +40,7 @@ def follow_edges(
 
     Resolution, then the legal, ignore and follow filters, then the domain test, before the only shuffle.
     A column ``base`` (what ``<base href>`` says, or NULL) takes part in the resolution.
-    ``follow`` and ``ignore`` are lists, or columns of alternations (``any_of``) when links of several sites are
+    ``follow`` and ``ignore`` are lists, or columns of compiled patterns (``any_of``) when links of several sites are
     mixed; ``domains`` is a list or an array column.
     """
     # A generator, because filters are not pushed through one: a link is resolved once, not once per condition.

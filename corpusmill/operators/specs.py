@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from corpusmill.functions import urls as U
-from corpusmill.functions.regex import java_form
+from corpusmill.functions.dialect import is_valid
 from corpusmill.functions.text import parse_size, title_case
 from corpusmill.operators.select import DEFAULT_CONTENT, DEFAULT_TITLE
 
@@ -116,13 +116,9 @@ def _first_error(array: str, error) -> Column:
 
 
 def pattern_error(pattern: Column, index: Column, field: str) -> Column:
-    """NULL for a pattern of the dialect: no look-around, back-references, atomic groups or possessive quantifiers."""
-    compiled = F.try_reflect(F.lit("java.util.regex.Pattern"), F.lit("compile"), java_form(pattern))
-    # escaped characters and character classes first, so that what looks like an operator is one
-    bare = F.regexp_replace(F.regexp_replace(pattern, r"\\\\|\\[^1-9kZG]", "x"), r"\[\^?\]?[^\]]*\]", "c")
-    foreign = bare.rlike(r"\(\?(?:[=!>]|<[=!])|\\[1-9kZG]|[*+?}]\+")
+    """NULL for a pattern that the dialect accepts."""
     return F.when(
-        compiled.isNull() | foreign,
+        ~is_valid(pattern),
         F.concat(F.lit(f"invalid {field}["), index.cast("string"), F.lit("] '"), pattern, F.lit("'")),
     )
 

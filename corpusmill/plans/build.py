@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from corpusmill.functions.regex import any_of
+from corpusmill.functions.dialect import any_of
 from corpusmill.lineage import release, store
 from corpusmill.operators.corpus import order_pages, site_status
 from corpusmill.operators.document import assemble

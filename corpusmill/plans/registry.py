@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from corpusmill.functions import entities, text as X, urls as U
+from corpusmill.functions import dialect as regexes, entities, text as X, urls as U
 from corpusmill.functions.html import attr, token_text
 from corpusmill.lineage import checkpoint_dir, store
 from corpusmill.operators import corpus as C, crawl as R, document as D, links as L, markdown as M, select as S, specs as P
@@ -141,6 +141,34 @@ def ignore_patterns(spark, sf):
     return varied_urls(spark, sf).select("page_id", "url", U.matches_any(F.col("url"), IGNORE).alias("ignored"))
 
 
+# Patterns that the dialect accepts or refuses, and where it means something else than Java.
+DIALECT = (
+    r"^https?://example\.(com|net)/.*", r".*\.html$", r".*/[a-z]+/\d+", r"\?page=\d+$", r"(?i)EXAMPLE\.ORG", r"[[:digit:]]{2,}", r"[a&&m]", r"[/[.]", r"\p{Greek}|\pN{3}", r"(?U)o.+?g",
+    r"(?P<tld>com|org)/", r"example.{,3}com", r"\Qexample.org\E", r"\x{6F}rg", r"\157rg", r"\bth", r"[^\s/]+\z", r"(?m)^https", "", "a{1001}", "(a{100}){11}", "(?x)a b", r"\h+", "(?u)a", r"a\Z", "a(?=b)",
+    r"(a)\1", "a++", "[[:foo:]]", "*a", r"[a-\d]",
+)
+
+
+@query
+def pattern_matches(spark, sf):
+    """Every pattern against every URL; NULL where the dialect refuses the pattern."""
+    patterns = spark.createDataFrame([(i, p) for i, p in enumerate(DIALECT)], "k int, pattern string").withColumn(
+        "c", F.when(regexes.is_valid(F.col("pattern")), regexes.compiled(F.col("pattern"))))
+    urls = pages(spark, sf).select("page_id", "url", F.explode(F.sequence(F.lit(0), F.lit(len(DIALECT) - 1))).alias("k"))
+    return urls.join(patterns, "k").select("page_id", "pattern", regexes.found(F.col("url"), F.col("c")).alias("matched"))
+
+
+@query
+def follow_edges_by_site(spark, sf):
+    """Links of all hosts, filtered by the patterns of each host's own specification."""
+    specs = P.merge_equal_names(P.specs_from_urls(pages(spark, sf).select("url")))
+    rules = specs.select(
+        F.regexp_extract("base_url", "//(.*)", 1).alias("host"), regexes.any_of(F.col("follow_patterns")).alias("follow"),
+        regexes.any_of(F.concat("ignore_patterns", F.array(F.lit(r".*/th\w+$"), F.lit("/[A-Z]")))).alias("ignore"))
+    links = nav_links(spark, sf).withColumn("host", U.url_authority(F.col("url"))).join(rules, "host")
+    return L.follow_edges(links, F.col("follow"), F.col("ignore"))
+
+
 @query
 def follow_patterns(spark, sf):
     return varied_urls(spark, sf).select("page_id", "url", U.follows(F.col("url"), FOLLOW).alias("followed"))

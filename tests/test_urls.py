@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from conftest import column
-from corpusmill.functions.regex import any_of
+from corpusmill.functions.dialect import any_of
 from corpusmill.functions import urls
 
 SITE = "https://example.com"
