@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from corpusmill.functions import html as H
 from corpusmill.functions.entities import escape_attribute
-from corpusmill.functions.regex import replace_each, trim_space
+from corpusmill.functions.regex import let, replace_each, trim_space
 from corpusmill.functions.text import tidy_markdown
 from corpusmill.functions.urls import resolve_url
 from corpusmill.operators.select import (
@@ -49,7 +49,11 @@ OPENER, OPENED = "\ufdd8", "\ufdd9"   # around an opening inline mark
 CLOSER, CLOSED = "\ufdda", "\ufddb"   # around a closing inline mark
 BLANK, LINE = "\ufddc", "\ufddd"      # blank and line end inside <pre>
 FENCE, LANG, FENCE_END = "\ufdde", "\ufddf", "\ufde0"
+TABLE, TABLE_END, ROW, CELL = "\ufde1", "\ufde2", "\ufde3", "\ufde4"   # a table's begin and end, its rows, and its cells with their spans
+CELL_TEXT = "\ufde5"
 MARKS = "[\ufdd0-\ufdef]"
+# Fixed value: the most columns or rows that a cell can span.
+MOST_SPAN = 1000
 
 HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 LISTS = ("ul", "ol")
@@ -140,20 +144,10 @@ def _context(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     rows = rows.withColumns({
         # the end event of a table has left it already, so cells and rows see depth one throughout
         "cell": inside(H.one_of("tag", H.CELL) & outer),
-        "rows_so_far": F.sum(F.when((kind == "open") & (tag == "tr") & outer, 1).otherwise(0)).over(upto),
-        "cells_so_far": F.sum(F.when((kind == "open") & H.one_of("tag", H.CELL) & outer, 1).otherwise(0)).over(upto),
         "outer_quotes": F.last(
             F.when((kind == "open") & is_list & (F.col("lists") == 1), F.col("quotes")), ignorenulls=True
         ).over(upto),
     })
-    rows = rows.withColumns({
-        "table_row": F.col("rows_so_far") - F.last(
-            F.when((kind == "open") & (tag == "table") & outer, F.col("rows_so_far")), ignorenulls=True
-        ).over(upto),
-        "row_cells": F.col("cells_so_far") - F.last(
-            F.when((kind == "open") & (tag == "tr") & outer, F.col("cells_so_far")), ignorenulls=True
-        ).over(upto),
-    })
     # Items of one list share its depth, between two starts of lists at that depth.
     at_depth = W.partitionBy(*keys, "part", "level", "lists").orderBy("ord").rowsBetween(
         W.unboundedPreceding, W.currentRow
@@ -261,7 +255,10 @@ def _pieces(absolute_base: Column | None, sanitized: Column) -> Column:
     ordinal = F.col("items") - F.coalesce("item_base", lit(0))
     marker = F.when(F.col("list_tag") == "ol", F.concat(ordinal.cast("string"), lit(". "))).otherwise("- ")
     in_table = F.col("tables") == 1
-    separator = F.concat(lit(SOFT), pfx, lit("|"), F.repeat(lit(" --- |"), F.col("row_cells").cast("int")))
+    # the end event of a table has left it already
+    outermost = F.col("tables") == F.when(opened, 1).otherwise(0)
+    span = lambda name: F.coalesce(F.regexp_extract(F.coalesce(H.attr(name), lit("")), r"^\s*0*([0-9]{1,4})", 1), lit(""))
+    spans = F.concat(span("colspan"), lit(","), span("rowspan"))
     other_blocks = [t for t in H.BLOCK if t not in _SPECIAL] + ["caption"]
 
     return (
@@ -291,17 +288,71 @@ def _pieces(absolute_base: Column | None, sanitized: Column) -> Column:
               .otherwise(mark(BLOCK)))
         .when(tag == "li", F.when(flat, " ").when(opened, F.concat(lit(SOFT), item_pfx, marker, lit(GLUE)))
               .otherwise(ITEM_END))
-        .when(tag == "table", block())
-        .when(tag == "tr", F.when(flat | ~in_table, " ").when(opened, F.concat(mark(SOFT), lit("|")))
-              .when(F.col("table_row") == 1, separator).otherwise(""))
-        .when(H.one_of("tag", H.CELL), F.when(flat | ~in_table, " ").when(opened, " ").otherwise(" |"))
+        .when(tag == "table", F.when(flat | ~outermost, block()).when(opened, F.concat(mark(BLOCK), lit(TABLE))).otherwise(F.concat(lit(TABLE_END), mark(BLOCK))))
+        .when(tag == "tr", F.when(flat | ~in_table, " ").when(opened, F.concat(lit(ROW), pfx)).otherwise(""))
+        .when(H.one_of("tag", H.CELL), F.when(flat | ~in_table, " ").when(opened, F.concat(lit(CELL), spans, lit(CELL_TEXT))).otherwise(" "))
         .when(H.one_of("tag", other_blocks), block())
         .otherwise("")
     )
 
 
+def _cells(row: Column) -> Column:
+    """``across, down, text`` of the cells of a row; what stands before the first one belongs to it."""
+
+    def cell(text: Column, i: Column) -> Column:
+        number = lambda k: F.regexp_extract(text, rf"\A([0-9]*),([0-9]*){CELL_TEXT}", k).try_cast("int")
+        across, down = F.greatest(F.coalesce(number(1), F.lit(1)), F.lit(1)), F.coalesce(number(2), F.lit(1))
+        return F.struct(
+            F.least(across, F.lit(MOST_SPAN)).alias("across"), F.when(down == 0, MOST_SPAN).otherwise(F.least(down, F.lit(MOST_SPAN))).alias("down"),
+            F.concat(F.when(i == 0, before).otherwise(""), F.regexp_replace(text, rf"\A[^{CELL_TEXT}]*+{CELL_TEXT}", "")).alias("text"))
+
+    parts = F.split(row, CELL, -1)
+    before = F.regexp_replace(F.get(parts, F.lit(0)), f"[{QUOTE}{INDENT}]", "")
+    return F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), cell)
+
+
+def _placed(rows: Column) -> Column:
+    """Cells of every row in their columns: a fold over rows, in which each column knows how many more rows are taken by a cell above."""
+    ints, texts = F.array().cast("array<int>"), F.array().cast("array<string>")
+    grid = lambda taken, lines, width: F.struct(taken.alias("taken"), lines.alias("lines"), width.alias("width"))
+
+    def place(line: Column, cell: Column, taken: Column) -> Column:
+        """The next cell goes to the first column that is free."""
+        at = F.size(line["texts"])
+        free = F.filter(F.sequence(at, F.greatest(F.size(taken), at)), lambda j: F.coalesce(F.get(taken, j), F.lit(0)) <= 0)[0]
+        return F.struct(
+            F.concat(line["texts"], F.array_repeat(F.lit(""), free - at), F.array(cell["text"]), F.array_repeat(F.lit(""), cell["across"] - 1)).alias("texts"),
+            F.concat(line["down"], F.array_repeat(F.lit(0), free - at), F.array_repeat(cell["down"] - 1, cell["across"])).alias("down"), (free + 1).alias("width"))
+
+    def add(state: Column, row: Column) -> Column:
+        empty = F.struct(texts.alias("texts"), ints.alias("down"), F.lit(0).alias("width"))
+        line = F.aggregate(row, empty, lambda known, cell: place(known, cell, state["taken"]))
+        return let(line, lambda own: grid(
+            F.zip_with(state["taken"], own["down"], lambda a, b: F.greatest(F.coalesce(a, F.lit(0)) - 1, F.coalesce(b, F.lit(0)))),
+            F.array_append(state["lines"], own["texts"]), F.greatest(state["width"], own["width"])))
+
+    return F.aggregate(rows, grid(ints, F.array().cast("array<array<string>>"), F.lit(0)), add)
+
+
+def _table(text: Column) -> Column:
+    """A table's rows as lines of one width, which is that of the last column a cell begins in."""
+    parts = F.split(F.translate(text, TABLE + TABLE_END, ""), ROW, -1)
+    rows = F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0)))
+    prefix = F.regexp_extract(F.coalesce(F.get(rows, F.lit(0)), F.lit("")), f"\\A([{QUOTE}{INDENT}]*+)", 1)
+
+    def lines(grid: Column) -> Column:
+        start = F.concat(F.lit(SOFT), prefix, F.lit("|"))
+        shown = F.transform(grid["lines"], lambda line: F.concat(start, F.array_join(F.transform(
+            F.sequence(F.lit(0), grid["width"] - 1), lambda j: F.concat(F.lit(" "), F.coalesce(F.get(line, j), F.lit("")), F.lit(" |"))), "")))
+        rule = F.concat(start, F.repeat(F.lit(" --- |"), grid["width"]))
+        return F.when(grid["width"] > 0, F.array_join(F.concat(F.slice(shown, 1, 1), F.array(rule), F.slice(shown, 2, F.size(shown))), "")).otherwise("")
+
+    return F.concat(F.get(parts, F.lit(0)), let(_placed(F.transform(rows, _cells)), lines))
+
+
 def _settle(c: Column) -> Column:
     """Turn concatenated pieces into Markdown: every step is one linear pass."""
+    c = F.when(c.contains(TABLE), replace_each(c, f"{TABLE}[^{TABLE_END}]*+{TABLE_END}", _table)).otherwise(c)
     pre, brk = f"[{QUOTE}{INDENT}]", f"[{BREAK}{SOFT}{BLOCK}{CUT}]"
     space, sign = f"(?:[ ]|{brk}{pre}*+)++", "(?:\\*\\*|_|~~|`)"
     steps = [

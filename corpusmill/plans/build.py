@@ -42,7 +42,7 @@ def locate(pages: DataFrame, specs: DataFrame) -> DataFrame:
 
 
 def convert_sites(pages: DataFrame, specs: DataFrame) -> DataFrame:
-    """``site, profile, page_id, url, title, content_length, body, links, base`` of every page with content.
+    """``site, profile, page_id, url, title, content_length, body, links, base, body_hash`` of every page with content.
 
     Sites are assigned on narrow rows, which also get the rules of their profile; html joins them by page, the way the token
     pipeline wants it distributed, is moved once and taken apart once, however many profiles there are: titles, bodies and links come
@@ -53,7 +53,8 @@ def convert_sites(pages: DataFrame, specs: DataFrame) -> DataFrame:
     own = specs.dropDuplicates(["profile"]).select("profile", rules(F.col("selectors")).alias("rules"), "sanitize_html", "preserve_images")
     steps = specs.agg(F.max(longest_chain(F.col("selectors")))).first()[0] or 1
     ruled = with_classes(narrow, store(own.join(counts, "profile")), ["profile"], "n")
-    return convert(ruled.join(pages.select("page_id", "html"), "page_id"), keys=SITE_KEYS, links=True, rules=steps)
+    converted = convert(ruled.join(pages.select("page_id", "html"), "page_id"), keys=SITE_KEYS, links=True, rules=steps)
+    return converted.withColumn("body_hash", content_hash(F.col("body")))
 
 
 def site_edges(converted: DataFrame, specs: DataFrame) -> DataFrame:
@@ -85,15 +86,18 @@ def corpus_pages(pages: DataFrame, specs: DataFrame, dedup_on: str = "rendered",
     as written, metadata included) or ``body``. Invalid specifications are left out: :func:`split_specs` names them.
     """
     valid, _ = split_specs(specs)
-    return _ordered(pages, valid, store(convert_sites(pages, valid)), dedup_on, start_depth)
+    return ordered_pages(pages, valid, store(convert_sites(pages, valid)), dedup_on, start_depth)
 
 
-def _ordered(pages: DataFrame, specs: DataFrame, converted: DataFrame, dedup_on: str, start_depth: int) -> DataFrame:
+def ordered_pages(pages: DataFrame, specs: DataFrame, converted: DataFrame, dedup_on: str, start_depth: int) -> DataFrame:
+    """``site, ord, depth, url, title, content`` out of what :func:`convert_sites` made of ``pages``."""
     flags = specs.select(F.col("name").alias("site"), "include_metadata")
     reached = _reached(pages, converted, specs, start_depth)
     written = F.when(F.col("include_metadata"), with_metadata(F.col("body"), F.col("url"), F.col("title"), F.col("depth"))).otherwise(F.col("body"))
-    rendered = converted.drop("url").join(reached, ["site", "page_id"]).join(flags, "site")
-    hashed = rendered.select("site", "page_id", "depth", "url", content_hash(written if dedup_on == "rendered" else F.col("body")).alias("hash"))
+    rendered = converted.select("site", "page_id", "body_hash").join(reached, ["site", "page_id"]).join(flags, "site")
+    # metadata names the URL, and a site has each URL once; so bodies need not be read to see that such texts differ
+    named = F.col("include_metadata") if dedup_on == "rendered" else F.lit(False)
+    hashed = rendered.select("site", "page_id", "depth", "url", F.when(named, F.col("url")).otherwise(F.col("body_hash")).alias("hash"))
     kept = hashed.groupBy("site", "hash").agg(F.min(F.struct("depth", "url", "page_id")).alias("first")).select("site", "first.*")
     ordinals = order_pages(kept, order=("depth", "url", "page_id"))
     bodies = converted.select("site", "page_id", "title", "body").join(ordinals, ["site", "page_id"]).join(flags, "site")
@@ -112,7 +116,7 @@ def publish(pages: DataFrame, specs: DataFrame, path: str, generated_at: str, de
     """
     valid, rejected = split_specs(specs)
     converted = store(convert_sites(pages, valid))
-    ordered = store(_ordered(pages, valid, converted, dedup_on, start_depth))
+    ordered = store(ordered_pages(pages, valid, converted, dedup_on, start_depth))
     write_corpus(assemble(ordered, valid, generated_at), f"{path}/documents", valid)
     site_status(start_pages(valid), converted, ordered).write.mode("overwrite").parquet(f"{path}/_status")
     rejected.write.mode("overwrite").parquet(f"{path}/_rejected")

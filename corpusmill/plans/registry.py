@@ -15,6 +15,7 @@ from corpusmill.operators import tokens as T
 from corpusmill.plans.build import build_corpus, corpus_pages
 from corpusmill.sources.pages import scan_pages, write_corpus, write_pages
 from corpusmill.streaming import ingest
+from corpusmill.streaming.documents import stream_documents as stream_all
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -77,9 +78,9 @@ def titled(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def articles(spark: SparkSession, sf: str) -> DataFrame:
-    """``page_id, url, depth, content``: the article of every page."""
+    """``page_id, url, depth, content``: the article of every page, taken out of its html once."""
     found = S.main_content(pages(spark, sf), "article")
-    return found.join(deep_pages(spark, sf).drop("html"), "page_id")
+    return store(found.join(deep_pages(spark, sf).drop("html"), "page_id"))
 
 
 # ------------------------------------------------------------ sources and sinks
@@ -411,6 +412,23 @@ def to_markdown_crossed(spark, sf):
     return M.convert(crossed(spark, sf), content="article").select("page_id", "title", "body")
 
 
+TABLES = (
+    "<table><tr><th colspan=2>{}<tr><td>a<td>b</table>",
+    "<table><tr><td rowspan=2>{}<td>1<td>2<tr><td>3<tr><td>4<td>5</table>",
+    "<table><tr><td>{}<td colspan=9>b<tr><td>c<td>d<td>e</table>",
+)
+
+
+@query
+def to_markdown_tables(spark, sf):
+    """Pages with a table whose cells span columns and rows behind what their article holds."""
+    text = F.regexp_replace("url", "[^A-Za-z0-9]", "")
+    forms = F.array(*[F.concat(F.lit(before), text, F.lit(after)) for before, after in (t.split("{}") for t in TABLES)])
+    extra = F.concat(F.element_at(forms, (F.col("page_id") % len(TABLES) + 1).cast("int")), F.lit("</article>"))
+    p = pages(spark, sf).withColumn("html", F.replace("html", F.lit("</article>"), extra))
+    return M.convert(p, content="article").select("page_id", "title", "body")
+
+
 @query
 def sanitize_crossed(spark, sf):
     alone = crossed(spark, sf).select("page_id", F.concat(F.lit("<article>"), "extra").alias("html"))
@@ -446,13 +464,17 @@ def follow_edges(spark, sf):
     return L.follow_edges(nav_links(spark, sf), [r"/[a-z]", "/[A-Z]"], [r".*/th.*$"], ["example.com", "example.net"])
 
 
-def derived_edges(spark, sf):
-    """Links between pages: each page links to three others, by page number; and to its own links."""
+def numbered_edges(spark, sf):
+    """Links between pages: each page links to three others, by page number."""
     p = pages(spark, sf).select("page_id", "url")
     to = p.select("page_id", F.col("url").alias("src"), F.explode(F.array(
         F.col("page_id") * 2 + 1, F.col("page_id") * 2 + 2, F.floor(F.col("page_id") / 3))).alias("to"))
-    inner = to.join(p.select(F.col("page_id").alias("to"), F.col("url").alias("dst")), "to").select("src", "dst")
-    return inner.unionByName(L.follow_edges(nav_links(spark, sf)))
+    return to.join(p.select(F.col("page_id").alias("to"), F.col("url").alias("dst")), "to").select("src", "dst")
+
+
+def derived_edges(spark, sf):
+    """Links by page number, and the pages' own."""
+    return numbered_edges(spark, sf).unionByName(L.follow_edges(nav_links(spark, sf)))
 
 
 @query
@@ -460,9 +482,11 @@ def crawl_depths(spark, sf):
     """Pages whose article was blanked have no content: they neither count nor expand."""
     blank = F.regexp_replace("html", r"(?s)<article>.*?</article>", "<article> \n</article>")
     p = pages(spark, sf).withColumn("html", F.when(F.col("page_id") % 13 == 6, blank).otherwise(F.col("html")))
-    kept = S.main_content(p, "article").select("page_id").join(p.select("page_id", "url"), "page_id")
+    # content and links come out of one reading of html
+    kept = store(M.convert(p, content="article", exclude=["nav"], links=True).select("page_id", "url", "links", "base"))
+    real = L.follow_edges(kept.select("url", "base", F.explode("links").alias("href")))
     starts = p.filter("page_id % 100 = 0").select("url")
-    return R.crawl_depths(kept, derived_edges(spark, sf), starts, 6)
+    return R.crawl_depths(kept, numbered_edges(spark, sf).unionByName(real), starts, 6)
 
 
 @query
@@ -626,19 +650,26 @@ def documents_md_profiles(spark, sf):
     return corpus_pages(deep_pages(spark, sf), own.unionByName(bad))
 
 
-@query
-def documents_md_crawled(spark, sf):
-    """From links to ordered pages: every page links to three others, beside its own links."""
+def linked_pages(spark, sf):
+    """Pages that each link to three others, beside their own links."""
     p = pages(spark, sf)
     to = p.select("page_id", F.explode(F.array(F.col("page_id") * 2 + 1, F.col("page_id") * 2 + 2, F.floor(F.col("page_id") / 3))).alias("to"))
     links = to.join(p.select(F.col("page_id").alias("to"), "url"), "to").groupBy("page_id").agg(
         F.array_join(F.collect_list(F.concat(F.lit('<a href="'), "url", F.lit('">to</a>'))), "").alias("more"))
-    linked = p.join(links, "page_id", "left").select("page_id", "url", F.concat("html", F.coalesce("more", F.lit(""))).alias("html"))
-    # the first page of every host; no depth ends the crawl before all linked pages are reached
-    first = L.assign_site(p.select("page_id", "url"), site_specs(spark)).groupBy("site", U.url_hostname(F.col("url"))).agg(F.min_by("url", "page_id").alias("url"))
+    return p.join(links, "page_id", "left").select("page_id", "url", F.concat("html", F.coalesce("more", F.lit(""))).alias("html"))
+
+
+def crawled_specs(spark, sf):
+    """Three sites that start at the first page of every host; no depth ends the crawl before all linked pages are reached."""
+    first = L.assign_site(pages(spark, sf).select("page_id", "url"), site_specs(spark)).groupBy("site", U.url_hostname(F.col("url"))).agg(F.min_by("url", "page_id").alias("url"))
     starts = first.groupBy(F.col("site").alias("name")).agg(F.collect_set("url").alias("start_urls"))
-    specs = site_specs(spark).drop("start_urls").join(starts, "name").withColumn("max_depth", F.lit(2**31 - 1))
-    return corpus_pages(linked, specs).select("site", "ord", "depth", "url", "title")
+    return site_specs(spark).drop("start_urls").join(starts, "name").withColumn("max_depth", F.lit(2**31 - 1))
+
+
+@query
+def documents_md_crawled(spark, sf):
+    """From links to ordered pages."""
+    return corpus_pages(linked_pages(spark, sf), crawled_specs(spark, sf)).select("site", "ord", "depth", "url", "title")
 
 
 @query
@@ -735,14 +766,57 @@ def stream_content_dedup(spark, sf):
     return spark.read.parquet(f"{out}/hashes").select("content_hash")
 
 
+def in_batches(df: DataFrame, batch: Column, n: int, out: str) -> str:
+    """Files that a stream reads one after the other."""
+    marked = store(df.withColumn("_batch", batch))
+    for i in range(n):
+        marked.filter(F.col("_batch") == i).drop("_batch").coalesce(1).write.mode("append").parquet(out)
+    return out
+
+
+@query
+def stream_content_dedup_bounded(spark, sf):
+    """Twelve days of documents, a batch each; contents are remembered two days, and until the clock has passed that."""
+    out = scratch(spark)
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    dated = docs.withColumn("day", F.col("doc_id") % 12).withColumn("at", F.timestamp_add("DAY", F.col("day").cast("int"), F.lit("2025-01-01").cast("timestamp")))
+    in_batches(dated, F.col("day"), 12, f"{out}/in")
+    stream = spark.readStream.schema("doc_id long, text string, day long, at timestamp").option("maxFilesPerTrigger", 1).parquet(f"{out}/in")
+    ingest.stream_recent_hashes(stream, "text", out, "at", "2 days", keep=("day",)).awaitTermination()
+    return spark.read.parquet(f"{out}/hashes").select("content_hash", "day")
+
+
 @query
 def stream_page_counts(spark, sf):
+    """Five batches, with the log folded after every second one."""
     out = scratch(spark)
-    source = ingest.page_source(spark, sf, "pages.parquet").select(U.url_authority(F.col("url")).alias("site"))
-    ingest.stream_counts(source, "site", out).awaitTermination()
+    in_batches(pages(spark, sf), F.col("page_id") % 5, 5, f"{out}/in")
+    source = ingest.page_source(spark, f"{out}/in", max_files=1).select(U.url_authority(F.col("url")).alias("site"))
+    ingest.stream_counts(source, "site", out, compact_every=2).awaitTermination()
     return ingest.latest_counts(spark, out)
 
 
+@query
+def stream_milestones(spark, sf):
+    """Pages arrive by depth, a batch each; every tenth one is a milestone."""
+    out = scratch(spark)
+    deep = deep_pages(spark, sf).drop("html")
+    in_batches(deep, F.col("depth"), 4, f"{out}/in")
+    source = spark.readStream.schema(deep.schema).option("maxFilesPerTrigger", 1).parquet(f"{out}/in")
+    ingest.stream_progress(source, out).awaitTermination()
+    return spark.read.parquet(f"{out}/milestones").select("depth", "url", "ord")
+
+
+@query
+def stream_documents(spark, sf):
+    """The pages of all documents after three batches of linked pages."""
+    out = scratch(spark)
+    linked, specs = linked_pages(spark, sf), crawled_specs(spark, sf)
+    in_batches(linked, F.col("page_id") % 3, 3, f"{out}/in")
+    stream_all(ingest.page_source(spark, f"{out}/in", max_files=1), specs, out, GENERATED_AT).awaitTermination()
+    return spark.read.parquet(f"{out}/ordered").select("site", "ord", "depth", "url", "title")
+
+
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """Documents of three sites, from raw pages."""
     return documents_md(spark, sf)

@@ -8,11 +8,13 @@ cluster).
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from corpusmill.functions.text import content_hash
+from corpusmill.operators.corpus import milestones, order_pages
 from corpusmill.sources.pages import PAGES
 
 
@@ -66,8 +68,7 @@ def stream_first_copies(spark: SparkSession, out: str) -> StreamingQuery:
 def stream_distinct_hashes(rows: DataFrame, content: str, out: str, keep: tuple[str, ...] = ()) -> StreamingQuery:
     """First-seen contents of a stream: the state store holds one hash per distinct content.
 
-    The state never shrinks, as the set of seen contents must not; with an event-time column
-    use ``dropDuplicatesWithinWatermark`` for a bounded one.
+    The state never shrinks, as the set of seen contents must not; :func:`stream_recent_hashes` has a bounded one.
     """
     distinct = rows.select(content_hash(F.col(content)).alias("content_hash"), *keep).dropDuplicates(["content_hash"])
     return (
@@ -76,24 +77,106 @@ def stream_distinct_hashes(rows: DataFrame, content: str, out: str, keep: tuple[
     )
 
 
-def stream_counts(rows: DataFrame, by: str, out: str) -> StreamingQuery:
-    """Running number of pages per group; each batch writes all totals to a new folder ``out/counts/version=<batch>``.
+def stream_recent_hashes(rows: DataFrame, content: str, out: str, time: str, horizon: str, keep: tuple[str, ...] = ()) -> StreamingQuery:
+    """Contents that were not seen shortly before, with a state that only holds what is recent.
 
-    Readers take the highest version (:func:`latest_counts`); the folder they read is never overwritten by a later batch.
+    ``time`` is the event time of a row (:func:`with_file_time` gives that of its file). A content is a copy as long as the stream's clock, the latest
+    event time less ``horizon``, has not passed ``horizon`` after the copy that was kept; then it is forgotten, and the next one is
+    kept again. Rows that are older than the clock itself are left out.
     """
+    hashed = rows.select(F.col(time).alias("seen"), content_hash(F.col(content)).alias("content_hash"), *keep)
+    distinct = hashed.withWatermark("seen", horizon).dropDuplicatesWithinWatermark(["content_hash"])
+    return (
+        distinct.writeStream.format("parquet").option("checkpointLocation", f"{out}/checkpoint")
+        .option("path", f"{out}/hashes").outputMode("append").trigger(availableNow=True).start()
+    )
+
+
+def with_file_time(rows: DataFrame, name: str = "arrived") -> DataFrame:
+    """Add when a row's file was written, as event time."""
+    return rows.withColumn(name, F.col("_metadata.file_modification_time"))
+
+
+def stream_progress(pages: DataFrame, out: str, order: tuple[str, ...] = ("depth", "url"), every: int = 10) -> StreamingQuery:
+    """Milestones of a stream: every tenth processed page, added to ``out/milestones``, and what each batch brought, to ``out/progress``.
+
+    Batches are numbered on, one after the other, and pages of a batch in ``order``. A batch is counted by a metric that is observed while its rows
+    are written, so it is read once; the next one finds the sum in the table. Repeating a batch overwrites its folders.
+    """
+
+    def note(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        progress = spark.read.schema("pages long, batch long").option("basePath", f"{out}/progress").parquet(f"{out}/progress") if batch_id else None
+        before = (progress.filter(F.col("batch") < batch_id).agg(F.sum("pages")).first()[0] if progress else None) or 0
+        seen = Observation("progress")
+        numbered = order_pages(batch.withColumn("_all", F.lit(0)), by=("_all",), order=order).withColumn("ord", F.col("ord") + before)
+        marked = milestones(numbered.observe(seen, F.count(F.lit(1)).alias("pages")), every)
+        marked.drop("_all").write.mode("overwrite").parquet(f"{out}/milestones/batch={batch_id}")
+        count = spark.range(1).select(F.lit(seen.get["pages"]).cast("long").alias("pages"))
+        count.write.mode("overwrite").parquet(f"{out}/progress/batch={batch_id}")
+
+    return (
+        pages.writeStream.foreachBatch(note).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
+    )
+
 
-    def replace(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/counts/version={batch_id}")
+def stream_counts(rows: DataFrame, by: str, out: str, compact_every: int = 16) -> StreamingQuery:
+    """Running number of pages per group, as a log: each batch adds the new totals of the groups it touched to ``out/changes``.
+
+    So a batch writes as much as it brings. Every ``compact_every`` batches the log is folded into ``out/totals`` and what
+    it was made of is removed. Folders are named by batch and overwritten if one is repeated; :func:`latest_counts` reads both.
+    """
+
+    def add(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/changes/batch={batch_id}")
+        if batch_id % compact_every == compact_every - 1:
+            _compact(batch.sparkSession, out, batch_id)
 
     counts = rows.groupBy(by).agg(F.count("*").alias("pages"))
     return (
-        counts.writeStream.outputMode("complete").foreachBatch(replace)
+        counts.writeStream.outputMode("update").foreachBatch(add)
         .option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
     )
 
 
+def _folders(spark: SparkSession, path: str) -> dict[int, str]:
+    """Complete batch folders below ``path``, by number."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(root):
+        return {}
+    found = [f.getPath() for f in files.listStatus(root) if f.getPath().getName().startswith("batch=")]
+    return {int(f.getName()[6:]): f.toString() for f in found if files.exists(jvm.org.apache.hadoop.fs.Path(f, "_SUCCESS"))}
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def _log(spark: SparkSession, out: str) -> tuple[DataFrame | None, list[str], int]:
+    """Totals and later changes with their batch, the folders they are in, and the last batch."""
+    totals, changes = _folders(spark, f"{out}/totals"), _folders(spark, f"{out}/changes")
+    upto = max(totals, default=-1)
+    used = {**({upto: totals[upto]} if totals else {}), **{k: v for k, v in changes.items() if k > upto}}
+    parts = [spark.read.parquet(path).withColumn("batch", F.lit(k)) for k, path in sorted(used.items())]
+    return (reduce(DataFrame.unionByName, parts) if parts else None), [*totals.values(), *[v for k, v in changes.items()]], max(used, default=-1)
+
+
+def _compact(spark: SparkSession, out: str, batch_id: int) -> None:
+    rows, folders, last = _log(spark, out)
+    _latest(rows).write.mode("overwrite").parquet(f"{out}/totals/batch={batch_id}")
+    for path in folders:
+        if path.rstrip("/") != _folders(spark, f"{out}/totals").get(batch_id, "").rstrip("/"):
+            _remove(spark, path)
+
+
+def _latest(rows: DataFrame) -> DataFrame:
+    keys = [c for c in rows.columns if c not in ("pages", "batch")]
+    return rows.groupBy(*keys).agg(F.max_by("pages", "batch").alias("pages"))
+
+
 def latest_counts(spark: SparkSession, out: str) -> DataFrame:
-    """The totals of the last batch of :func:`stream_counts`."""
-    versions = spark.read.parquet(f"{out}/counts")
-    last = versions.select("version").distinct().agg(F.max("version")).first()[0]
-    return versions.filter(F.col("version") == last).drop("version")
+    """The totals after the last batch of :func:`stream_counts`."""
+    return _latest(_log(spark, out)[0])

@@ -30,6 +30,16 @@ CASES = {
     "<p>a</p> <!-- c --> <p>b</p>": "a\n\nb",
     '<img src="t.jpg" alt="t">text': "text",
     "<ul><li><li>b</ul>": "-\n- b",
+    "<table><tr><th colspan=2>H<tr><td>a<td>b</table>": "| H | |\n| --- | --- |\n| a | b |",
+    "<table><tr><th>A<th>B<th>C<tr><td rowspan=2>x<td>1<td>2<tr><td>3<td>4<tr><td>5</table>":
+        "| A | B | C |\n| --- | --- | --- |\n| x | 1 | 2 |\n| | 3 | 4 |\n| 5 | | |",
+    "<table><tr><td rowspan=3>a<td colspan='2' rowspan='2'>b<td>c<tr><td>d<tr><td>e<td>f<td>g<td>h</table>":
+        "| a | b | | c | |\n| --- | --- | --- | --- | --- |\n| | | | d | |\n| | e | f | g | h |",
+    "<table><tr><td colspan=100>wide<tr><td>1<td rowspan=0>2<tr><td>3<tr><td>4<td>5</table>":
+        "| wide | | |\n| --- | --- | --- |\n| 1 | 2 | |\n| 3 | | |\n| 4 | | 5 |",
+    "<table><caption>Cap</caption><tr><td>a<table><tr><td>in<td>ner</table><td colspan=x>b</table>": "Cap\n\n| a in ner | b |\n| --- | --- |",
+    "<blockquote><table><tr><td>a<tr><td>b<td>c</table></blockquote>": "> | a | |\n> | --- | --- |\n> | b | c |",
+    "<table></table>x<table><tr></table>": "x",
     "a<b>b<i>c</b>d</i>e": "a**b_c_**_d_e",
     "<b>x<a href=/u>y</b>z</a>w": "**x[y](/u)**[z](/u)w",
     "<span>a<b>b</span>c</b><b>d</b> <i>e</i><i>f</i>": "a**bcd** _ef_",
@@ -191,3 +201,22 @@ def test_crossing_keeps_the_source(spark):
     assert [(r.tag, r.open_pos) for r in S.select(df, "a, b").collect()] == [("a", 3), ("b", 10)]
     assert [(r.pos, r.href) for r in extract_links(df, "main").collect()] == [(3, "/u")]
     assert M.convert(df).first().content_length == len(html)
+
+
+def test_rows_of_one_width(spark):
+    """Random spans: every row of a table has as many cells as its rule, and all texts are there in order."""
+    htmls = []
+    for seed in range(60):
+        x, n = random.Random(seed), 0
+        rows = []
+        for _ in range(x.randint(1, 6)):
+            cells = ""
+            for _ in range(x.randint(0, 5)):
+                n += 1
+                cells += f"<td{x.choice(['', '', ' colspan=2', ' rowspan=2', ' colspan=3 rowspan=3', ' rowspan=0'])}>w{n}"
+            rows.append("<tr>" + cells)
+        htmls.append("<table>" + "".join(rows) + "</table>x")
+    for i, body in bodies(spark, htmls).items():
+        lines = [line for line in body.split("\n") if line.startswith("|")]
+        assert len({line.count("|") for line in lines}) <= 1, body
+        assert re.findall(r"w\d+", body) == re.findall(r"w\d+", htmls[i])
