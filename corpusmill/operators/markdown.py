@@ -159,6 +159,7 @@ def _context(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
         .withColumns({
             "item_base": F.last(F.when(list_start, F.col("items")), ignorenulls=True).over(at_depth),
             "list_tag": F.last(F.when(list_start, tag), ignorenulls=True).over(at_depth),
+            "list_from": F.last(F.when(list_start, F.coalesce(F.when(tag == "ol", H.attr("start").try_cast("int")), F.lit(1))), ignorenulls=True).over(at_depth),
         })
     )
 
@@ -252,7 +253,9 @@ def _pieces(absolute_base: Column | None, sanitized: Column) -> Column:
         return F.when(flat, " ").otherwise(mark(mark_))
 
     hashes = F.repeat(lit("#"), F.substring(tag, 2, 1).cast("int"))
-    ordinal = F.col("items") - F.coalesce("item_base", lit(0))
+    # Markdown numbers items from 0 to 999999999
+    ordinal = F.least(F.greatest(F.col("items") - F.coalesce("item_base", lit(0)) + F.coalesce("list_from", lit(1)) - 1, lit(0)), lit(999_999_999))
+    task = F.lower(F.coalesce(H.attr("type"), lit(""))) == "checkbox"
     marker = F.when(F.col("list_tag") == "ol", F.concat(ordinal.cast("string"), lit(". "))).otherwise("- ")
     in_table = F.col("tables") == 1
     # the end event of a table has left it already
@@ -267,6 +270,7 @@ def _pieces(absolute_base: Column | None, sanitized: Column) -> Column:
         .when(tag == "br", F.when(verbatim, mark(LINE)).when(flat, " ").otherwise(mark(BREAK)))
         .when(tag == "hr", F.when(flat, " ").otherwise(F.concat(mark(BLOCK), lit("---"), mark(BLOCK))))
         .when(tag == "img", F.coalesce(image, lit("")))
+        .when((tag == "input") & void & task & (lists > 0) & ~in_pre, F.when(H.attr("checked").isNull(), "[ ] ").otherwise("[x] "))
         .when(void | ~H.one_of("kind", ("open", "end")), "")
         .when(
             tag == "pre",

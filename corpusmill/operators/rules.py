@@ -20,7 +20,7 @@ from corpusmill.operators.tokens import KEYS, class_list
 TITLE, CONTENT, EXCLUDE = 0, 1, 2
 
 _STEP = r"(?U)(?:\[[^\]]*\]|[^\s\[])+"
-_SIMPLE = r"""(?U)[A-Za-z][\w-]*|\*|\.[\w-]+|#[\w-]+|\[\s*[\w-]+\s*(?:=\s*(?:"[^"]*"|'[^']*'|[^\]\s]+))?\s*\]"""
+_SIMPLE = r"""(?U)[A-Za-z][\w-]*|\*|\.[\w-]+|#[\w-]+|\[\s*[\w-]+\s*(?:[~|^$*]?=\s*(?:"[^"]*"|'[^']*'|[^\]\s]+))?\s*\]"""
 
 
 def _all(text: Column, pattern: str) -> Column:
@@ -41,9 +41,23 @@ def selector_problem(selectors: Column) -> Column:
     return F.when(F.size(odd) > 0, F.concat(F.lit("unsupported selector: '"), F.get(odd, F.lit(0)), F.lit("'")))
 
 
+def attribute_test(found: Column, sign: Column, value: Column) -> Column:
+    """Whether an attribute's value meets ``[name=value]``, or what one of the signs ``~ | ^ $ *`` before the ``=`` asks for."""
+    some = value != ""
+    return (
+        F.when(sign == "", found == value)
+        .when(sign == "~", some & ~value.rlike(r"[\t\n\f\r ]") & F.array_contains(class_list(found), value))
+        .when(sign == "|", (found == value) | F.startswith(found, F.concat(value, F.lit("-"))))
+        .when(sign == "^", some & F.startswith(found, value)).when(sign == "$", some & F.endswith(found, value))
+        .otherwise(some & F.contains(found, value))
+    )
+
+
 def _attribute(part: Column) -> Column:
     value = [F.regexp_extract(part, r"""(?s)=\s*(?:"([^"]*)"|'([^']*)'|([^\]\s]+))""", i) for i in (1, 2, 3)]
-    return F.struct(F.lower(F.regexp_extract(part, r"(?U)\[\s*([\w-]+)", 1)).alias("name"), F.when(part.contains("="), F.concat(*value)).alias("value"))
+    return F.struct(
+        F.lower(F.regexp_extract(part, r"(?U)\[\s*([\w-]+)", 1)).alias("name"), F.regexp_extract(part, r"(?U)\[\s*[\w-]+\s*([~|^$*]?)=", 1).alias("sign"),
+        F.when(part.contains("="), F.concat(*value)).alias("value"))
 
 
 def _compound(step: Column) -> Column:
@@ -84,7 +98,7 @@ def _matches(rule: Column, element: Column) -> Column:
         & F.forall(asks["tags"], lambda t: t == element["tag"])
         & F.forall(asks["ids"], lambda i: F.coalesce(attrs["id"] == i, F.lit(False)))
         & F.forall(asks["classes"], lambda c: F.array_contains(element["classes"], c))
-        & F.forall(asks["attrs"], lambda a: F.coalesce(attrs[a["name"]].isNotNull() & (a["value"].isNull() | (attrs[a["name"]] == a["value"])), F.lit(False)))
+        & F.forall(asks["attrs"], lambda a: F.coalesce(attrs[a["name"]].isNotNull() & (a["value"].isNull() | attribute_test(attrs[a["name"]], a["sign"], a["value"])), F.lit(False)))
     )
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from corpusmill.functions.regex import trim_space
 from corpusmill.functions import html as H
 from corpusmill.functions.text import clean_title
-from corpusmill.operators.rules import CONTENT, EXCLUDE, TITLE, flag_by_hits, token_hits
+from corpusmill.operators.rules import CONTENT, EXCLUDE, TITLE, attribute_test, flag_by_hits, token_hits
 from corpusmill.operators.tokens import KEYS, close_elements, events, is_added, source_text, tokenize
 
 # What is looked for when a specification names no selector.
@@ -19,7 +19,7 @@ DEFAULT_TITLE = "h1"
 DEFAULT_CONTENT = "main, article, .content"
 
 _PART = re.compile(
-    r"""([A-Za-z][\w-]*|\*)|\.([\w-]+)|\#([\w-]+)|\[\s*([\w-]+)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\]\s]+)))?\s*\]"""
+    r"""([A-Za-z][\w-]*|\*)|\.([\w-]+)|\#([\w-]+)|\[\s*([\w-]+)\s*(?:([~|^$*]?)=\s*(?:"([^"]*)"|'([^']*)'|([^\]\s]+)))?\s*\]"""
 )
 
 
@@ -39,9 +39,9 @@ def _compound(text: str) -> Column:
         elif ident:
             conditions.append(raw.contains(ident) & (H.attr("id") == ident))
         else:
-            value = next((v for v in m.group(5, 6, 7) if v is not None), None)
+            value = next((v for v in m.group(6, 7, 8) if v is not None), None)
             found = H.attr(re.escape(attr.lower()))
-            conditions.append(found.isNotNull() if value is None else found == value)
+            conditions.append(found.isNotNull() if value is None else attribute_test(found, F.lit(m.group(5)), F.lit(value)))
     if end != len(text) or not conditions:
         raise ValueError(f"unsupported selector: {text!r}")
     return F.coalesce(reduce(lambda a, b: a & b, conditions), F.lit(False))

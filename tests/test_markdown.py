@@ -40,6 +40,7 @@ CASES = {
     "<table><caption>Cap</caption><tr><td>a<table><tr><td>in<td>ner</table><td colspan=x>b</table>": "Cap\n\n| a in ner | b |\n| --- | --- |",
     "<blockquote><table><tr><td>a<tr><td>b<td>c</table></blockquote>": "> | a | |\n> | --- | --- |\n> | b | c |",
     "<table></table>x<table><tr></table>": "x",
+    "<ol start=5><li>five<li>six<ol start=0><li>none</ol></ol><ol start=x><li>one</ol><ul start=3><li>u</ul>": "5. five\n6. six\n  0. none\n\n1. one\n\n- u",
     "a<b>b<i>c</b>d</i>e": "a**b_c_**_d_e",
     "<b>x<a href=/u>y</b>z</a>w": "**x[y](/u)**[z](/u)w",
     "<span>a<b>b</span>c</b><b>d</b> <i>e</i><i>f</i>": "a**bcd** _ef_",
@@ -77,6 +78,12 @@ def test_without_sanitizing(spark):
     assert got == {0: "Harbour", 1: "a\n\nb"}
 
 
+def test_task_lists(spark):
+    html = "<ul><li><input type=checkbox checked> done<li><input type='CheckBox'>open<li><input type=text>x</ul><input type=checkbox>y"
+    assert bodies(spark, [html], sanitize_html=False) == {0: "- [x] done\n- [ ] open\n- x\n\ny"}
+    assert bodies(spark, [html]) == {0: "- done\n- open\n- x\n\ny"}
+
+
 def test_pages_without_content_are_dropped(spark):
     assert bodies(spark, ["", " \n ", "x"]) == {2: "x"}
 

@@ -12,6 +12,7 @@ from tests.test_corpus import T as HOST, _spec, pages
 SELECTORS = [
     "div", "*", ".a", "#x", "[href]", "[href='/u']", 'a[href="/u"], p', "div.a", "div .a", "div div", "div div div", "div p .b", ".a .a, #x", "p.a.b", "P.a", "h1, .a span",
     "[data-k=v]", "[data-k = 'v w']", "section[role=main] p", ".a .b .a .b", "", " , ", "a.b#x[href]", "[class]", "[class='a b'] *",
+    "[href^='/']", "[class$=b]", "[class~=a]", "[class*=' ']", "[data-k|=v]", "[class~='a b']", "[href^='']", "div[class^=a] [data-k$='w']",
 ]
 
 
@@ -57,7 +58,7 @@ def test_same_elements(spark):
 
 
 @pytest.mark.parametrize("selector, problem", [
-    ("div > p", "unsupported selector: '>'"), ("a:hover", "unsupported selector: 'a:hover'"), ("[a^=b]", "unsupported selector: '[a^=b]'"), ("p, .a..b", "unsupported selector: '.a..b'"),
+    ("div > p", "unsupported selector: '>'"), ("a:hover", "unsupported selector: 'a:hover'"), ("[a!=b]", "unsupported selector: '[a!=b]'"), ("p, .a..b", "unsupported selector: '.a..b'"),
     ("div.a [b='c, d'], #é", None), ("", None),
 ])
 def test_problems(spark, selector, problem):
