@@ -78,24 +78,37 @@ def repetitions(
         ["__key", "__id", "__text"], "__words", "__before", by="place",
     )
     missing = F.col("target") - F.col("whole") * F.col("source_size")
-    extra = F.col("__before") + F.col("__words") / 2 <= missing
+    # so many of the equal rows are taken once more that their words come nearest to what is missing
+    rest = missing - F.col("__before")
+    extra = F.when(missing <= 0, 0).when(F.col("size") > 0, F.floor(rest / F.greatest("size", F.lit(1)) + 0.5)).otherwise(F.when(rest >= 0, F.col("n")).otherwise(0))
     return ordered.select(
-        "__id", "__source", "__text", "size", "n", "source_size", "target",
-        (F.col("whole") + F.when(extra & (missing > 0), 1).otherwise(0)).alias("copies"),
+        "__id", "__source", "__text", "size", "n", "source_size", "target", F.col("whole").alias("copies"),
+        F.greatest(F.least(extra, F.col("n")), F.lit(0)).cast("long").alias("extra"),
     )
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The mixed rows: every row of ``docs`` as often as its source's target asks, columns as they are."""
-    chosen = repetitions(docs, **options).filter("copies > 0").select("__id", "__source", "__text", "copies")
+    chosen = stored(repetitions(docs, **options).filter("copies + extra > 0").select("__id", "__source", "__text", "n", "copies", "extra"))
     on = (
         docs["doc_id"].eqNullSafe(chosen["__id"]) & docs["source"].eqNullSafe(chosen["__source"])
         & (text_key(docs["text"]) == chosen["__text"])
     )
     turn = free_name(docs, "__copy")
-    repeated = docs.join(chosen, on).select(
-        *[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), chosen["copies"].cast("int"))).alias(turn))
-    return repeated.drop(turn)
+    repeated = docs.join(chosen, on).filter(chosen["n"] == 1).select(
+        *[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), (chosen["copies"] + chosen["extra"]).cast("int"))).alias(turn))
+    if chosen.filter("n > 1").isEmpty():
+        return repeated.drop(turn)
+    # equal rows are numbered; the first ones are those taken once more
+    names = [free_name(docs, c) for c in ("__group", "__order", "__one", "__times", "__more", "__place")]
+    group, order, one, times, more, place = names
+    equal = docs.join(chosen, on).filter(chosen["n"] > 1).select(
+        *[docs[c] for c in docs.columns], F.md5(F.to_json(F.struct(chosen["__id"], chosen["__source"], chosen["__text"]))).alias(group),
+        F.xxhash64(*[docs[c] for c in docs.columns]).alias(order), F.lit(1).alias(one), chosen["copies"].alias(times), chosen["extra"].alias(more))
+    numbered = running(equal, [order], one, place, by=group)
+    each = F.col(times) + F.when(F.col(place) < F.col(more), 1).otherwise(0)
+    again = numbered.withColumn(times, each.cast("int")).filter(F.col(times) > 0).select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col(times))).alias(turn))
+    return repeated.unionByName(again).drop(turn)
 
 
 def mixture(docs: DataFrame, **options) -> DataFrame:
@@ -103,5 +116,5 @@ def mixture(docs: DataFrame, **options) -> DataFrame:
     each = F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))
     return repetitions(docs, **options).withColumn("__row", each).select(
         F.col("__id").alias("doc_id"), "size", "source_size", "target",
-        (F.col("copies") * F.col("size")).cast("long").alias("taken"),
+        ((F.col("copies") + F.when(F.col("__row") <= F.col("extra"), 1).otherwise(0)) * F.col("size")).cast("long").alias("taken"),
     )

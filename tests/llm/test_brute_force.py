@@ -12,7 +12,7 @@ import corpus_pipeline
 from corpusmill.llm.common import documents
 from corpusmill.llm.decontamination import decontaminate
 from corpusmill.llm.line_dedup import repeated_lines
-from corpusmill.llm.mixing import mix
+from corpusmill.llm.mixing import mix, mixture
 from corpusmill.llm.near_duplicates import near_duplicates
 from corpusmill.llm.paragraph_dedup import repeated_paragraphs
 from corpusmill.llm.queries import QUERIES
@@ -159,6 +159,17 @@ def test_mix_reaches_targets(docs):
     assert abs(sum(words.values()) - 1.5 * total) < 0.05 * total
 
 
+def test_mix_of_equal_rows(docs_of):
+    """A document that is there a thousand times is taken as often as brings its words to within half of it of the target."""
+    rows = [(1, "five words are in here", "en", "a")] * 1000 + [(2, "other text of another source " * 700, "en", "b")] + [(i, "w " * (i % 7 + 1), "en", "c") for i in range(10, 400)]
+    docs = docs_of(rows)
+    found = mixture(docs).collect()
+    target = next(r.target for r in found if r.doc_id == 1)
+    assert len(found) == len(rows) and abs(sum(r.taken for r in found if r.doc_id == 1) - target) <= 2.5
+    taken = Counter(r.doc_id for r in found for _ in range(r.taken // r.size if r.size else 0))
+    assert Counter(r.doc_id for r in mix(docs).collect()) == taken
+
+
 def test_toxicity_held_out(spark):
     sf = "/root/testdata/sf0.01"
     scored = QUERIES["op4_toxicity"](spark, sf)
