@@ -107,7 +107,7 @@ def _with_equal(texts, sets):
 @pytest.mark.parametrize("options", [{}, {"few": 1, "pivots": 2}])
 def test_lines(docs, options):
     lines = [(d, k, x) for d, t in ROWS for k, x in enumerate(t.split("\n")) if re.search(r"[\x21-\U0010FFFF]", x)]
-    sets = [{x[i:i + 12] for i in range(len(x) - 11)} if len(x) >= 20 else set() for *_, x in lines]
+    sets = [{x[i:i + 12] for i in range(len(x) - 11)} for *_, x in lines]
     root = _components(len(lines), _with_equal([x for *_, x in lines], sets))
     sizes = Counter(root)
     want = {(d, k, *lines[root[i]][:2], root[i] == i) for i, (d, k, _) in enumerate(lines) if sizes[root[i]] > 1}
