@@ -39,21 +39,56 @@ def digest(rule: str) -> int:
 
 
 class DigestArray:
-    """Rules sorted by digest: ``keys`` to search, ``rules`` and ``verdicts`` at the same places.
+    """Rules sorted by digest: keys to search, and at the same places the stored rules and their verdicts.
 
-    The keys live in a file without a name, mapped read-only; it is gone with the process.
+    Everything is in one block of bytes: keys, ends of the rules, verdicts, rules. Where an array arrives it is written to a file
+    without a name and mapped read-only. A broadcast one arrives once per worker process, whatever the number of its tasks.
     """
 
     def __init__(self, rules: Sequence[tuple[str, str]]):
-        listed = sorted({rule: verdict for verdict, rule in rules}.items(), key=lambda r: (digest(r[0]), r[0]))
-        self.rules = [rule for rule, _ in listed]
-        self.verdicts = [verdict for _, verdict in listed]
-        self.lengths = sorted({len(r) - r.index("/") for r in self.rules})
-        self.hosts = {n for r in self.rules for n in [r[: r.index("/")].count(".") + 1]}
+        listed = sorted({rule: verdict for verdict, rule in rules}.items())
+        keys = np.fromiter((digest(rule) for rule, _ in listed), dtype=np.uint64, count=len(listed))
+        order = np.argsort(keys, kind="stable")
+        stored = [listed[k][0].encode("utf-8", "surrogatepass") for k in order.tolist()]
+        self.names = sorted({verdict for _, verdict in listed})
+        numbers = {name: k for k, name in enumerate(self.names)}
+        self.n = len(listed)
+        self.lengths = sorted({len(r) - r.index("/") for r, _ in listed})
+        self.hosts = {r[: r.index("/")].count(".") + 1 for r, _ in listed}
+        ends = np.cumsum([0, *map(len, stored)], dtype=np.int64)
+        verdicts = np.array([numbers[listed[k][1]] for k in order.tolist()], dtype=np.int32)
+        self._map(b"".join([keys[order].tobytes(), ends.tobytes(), verdicts.tobytes(), *stored]))
+
+    def _map(self, block: bytes) -> None:
         with tempfile.TemporaryFile() as f:
-            np.array([digest(r) for r in self.rules], dtype=np.uint64).tofile(f)
+            f.write(block)
             f.flush()
-            self.keys = np.memmap(f, dtype=np.uint64, mode="r") if self.rules else np.empty(0, np.uint64)
+            self.block = np.memmap(f, dtype=np.uint8, mode="r")
+        n = self.n
+        self.keys = self.block[:8 * n].view(np.uint64)
+        self.ends = self.block[8 * n:16 * n + 8].view(np.int64)
+        self.verdicts = self.block[16 * n + 8:20 * n + 8].view(np.int32)
+        self.text = self.block[20 * n + 8:]
+
+    def packed(self) -> dict:
+        """All of it in plain values, which a broadcast can carry to executors that do not have this package."""
+        return {"n": self.n, "names": self.names, "lengths": self.lengths, "hosts": self.hosts, "block": self.block.tobytes()}
+
+    @classmethod
+    def arrived(cls, packed: dict) -> DigestArray:
+        """The array of a broadcast value: the first task of a worker process maps it and leaves it there for the next ones."""
+        if "array" not in packed:
+            array, block = cls.__new__(cls), packed.pop("block")
+            array.__dict__.update(packed)
+            array._map(block)
+            packed["array"] = array
+        return packed["array"]
+
+    def rule(self, at: int) -> str:
+        return self.text[self.ends[at]:self.ends[at + 1]].tobytes().decode("utf-8", "surrogatepass")
+
+    def verdict(self, at: int) -> str:
+        return self.names[self.verdicts[at]]
 
     def candidates(self, host: str, path: str) -> list[str]:
         """What could be listed for a URL, longest first; of equal lengths the longer host first."""
@@ -73,7 +108,7 @@ class DigestArray:
         out = [-1] * len(parts)
         for k in np.flatnonzero(high > low)[::-1]:  # the longest is written last
             for at in range(low[k], high[k]):
-                if self.rules[at] == flat[k]:
+                if self.rule(at) == flat[k]:
                     out[url[k]] = at
         return out
 
@@ -81,7 +116,7 @@ class DigestArray:
 def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, default: str = "allow", max_rules: int = 5_000_000) -> DataFrame:
     """``page_id, host, path, rule, verdict`` of every page.
 
-    Every worker holds one array of at most ``max_rules`` rules. A longer list is cut into several arrays that
+    An array is built once, on the driver, and every worker maps one of at most ``max_rules`` rules. A longer list is cut into several arrays that
     are probed one after the other, each handing on the longest rule found so far.
     """
     chosen = pages.select("page_id", "url")
@@ -93,16 +128,16 @@ def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, defa
 
 def _probe(pages: DataFrame, rules: list[tuple[str, str]], default: str | None = None) -> DataFrame:
     """With ``default``, the last step: host and path in place of the URL."""
-    shipped = pages.sparkSession.sparkContext.broadcast(rules)
+    shipped = pages.sparkSession.sparkContext.broadcast(DigestArray(rules).packed())
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = DigestArray(shipped.value)
+        table = DigestArray.arrived(shipped.value)
         for batch in batches:
             parts = [split_url(u) for u in batch["url"].to_pylist()]
             found = list(zip(batch["rule"].to_pylist(), batch["verdict"].to_pylist(), strict=True))
             for k, at in enumerate(table.look_up(parts)):
-                if at >= 0 and (found[k][0] is None or _before(table.rules[at], found[k][0])):
-                    found[k] = table.rules[at], table.verdicts[at]
+                if at >= 0 and (found[k][0] is None or _before(table.rule(at), found[k][0])):
+                    found[k] = table.rule(at), table.verdict(at)
             columns = {"page_id": batch["page_id"]}
             if default is None:
                 columns |= {"url": batch["url"]}
