@@ -761,7 +761,7 @@ def stream_pages(spark, sf):
 def stream_content_dedup(spark, sf):
     out = scratch(spark)
     schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
-    docs = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf)
+    docs = spark.readStream.schema(schema).parquet(ingest.table_path(sf, "documents.parquet"))
     ingest.stream_distinct_hashes(docs, "text", out).awaitTermination()
     return spark.read.parquet(f"{out}/hashes").select("content_hash")
 

@@ -19,11 +19,17 @@ from corpusmill.sources.pages import PAGES
 
 
 def page_source(spark: SparkSession, path: str, name: str | None = None, max_files: int = 1000) -> DataFrame:
-    """A stream of page rows from Parquet files; ``name`` restricts it to matching file names."""
+    """A stream of page rows from Parquet files; ``name`` restricts it to the table of that name below ``path`` (:func:`table_path`)."""
     reader = spark.readStream.schema(PAGES).option("maxFilesPerTrigger", max_files)
-    if name:
-        reader = reader.option("pathGlobFilter", name)
-    return reader.parquet(path)
+    return reader.parquet(table_path(path, name) if name else path)
+
+
+def table_path(path: str, name: str) -> str:
+    """The path of a table to stream from, whether it is one file or a folder of files.
+
+    It is written as a pattern: a stream takes a plain path for a folder, and a filter of file names finds nothing where the folder has the name.
+    """
+    return f"{path.rstrip('/')}/{{{name}}}"
 
 
 def stream_pages(

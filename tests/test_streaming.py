@@ -3,9 +3,11 @@
 import glob
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from corpusmill.operators import corpus as C
+from corpusmill.plans import registry
 from corpusmill.plans.build import build_corpus, corpus_pages
 from corpusmill.streaming import ingest
 from corpusmill.streaming.documents import stream_documents
@@ -22,6 +24,30 @@ def _arrive(spark, path, rows):
     spark.createDataFrame(rows, PAGES).coalesce(1).write.mode("append").parquet(path)
 
 
+@pytest.mark.parametrize("files", [1, 3])
+def test_tables_of_one_file_and_of_many(spark, tmp_path, files):
+    """A table is a file in small sets and a folder of files in large ones; streams read all of either, and nothing beside it."""
+    sf = str(tmp_path / "sf")
+    os.makedirs(sf)
+
+    def table(name, rows, schema):
+        at = str(tmp_path / f"made-{name}")
+        spark.createDataFrame(rows, schema).repartition(files).write.parquet(at)
+        if files == 1:
+            os.link(glob.glob(f"{at}/part-*")[0], f"{sf}/{name}.parquet")
+        else:
+            os.symlink(at, f"{sf}/{name}.parquet")
+
+    table("pages", [(i, f"https://h.org/{i}", f"<article><p>text {i % 4}</p></article>") for i in range(40)], PAGES)
+    documents = [(i, f"text {i % 30}", "en", "web", 7) for i in range(60)]
+    table("documents", documents, "doc_id long, text string, lang string, source string, n_chars long")
+    table("documents.parquet.old", [(0, "beside it", "en", "web", 9)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert registry.QUERIES["stream_content_dedup"](spark, sf).count() == 30
+    got = registry.QUERIES["stream_pages"](spark, sf).collect()
+    assert sorted(r.body for r in got) == [f"text {i}" for i in range(4)]
+    assert ingest.page_source(spark, sf, "pages.parquet").isStreaming
+
+
 def test_recent_hashes_shrink(spark, tmp_path):
     """A content is forgotten once the clock has passed the horizon after it; the state only holds recent ones."""
     rows = [(d, f"text {d} {i}") for d in range(12) for i in range(20)] + [(d, "daily") for d in range(12)]
