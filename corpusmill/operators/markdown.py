@@ -431,6 +431,7 @@ def convert(
     links: bool = False,
     keys: Sequence[str] = KEYS,
     carry: Sequence[str] = ("url",),
+    partitions: int | None = None,
 ) -> DataFrame:
     """``keys, carry, title, content_length, body`` of every page with content.
 
@@ -442,7 +443,7 @@ def convert(
     own = ("sanitize_html", "preserve_images") if rules is not None else ()
     rows = page_stream(
         pages, title=title or "title", content=content, exclude=exclude, rules=rules, keys=keys, carry=(*carry, *own),
-        outermost_only=outermost_only, links=links,
+        outermost_only=outermost_only, links=links, partitions=partitions,
     )
     src = F.when((F.col("part") == "content") & ~F.col("boundary"), source_text())
     measured = title_text(rows).withColumns({

@@ -128,6 +128,7 @@ def page_stream(
     carry: Sequence[str] = (),
     links: bool = False,
     outermost_only: bool = False,
+    partitions: int | None = None,
 ) -> DataFrame:
     """The rows of every page that its title, its content and its links are made of.
 
@@ -141,7 +142,7 @@ def page_stream(
     ``boundary`` rows mark the start of a match.
     """
     given = (("rules",), lambda tokens: token_hits(tokens, F.col("rules"))) if rules is not None else None
-    stream = events(close_elements(tokenize(pages, keys, carry, given), keys), keys)
+    stream = events(close_elements(tokenize(pages, keys, carry, given, partitions), keys), keys)
     if rules is not None:
         title = content = "by rules"
         stream = flag_by_hits(stream, {TITLE: "is_title", CONTENT: "is_content", EXCLUDE: "is_excluded"}, rules, keys)

@@ -16,9 +16,31 @@ from corpusmill.functions import html as H
 
 KEYS = ("page_id",)
 
+# Bytes of html in a partition. Tokens of a page take many times its bytes in every sort, so a task's memory grows with them.
+PARTITION_BYTES = 8 << 20
+
+
+def html_partitions(pages: DataFrame, size: Column | None = None) -> int:
+    """Into how many partitions pages are dealt, so that each has about ``PARTITION_BYTES`` of html; 0: as many as Spark finds right.
+
+    Spark makes as many partitions as there are cores and lets them grow with the input, up to a size of compressed html that is far too large here.
+    The bytes are summed by a job that reads the html, or ``size``; few pages and streams are left to Spark.
+    """
+    if pages.isStreaming:
+        return 0
+    total = pages.agg(F.sum(F.octet_length("html") if size is None else size)).first()[0] or 0
+    n = -(-total // PARTITION_BYTES)
+    return n if n > pages.sparkSession.sparkContext.defaultParallelism else 0
+
+
+def by_page(pages: DataFrame, key: str, partitions: int) -> DataFrame:
+    """Pages distributed by ``key``."""
+    return pages.repartition(partitions, key) if partitions else pages.repartition(key)
+
 
 def tokenize(
     pages: DataFrame, keys: Sequence[str] = KEYS, carry: Sequence[str] = (), extra: tuple[Sequence[str], Callable[[Column], Column]] | None = None,
+    partitions: int | None = None,
 ) -> DataFrame:
     """``keys, carry, n_tokens, pos, kind, tag, text``: one row per token of ``html``.
 
@@ -26,14 +48,14 @@ def tokenize(
 
     ``keys`` must identify a page. Rows are distributed by the last key alone, which serves every
     grouping by all of them, so that input already distributed by it (a bucketed table, a join by
-    page) is not moved again. The texts of a page, joined by ``pos``, give back its html.
+    page) is not moved again. ``partitions`` are counted by :func:`html_partitions` unless given. The texts of a page, joined by
+    ``pos``, give back its html.
     """
     # The outer form keeps the optimizer from adding a "has tokens" filter, which would run the
     # pattern a second time; a page without tokens yields one empty text token.
     needed, per_token = extra or ((), None)
     split = (
-        pages.select(*keys, *carry, *needed, "html")
-        .repartition(keys[-1])
+        by_page(pages.select(*keys, *carry, *needed, "html"), keys[-1], html_partitions(pages) if partitions is None else partitions)
         .select(*keys, *carry, *needed, F.regexp_extract_all("html", F.lit(H.TOKEN), F.lit(0)).alias("tokens"))
         .withColumn("n_tokens", F.greatest(F.size("tokens"), F.lit(1)))
     )

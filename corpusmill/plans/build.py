@@ -13,6 +13,7 @@ from corpusmill.operators.links import assign_site, dedup_urls, follow_edges, st
 from corpusmill.operators.markdown import convert, with_metadata
 from corpusmill.operators.rules import longest_chain, rules, selector_problem
 from corpusmill.operators.specs import merge_equal_names, with_defaults, with_error
+from corpusmill.operators.tokens import by_page, html_partitions
 from corpusmill.functions.text import content_hash
 from corpusmill.skew import with_classes
 from corpusmill.sources.pages import write_corpus
@@ -53,7 +54,11 @@ def convert_sites(pages: DataFrame, specs: DataFrame) -> DataFrame:
     own = specs.dropDuplicates(["profile"]).select("profile", rules(F.col("selectors")).alias("rules"), "sanitize_html", "preserve_images")
     steps = specs.agg(F.max(longest_chain(F.col("selectors")))).first()[0] or 1
     ruled = with_classes(narrow, store(own.join(counts, "profile")), ["profile"], "n")
-    converted = convert(ruled.join(pages.select("page_id", "html"), "page_id"), keys=SITE_KEYS, links=True, rules=steps)
+    # a page counts once for every site that has it; what is summed is its size, so that html itself is moved only once
+    sizes = narrow.join(pages.select("page_id", F.octet_length("html").alias("size")), "page_id")
+    n = html_partitions(sizes, F.col("size"))
+    html = pages.select("page_id", "html")
+    converted = convert(ruled.join(by_page(html, "page_id", n) if n else html, "page_id"), keys=SITE_KEYS, links=True, rules=steps, partitions=n)
     return converted.withColumn("body_hash", content_hash(F.col("body")))
 
 

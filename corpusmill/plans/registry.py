@@ -656,7 +656,8 @@ def linked_pages(spark, sf):
     to = p.select("page_id", F.explode(F.array(F.col("page_id") * 2 + 1, F.col("page_id") * 2 + 2, F.floor(F.col("page_id") / 3))).alias("to"))
     links = to.join(p.select(F.col("page_id").alias("to"), "url"), "to").groupBy("page_id").agg(
         F.array_join(F.collect_list(F.concat(F.lit('<a href="'), "url", F.lit('">to</a>'))), "").alias("more"))
-    return p.join(links, "page_id", "left").select("page_id", "url", F.concat("html", F.coalesce("more", F.lit(""))).alias("html"))
+    whole = T.by_page(p, "page_id", T.html_partitions(p))
+    return whole.join(links, "page_id", "left").select("page_id", "url", F.concat("html", F.coalesce("more", F.lit(""))).alias("html"))
 
 
 def crawled_specs(spark, sf):

@@ -123,6 +123,25 @@ def test_one_exchange(spark):
     assert "Python" not in plan
 
 
+def _exchanges(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return re.findall(r"Exchange hashpartitioning\(page_id#\d+L?, (\d+)\)", plan), plan.count("Exchange")
+
+
+def test_partitions_follow_the_html(spark, monkeypatch):
+    """Twice the html is twice the partitions and not more html in each; it is still moved once, and few pages are left to Spark."""
+    monkeypatch.setattr(T, "PARTITION_BYTES", 2000)
+    few, some = pages(spark, ["<p>x</p>"] * 9), pages(spark, [f"<p>{'x' * 1000}</p>"] * 100)
+    assert T.html_partitions(few) == 0 and T.html_partitions(pages(spark, [])) == 0
+    n = T.html_partitions(some)
+    assert n == -(-100 * 1020 // 2000)
+    assert T.html_partitions(some.union(some)) == 2 * n
+    assert _exchanges(M.convert(some)) == ([str(n)], 1)
+    parts = T.tokenize(some).withColumn("part", F.spark_partition_id()).groupBy("part").agg(F.countDistinct("page_id").alias("pages")).collect()
+    assert sum(r.pages for r in parts) == 100 and max(r.pages for r in parts) <= 10
+    assert M.convert(some).count() == 100
+
+
 def test_sanitized_conversion(spark):
     got = bodies(spark, [
         '<a href="javascript:run()">x</a> <a href=" /k">k</a>', "<section>one</section><section>two</section><figure>f</figure>",
