@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from corpusmill.functions import dialect as regexes, entities, text as X, urls as U
 from corpusmill.functions.html import attr, token_text
@@ -767,12 +768,24 @@ def stream_content_dedup(spark, sf):
     return spark.read.parquet(f"{out}/hashes").select("content_hash")
 
 
-def in_batches(df: DataFrame, batch: Column, n: int, out: str) -> str:
-    """Files that a stream reads one after the other."""
-    marked = store(df.withColumn("_batch", batch))
-    for i in range(n):
-        marked.filter(F.col("_batch") == i).drop("_batch").coalesce(1).write.mode("append").parquet(out)
-    return out
+def in_batches(df: DataFrame, batch: Column, n: int, out: str) -> int:
+    """Files that a stream reads one batch after the other; returns how many files every batch has.
+
+    A batch is written by as many tasks as its rows are read by. Streams take a fixed number of files at a time, so batches of fewer files than the
+    largest one get empty ones.
+    """
+    spark, marked = df.sparkSession, f"{scratch(df.sparkSession)}/marked"
+    df.withColumn("_batch", batch).write.partitionBy("_batch").parquet(marked)
+    found = spark.read.schema(StructType([*df.schema.fields, StructField("_batch", IntegerType())])).parquet(marked)
+    batches = [found.filter(F.col("_batch") == i).drop("_batch") for i in range(n)]
+    files = max(b.rdd.getNumPartitions() for b in batches) or 1
+    empty = spark.createDataFrame([], df.schema).coalesce(1)
+    for i, rows in enumerate(batches):
+        rows.write.mode("append").parquet(out)
+        written = len(spark.read.schema(df.schema).parquet(out).inputFiles())
+        for _ in range(files * (i + 1) - written):
+            empty.write.mode("append").parquet(out)
+    return files
 
 
 @query
@@ -781,8 +794,8 @@ def stream_content_dedup_bounded(spark, sf):
     out = scratch(spark)
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
     dated = docs.withColumn("day", F.col("doc_id") % 12).withColumn("at", F.timestamp_add("DAY", F.col("day").cast("int"), F.lit("2025-01-01").cast("timestamp")))
-    in_batches(dated, F.col("day"), 12, f"{out}/in")
-    stream = spark.readStream.schema("doc_id long, text string, day long, at timestamp").option("maxFilesPerTrigger", 1).parquet(f"{out}/in")
+    files = in_batches(dated, F.col("day"), 12, f"{out}/in")
+    stream = spark.readStream.schema("doc_id long, text string, day long, at timestamp").option("maxFilesPerTrigger", files).parquet(f"{out}/in")
     ingest.stream_recent_hashes(stream, "text", out, "at", "2 days", keep=("day",)).awaitTermination()
     return spark.read.parquet(f"{out}/hashes").select("content_hash", "day")
 
@@ -791,8 +804,8 @@ def stream_content_dedup_bounded(spark, sf):
 def stream_page_counts(spark, sf):
     """Five batches, with the log folded after every second one."""
     out = scratch(spark)
-    in_batches(pages(spark, sf), F.col("page_id") % 5, 5, f"{out}/in")
-    source = ingest.page_source(spark, f"{out}/in", max_files=1).select(U.url_authority(F.col("url")).alias("site"))
+    files = in_batches(pages(spark, sf), F.col("page_id") % 5, 5, f"{out}/in")
+    source = ingest.page_source(spark, f"{out}/in", max_files=files).select(U.url_authority(F.col("url")).alias("site"))
     ingest.stream_counts(source, "site", out, compact_every=2).awaitTermination()
     return ingest.latest_counts(spark, out)
 
@@ -802,8 +815,8 @@ def stream_milestones(spark, sf):
     """Pages arrive by depth, a batch each; every tenth one is a milestone."""
     out = scratch(spark)
     deep = deep_pages(spark, sf).drop("html")
-    in_batches(deep, F.col("depth"), 4, f"{out}/in")
-    source = spark.readStream.schema(deep.schema).option("maxFilesPerTrigger", 1).parquet(f"{out}/in")
+    files = in_batches(deep, F.col("depth"), 4, f"{out}/in")
+    source = spark.readStream.schema(deep.schema).option("maxFilesPerTrigger", files).parquet(f"{out}/in")
     ingest.stream_progress(source, out).awaitTermination()
     return spark.read.parquet(f"{out}/milestones").select("depth", "url", "ord")
 
@@ -813,8 +826,8 @@ def stream_documents(spark, sf):
     """The pages of all documents after three batches of linked pages."""
     out = scratch(spark)
     linked, specs = linked_pages(spark, sf), crawled_specs(spark, sf)
-    in_batches(linked, F.col("page_id") % 3, 3, f"{out}/in")
-    stream_all(ingest.page_source(spark, f"{out}/in", max_files=1), specs, out, GENERATED_AT).awaitTermination()
+    files = in_batches(linked, F.col("page_id") % 3, 3, f"{out}/in")
+    stream_all(ingest.page_source(spark, f"{out}/in", max_files=files), specs, out, GENERATED_AT).awaitTermination()
     return spark.read.parquet(f"{out}/ordered").select("site", "ord", "depth", "url", "title")
 
 

@@ -48,6 +48,27 @@ def test_tables_of_one_file_and_of_many(spark, tmp_path, files):
     assert ingest.page_source(spark, sf, "pages.parquet").isStreaming
 
 
+def test_batches_of_several_files(spark, tmp_path):
+    """A batch is as many files as tasks read it, none holds all of it, and a stream still takes one batch at a time, also empty ones."""
+    out, size = str(tmp_path / "in"), spark.conf.get("spark.sql.files.maxPartitionBytes")
+    df = spark.range(0, 20000, 1, 4).select("id", F.sha2(F.col("id").cast("string"), 256).alias("text"))
+    number = F.when(F.col("id") < 100, 0).when(F.col("id") < 15000, 1).otherwise(3)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300000")
+    try:
+        files = registry.in_batches(df, number, 4, out)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    assert files > 1 and len(glob.glob(f"{out}/part-*")) == 4 * files
+    counts = spark.read.parquet(out).groupBy(F.input_file_name()).count().collect()
+    assert sum(r["count"] for r in counts) == 20000 and max(r["count"] for r in counts) < 10000
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(out)
+    seen = {}
+    query = stream.writeStream.foreachBatch(lambda rows, k: seen.update({k: {r.n for r in rows.select(number.alias("n")).distinct().collect()}})).option(
+        "checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert seen == {0: {0}, 1: {1}, 2: set(), 3: {3}}
+
+
 def test_recent_hashes_shrink(spark, tmp_path):
     """A content is forgotten once the clock has passed the horizon after it; the state only holds recent ones."""
     rows = [(d, f"text {d} {i}") for d in range(12) for i in range(20)] + [(d, "daily") for d in range(12)]
