@@ -7,7 +7,7 @@ only logarithmically many tables at any time, each row is written logarithmicall
 Where links go deeper than that, what is left are mostly corridors: pages that can be entered from one page only, or from one on either side.
 They are contracted before the rounds go on. A link ``a -> b`` continues the only other link that enters ``a``, if there is just one; pointers from each
 link to the one it continues are doubled, so after a logarithm of their length all links know their head, the page that can be
-entered in several ways, and the distance from it. Rounds then go from head to head.
+entered in several ways, and the distance from it. Rounds then go from head to head, and where many follow each other, several hops at a time.
 """
 
 from __future__ import annotations
@@ -21,6 +21,10 @@ from corpusmill.lineage import cut
 from corpusmill.skew import with_classes
 
 
+# The most hops from head to head of one round; a round costs much the same however few pages it reaches.
+_HOPS = 8
+
+
 class Levels:
     """``by, url, depth`` in tables of falling size, all partitioned by their key."""
 
@@ -98,16 +102,21 @@ def _deep(fresh: DataFrame, edges: DataFrame, frontier: DataFrame, max_depth: in
     links = _corridors(*_open_links(fresh, edges, frontier, by), frontier, by)
     # heads among the pages to be reached, and the links between heads
     heads = links.select(*by, F.col("head").alias("url")).distinct().join(fresh, key, "left_semi")
-    hops = cut(links.join(heads.withColumnRenamed("url", "dst"), [*by, "dst"], "left_semi").groupBy(*by, "head", "dst").agg(
-        F.min("steps").alias("steps")).repartition(n, *by, "head"))
+    hops = links.join(heads.withColumnRenamed("url", "dst"), [*by, "dst"], "left_semi").groupBy(*by, "head", "dst").agg(F.min("steps").alias("steps"))
+    # what is reached may also stay where it is, so that several hops in a row find all that fewer of them find
+    stay = heads.select(*by, F.col("url").alias("head"), F.col("url").alias("dst"), F.lit(0).cast("long").alias("steps"))
+    hops = cut(hops.unionByName(stay).repartition(n, *by, "head"))
     reached = Levels(key, n)
-    changed, rows = cut(frontier.repartition(n, *key)), frontier.count()
+    changed, rows, rounds = cut(frontier.repartition(n, *key)), frontier.count(), 0
     while rows:
         reached.add(changed, rows)
-        candidates = changed.withColumnRenamed("url", "head").join(hops, [*by, "head"]).groupBy(*by, F.col("dst").alias("url")).agg(
-            F.min(F.col("depth") + F.col("steps")).alias("depth")).filter(F.col("depth") < max_depth)
+        candidates = changed
+        for _ in range(min(1 << (rounds // 4), _HOPS)):
+            candidates = candidates.withColumnRenamed("url", "head").join(hops, [*by, "head"]).groupBy(*by, F.col("dst").alias("url")).agg(
+                F.min(F.col("depth") + F.col("steps")).alias("depth")).filter(F.col("depth") < max_depth)
         changed = cut(reached.improved(candidates).select(*key, "depth"))
         rows = changed.count()
+        rounds += 1
     at = cut(reached.all())
     counts = links.groupBy(*by, "head").agg(F.count("*").alias("n"))
     headed = cut(at.withColumnRenamed("url", "head").join(counts, [*by, "head"]))

@@ -67,6 +67,17 @@ def test_long_chain(spark):
     assert _run(spark, range(n), edges, [0], plain_rounds=3) == {i: i + 1 for i in range(n)}
 
 
+def test_many_heads_in_few_rounds(spark, monkeypatch):
+    """Sixty pages that can each be entered in several ways, one behind the other, take a fraction of as many rounds."""
+    n, rounds = 60, []
+    add = Levels.add
+    monkeypatch.setattr(Levels, "add", lambda self, table, rows: (rounds.append(rows), add(self, table, rows))[1])
+    edges = [(3 * i + a, 3 * i + 3) for i in range(n) for a in (1, 2)] + [(3 * i, 3 * i + a) for i in range(n) for a in (1, 2)] + [(3 * i + 3, 3 * i) for i in range(n)]
+    pages = range(3 * n + 1)
+    assert _run(spark, pages, edges, [0], plain_rounds=1) == _search(pages, edges, [0], 2**31 - 1)
+    assert len(rounds) < n / 2
+
+
 def test_sites_apart(spark):
     edges = spark.createDataFrame([(s, str(i), str(i + k)) for s, k in (("a", 1), ("b", 2)) for i in range(30)], "site string, src string, dst string")
     pages = spark.createDataFrame([(s, str(i)) for s in "ab" for i in range(31)], "site string, url string")
