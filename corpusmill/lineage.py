@@ -28,9 +28,18 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write narrow rows to the checkpoint folder and go on from there; how they are partitioned is kept."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write narrow rows to the checkpoint folder and go on from there; how they are partitioned is kept.
+
+    What a checkpoint also keeps is the plan's estimate of its size, for a join the product of both sides'. From round to round that becomes a
+    number of millions of digits, which fills the driver, so the rows are taken without it.
+    """
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    jvm, rows = spark.sparkContext._jvm, df.checkpoint(eager=True)._jdf.queryExecution().analyzed()
+    nothing = jvm.scala.Option.empty()
+    plan = jvm.org.apache.spark.sql.execution.LogicalRDD(
+        rows.output(), rows.rdd(), rows.outputPartitioning(), rows.outputOrdering(), False, nothing, spark._jsparkSession, nothing, nothing)
+    return DataFrame(jvm.org.apache.spark.sql.classic.Dataset.ofRows(spark._jsparkSession, plan), spark)
 
 
 def store(df: DataFrame) -> DataFrame:

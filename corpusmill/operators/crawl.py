@@ -23,6 +23,8 @@ from corpusmill.skew import with_classes
 
 # The most hops from head to head of one round; a round costs much the same however few pages it reaches.
 _HOPS = 8
+# The most hops of one plan: the driver keeps and reports plans, and longer ones save nothing from here on.
+_HOPS_PLANNED = 4
 
 
 class Levels:
@@ -111,9 +113,11 @@ def _deep(fresh: DataFrame, edges: DataFrame, frontier: DataFrame, max_depth: in
     while rows:
         reached.add(changed, rows)
         candidates = changed
-        for _ in range(min(1 << (rounds // 4), _HOPS)):
+        for hop in range(1, min(1 << (rounds // 4), _HOPS) + 1):
             candidates = candidates.withColumnRenamed("url", "head").join(hops, [*by, "head"]).groupBy(*by, F.col("dst").alias("url")).agg(
                 F.min(F.col("depth") + F.col("steps")).alias("depth")).filter(F.col("depth") < max_depth)
+            if hop % _HOPS_PLANNED == 0:
+                candidates = cut(candidates)
         changed = cut(reached.improved(candidates).select(*key, "depth"))
         rows = changed.count()
         rounds += 1

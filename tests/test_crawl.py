@@ -5,6 +5,7 @@ from collections import deque
 
 import pytest
 
+from corpusmill.operators import crawl
 from corpusmill.operators.crawl import Levels, crawl_depths
 
 
@@ -78,6 +79,16 @@ def test_many_heads_in_few_rounds(spark, monkeypatch):
     assert len(rounds) < n / 2
 
 
+def test_estimates_stay_small(spark, monkeypatch):
+    """Estimated sizes do not grow from round to round."""
+    bits, plain = [], crawl.cut
+    monkeypatch.setattr(crawl, "cut", lambda df: (bits.append(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length()), plain(df))[1])
+    n = 24
+    edges = [(3 * i + a, 3 * i + 3) for i in range(n) for a in (1, 2)] + [(3 * i, 3 * i + a) for i in range(n) for a in (1, 2)] + [(3 * i + 3, 3 * i) for i in range(n)]
+    assert _run(spark, range(3 * n + 1), edges, [0], plain_rounds=1) == _search(range(3 * n + 1), edges, [0], 2**31 - 1)
+    assert max(bits) < 2000
+
+
 def test_sites_apart(spark):
     edges = spark.createDataFrame([(s, str(i), str(i + k)) for s, k in (("a", 1), ("b", 2)) for i in range(30)], "site string, src string, dst string")
     pages = spark.createDataFrame([(s, str(i)) for s in "ab" for i in range(31)], "site string, url string")
